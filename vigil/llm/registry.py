@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.session import table
 
-from . import lines, mixing
+from . import lines, mixing, pii
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,8 +19,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": _over(lines.op1),
         "op3_source_mixing": _over(mixing.op3),
+        "op5_personal_data": _over(pii.op5),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.OP1_SQL, "op3_source_mixing": mixing.OP3_SQL}
+    return {"op1_line_dedup": lines.OP1_SQL, "op3_source_mixing": mixing.OP3_SQL, "op5_personal_data": pii.OP5_SQL}
