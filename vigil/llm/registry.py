@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.session import table
 
-from . import fingerprints, jaccard, lines, mixing, pii
+from . import fingerprints, jaccard, langid, lines, mixing, pii
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": _over(lines.op1),
         "op3_source_mixing": _over(mixing.op3),
+        "op4_language": _over(langid.op4),
         "op6_jaccard_join": _over(jaccard.op6),
         "op8_fingerprints": _over(fingerprints.op8),
         "op5_personal_data": _over(pii.op5),
