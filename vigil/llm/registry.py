@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.session import table
 
-from . import fingerprints, jaccard, langid, lines, mixing, pii
+from . import fingerprints, jaccard, langid, lines, mixing, pieces, pii
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": _over(mixing.op3),
         "op4_language": _over(langid.op4),
         "op6_jaccard_join": _over(jaccard.op6),
+        "op9_sentencepiece": _over(pieces.op9),
         "op8_fingerprints": _over(fingerprints.op8),
         "op5_personal_data": _over(pii.op5),
     }
