@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.session import table
 
-from . import fingerprints, jaccard, langid, lines, mixing, pieces, pii, quality
+from . import fingerprints, jaccard, langid, lines, maxent, mixing, pieces, pii, quality
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": _over(langid.op4),
         "op6_jaccard_join": _over(jaccard.op6),
         "op9_sentencepiece": _over(pieces.op9),
+        "op10_maxent_scores": _over(maxent.op10),
         "op7_quality": lambda spark, sf_dir: quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op8_fingerprints": _over(fingerprints.op8),
         "op5_personal_data": _over(pii.op5),
