@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.session import table
 
-from . import fingerprints, jaccard, langid, lines, maxent, mixing, pieces, pii, quality
+from . import fingerprints, jaccard, langid, lines, maxent, media, mixing, pieces, pii, quality
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str],
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": _over(lines.op1),
+        "op2_media_chunks": _over(media.op2),
         "op3_source_mixing": _over(mixing.op3),
         "op4_language": _over(langid.op4),
         "op6_jaccard_join": _over(jaccard.op6),
