@@ -88,7 +88,7 @@ VERDICT = f"""{TEL}, req as (select event_id, domain as sector, coalesce(nullif(
  case when web then 'Web Gatekeeper' when n > 0 then 'Network Shield' end as source, case when web then 0.99::double when n > 0 then least(0.5::double + n * 0.15::double, 1.0::double) end as score, source_ip, service, ts_us, seq from reasons)"""
 
 BLOCKS = f"""{TEL}, blocks as (select source_ip as ip, case seq % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'critical' end as severity, ts_us from tel where event_type = 'auth_failure'),
- ends as (select ip, ts_us, ts_us + ({chain('severity', joins.DURATIONS, '300')}) * 96000000 as end_us from blocks),
+ ends as (select ip, ts_us, ts_us + ({chain('severity', joins.DURATIONS, '300')})::bigint * 96000000 as end_us from blocks),
  runs as (select *, coalesce(ts_us > max(end_us) over (partition by ip order by ts_us, end_us rows between unbounded preceding and 1 preceding), true)::int as fresh from ends),
  numbered as (select *, sum(fresh) over (partition by ip order by ts_us, end_us) as run from runs),
  intervals as (select ip, min(ts_us) as start_us, max(end_us) as end_us from numbered group by ip, run)"""
