@@ -79,7 +79,12 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     """
     extra = ("size", "source_size", "target", "copies")
     keep = [c for c in docs.columns if c.lower() not in extra]
-    return _planned(docs.select(*[F.col(f"`{c}`") for c in keep], words(F.col("text")).alias("size")), weights, most, seed, broadcast_rows)
+    return _planned(_packed(docs), weights, most, seed, broadcast_rows).select(*[F.col(f"doc.`{c}`") for c in keep], *extra)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one column, so that no name meets another, and what the plan needs beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", words(F.col("text")).alias("size"))
 
 
 def _planned(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", broadcast_rows: int = 100_000) -> DataFrame:
@@ -94,8 +99,7 @@ def _planned(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: the columns of docs, each row as often as its plan says."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", words(F.col("text")).alias("size"))
-    plan = _planned(packed, **options).where(F.col("copies") > 0)
+    plan = _planned(_packed(docs), **options).where(F.col("copies") > 0)
     return plan.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 

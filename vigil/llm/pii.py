@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lines import _fresh
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -116,13 +118,14 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "spans"]
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
+    names = _fresh(docs, *[f"_hit_{k.name}" for k in KINDS])
     hits = []
-    for k in KINDS:
+    for k, name in zip(KINDS, names):
         all_of = F.regexp_extract_all(body, F.lit(k.pattern), F.lit(0))
-        hits.append((F.when(body.contains(k.probe), all_of).otherwise(none) if k.probe else all_of).alias(f"_hit_{k.name}"))
+        hits.append((F.when(body.contains(k.probe), all_of).otherwise(none) if k.probe else all_of).alias(name))
     raw = docs.select(*kept, *hits)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,score:double,kind:string>>")
-    found = [F.when(F.size(f"_hit_{k.name}") > 0, _found(body, k, i, F.col(f"_hit_{k.name}"))).otherwise(empty) for i, k in enumerate(KINDS)]
+    found = [F.when(F.size(n) > 0, _found(body, k, i, F.col(n))).otherwise(empty) for i, (k, n) in enumerate(zip(KINDS, names))]
     return raw.select(*kept, F.array_sort(F.concat(*found)).alias("spans"))
 
 
