@@ -1,9 +1,11 @@
 """Media columns by content-defined chunking.
 
 A media file (8-bit mono PCM in a WAV container) is cut where a rolling gear hash
-of the last 32 bytes has its top bits clear. Chunks go to a store, one for each
-digest; a manifest keeps the ordered digests of each distinct file. Joining the
-manifest with the store gives the file back, which is checked against its digest.
+of the last 32 bytes has its top bits clear. Each distinct file becomes a pack: its ordered chunk digests, and
+the bodies of those chunks that it owns. A chunk that many files hold is owned by
+one of them, which joins on the digest settle. Reading a file back borrows the
+other bodies by their digests and checks the whole against its own digest, so of
+all bytes only repeated chunks move a second time.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.session import release, written
+
 from .words import slices
 
 #: Chunk sizes in bytes: least, most; the mean beyond the least is 2 ** MASK_BITS.
@@ -86,11 +90,17 @@ def feature(payload: bytes) -> str:
 
 @dataclass(frozen=True)
 class Media:
-    """files: (key, n_bytes, media_sha) of every row. manifest: (media_sha, digests) of distinct files. store: (digest, body)."""
+    """files: (key, n_bytes, media_sha) of every row.
+
+    packs: (media_sha, digests, bodies, whole, lends) of distinct files, a table in the
+    shared folder; bodies are null at places that another pack owns, whole says
+    that there are none, lends lists owned places that others borrow. places: (media_sha, place, digest, own, n) of all chunks,
+    n the places that hold the digest.
+    """
 
     files: DataFrame
-    manifest: DataFrame
-    store: DataFrame
+    packs: DataFrame
+    places: DataFrame
 
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[bytes], list[bytes]]]:
@@ -105,56 +115,75 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("key").slice(first, len(texts)), pa.array(list(map(len, texts))), pa.array(sha, pa.binary())], ["key", "n_bytes", "media_sha"])
 
 
-def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    for _, _, _, files in _media(batches):
-        names, lists = [], []
-        for f, ends in zip(files, cuts(files)):
-            sha = hashlib.sha256(f).digest()
-            if sha not in seen:
-                seen.add(sha)
-                names.append(sha)
-                lists.append([_digest(f[a:b]) for a, b in zip([0, *ends], ends)])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["media_sha", "digests"])
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()
-    press = zstandard.ZstdCompressor(level=LEVEL)
-    for _, _, _, files in _media(batches):
-        names, bodies = [], []
-        for f, ends in zip(files, cuts(files)):
-            for a, b in zip([0, *ends], ends):
-                if (d := _digest(f[a:b])) not in seen:
-                    seen.add(d)
-                    names.append(d)
-                    bodies.append(press.compress(f[a:b]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(bodies, pa.binary())], ["digest", "body"])
+def _cut(with_bodies: bool):
+    """(media_sha, digests, bodies) of the files that a task meets first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        press = zstandard.ZstdCompressor(level=LEVEL)
+        for _, _, _, files in _media(batches):
+            names, lists, bodies = [], [], []
+            for f, ends in zip(files, cuts(files)):
+                sha = hashlib.sha256(f).digest()
+                if sha not in seen:
+                    seen.add(sha)
+                    parts = [f[a:b] for a, b in zip([0, *ends], ends)]
+                    names.append(sha)
+                    lists.append(list(map(_digest, parts)))
+                    bodies.append([press.compress(p) for p in parts] if with_bodies else [])
+            columns = [pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(bodies, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["media_sha", "digests", "bodies"])
+
+    return run
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Media:
-    """The media of every text as UTF-8, padded; a null text is empty. Rows repeat in files as they come; equal texts are one file in the manifest."""
+    """The media of every text as UTF-8, padded; a null text is empty. Rows repeat in files as they come; equal texts are one pack."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    texts = rows.select("text")
-    manifest = texts.mapInArrow(_manifest, "media_sha binary, digests array<binary>").groupBy("media_sha").agg(F.first("digests").alias("digests"))
-    store = texts.mapInArrow(_chunks, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body"))
-    return Media(rows.mapInArrow(_files, f"key {kind}, n_bytes bigint, media_sha binary"), manifest, store)
-
-
-def decode(manifest: DataFrame, store: DataFrame) -> DataFrame:
-    """(media_sha, parts): the chunks of each distinct file, in order, as (place, body)."""
-    listed = manifest.select("media_sha", F.posexplode("digests").alias("place", "digest"))
-    return listed.join(store, "digest").groupBy("media_sha").agg(F.collect_list(F.struct("place", "body")).alias("parts"))
+    texts, out = rows.select("text"), "media_sha binary, digests array<binary>, bodies array<binary>"
+    lists = texts.mapInArrow(_cut(False), out).groupBy("media_sha").agg(F.first("digests").alias("digests"))
+    places = lists.select("media_sha", F.posexplode("digests").alias("place", "digest"))
+    owners = places.groupBy("digest").agg(F.min(F.struct("media_sha", "place")).alias("owner"), F.count(F.lit(1)).alias("n"))
+    own = F.struct("media_sha", "place") == F.col("owner")
+    marked = written(places.join(owners, "digest").select("media_sha", "place", "digest", own.alias("own"), "n"), "places")
+    owned = marked.where("own").groupBy("media_sha").agg(F.collect_list("place").alias("owned"), F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("lends"))
+    files = texts.mapInArrow(_cut(True), out).groupBy("media_sha").agg(F.first(F.struct("digests", "bodies")).alias("p"))
+    held = F.transform("p.bodies", lambda b, i: F.when(F.array_contains("owned", i), b))
+    whole = F.size(F.coalesce("owned", F.array().cast("array<int>"))) == F.size("p.digests")
+    packs = written(files.join(owned, "media_sha", "left").select("media_sha", F.col("p.digests").alias("digests"), held.alias("bodies"), whole.alias("whole"), F.coalesce("lends", F.array().cast("array<int>")).alias("lends")), "packs")
+    release(docs.sparkSession)
+    return Media(rows.mapInArrow(_files, f"key {kind}, n_bytes bigint, media_sha binary"), packs, marked)
+
+
+def store(media: Media) -> DataFrame:
+    """(digest, body): every chunk once."""
+    chunks = F.explode(F.arrays_zip("digests", "bodies")).alias("c")
+    return media.packs.select(chunks).select(F.col("c.digests").alias("digest"), F.col("c.bodies").alias("body")).where("body is not null")
+
+
+def decode(media: Media) -> DataFrame:
+    """(media_sha, digests, bodies, lent): of each distinct file the owned bodies in order, null where borrowed, and the borrowed as (place, body). Whole packs are read where they lie."""
+    of = F.transform("lends", lambda i: F.struct(F.get("digests", i).alias("digest"), F.get("bodies", i).alias("body")))
+    lent = media.packs.where(F.size("lends") > 0).select(F.inline(of))
+    given = media.places.where("not own").join(lent, "digest").groupBy("media_sha").agg(F.collect_list(F.struct("place", "body")).alias("lent"))
+    named = media.packs.select("media_sha", "digests", "bodies", "whole")
+    none = F.lit(None).cast("array<struct<place:int,body:binary>>").alias("lent")
+    parts = named.where("not whole").drop("whole").join(given, "media_sha", "left")
+    return named.where("whole").drop("whole").select("*", none).unionByName(parts)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdDecompressor()
     for b in batches:
         rows = []
-        for sha, parts in zip(b.column("media_sha"), b.column("parts")):
-            media = b"".join(press.decompress(p["body"]) for p in sorted(parts.as_py(), key=lambda p: p["place"]))
-            if hashlib.sha256(media).digest() != sha.as_py():
+        for sha, digests, own, lent in zip(*(b.column(c) for c in ("media_sha", "digests", "bodies", "lent"))):
+            parts = own.as_py()
+            for p in lent.as_py() or []:
+                parts[p["place"]] = p["body"]
+            parts = list(map(press.decompress, parts))
+            media = b"".join(parts)
+            if list(map(_digest, parts)) != digests.as_py() or hashlib.sha256(media).digest() != sha.as_py():
                 raise ValueError("chunks do not give the stored media")
             x = samples(media)
             rows.append((sha.as_py(), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-BLOCK:]), len(media), feature(x)))
@@ -165,7 +194,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(media: Media) -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row, from the chunks read back."""
-    read = decode(media.manifest, media.store).mapInArrow(
+    read = decode(media).mapInArrow(
         _read, "media_sha binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
     )
     return media.files.join(read, "media_sha").select(
