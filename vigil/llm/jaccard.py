@@ -1,10 +1,14 @@
 """Exact similarity join on word shingles: components of documents with Jaccard >= t.
 
 1. Documents become shingle sets; equal sets are one class.
-2. Candidates. Sets x, y with |x| <= |y| and Jaccard >= t differ in at most
-   |x| (1-t)/t shingles. Shingles are dealt into more parts than that by their
-   hash, so one part at least is equal in both; classes that share a part's hash
-   fall into one loose group (components over a star for each shared hash).
+2. Candidates, of which each scheme finds all. Parts: sets x, y with |x| <= |y|
+   and Jaccard >= t differ in at most |x| (1-t)/t shingles. Shingles are dealt into
+   more parts than that by their hash, so one part at least is equal in both.
+   Prefix: of shingles in one global order, linked sets share one of their first
+   |x| - ceil(t |x|) + 1; shingles that a sample of documents shows to be common
+   come last, which any order allows. Classes that share a part or a prefix
+   shingle fall into one loose group (components over a star for each). Parts
+   suit short shingles, which meet by chance, prefixes suit long ones.
 3. Token-group matrix. Within a loose group, similar sets are put into small
    groups whose union of shingles is one row of a matrix. A set opens only the
    groups whose union holds enough of it, and is compared exactly there. A walk
@@ -34,9 +38,11 @@ from .words import Words, mix, shingle_set, slices
 #: The id that stands for a null doc_id, below all others.
 LOWEST = -(1 << 63)
 #: Shingles of all sets of a block; two blocks meet in a task.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 400_000
 #: Cells of a token-group matrix, and sets of a group at least.
-MATRIX_CELLS, GROUP_SETS = 32_000_000, 16
+MATRIX_CELLS, GROUP_SETS = 16_000_000, 16
+#: One document of so many is sampled for common shingles; of those, how often it must be seen, and how many are told apart at most.
+SAMPLED, COMMON_SEEN, COMMON = 16, 3, 1_000_000
 _U = np.uint64
 
 
@@ -84,6 +90,38 @@ class Parts:
         return np.concatenate(found) if found else np.empty(0, _U)
 
 
+class Prefix:
+    """The first shingles of a set, common ones last."""
+
+    def __init__(self, percent: int, common: np.ndarray):
+        self.percent, self.common = percent, common
+        self.least = -(-percent // (100 - percent))
+
+    def signatures(self, s: np.ndarray) -> np.ndarray:
+        """None if only equal sets reach this one."""
+        if len(s) < self.least:
+            return np.empty(0, _U)
+        size = len(s) + (self.percent * len(s) // -100) + 1
+        if not len(self.common):
+            return s[:size]
+        known = self.common[np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)] == s
+        rare = s[~known][:size]
+        return np.concatenate([rare, s[known][: size - len(rare)]])
+
+
+def common_shingles(texts: DataFrame, k: int) -> np.ndarray:
+    """Sorted shingles that COMMON_SEEN or more sampled rows hold, the COMMON most frequent of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in _sets(b.column("text"), k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
+
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "s bigint")
+    seen = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_SEEN)
+    return np.sort(np.array(seen.orderBy(F.desc("n"), "s").limit(COMMON).select("s").toArrow().column("s")).astype(np.int64).view(_U))
+
+
 def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     for _, texts in slices(column):
         w = Words(texts)
@@ -103,9 +141,9 @@ def _described(k: int):
     return run
 
 
-def _signed(k: int, percent: int):
+def _signed(k: int, percent: int, common=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, seen = Parts(percent), set()
+        parts, seen = Parts(percent) if common is None else Prefix(percent, common.value), set()
         for b in batches:
             sig, v, rows = [], [], 0
             for s in _sets(b.column("text"), k):
@@ -195,7 +233,7 @@ def _linked(k: int, percent: int):
     return run
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHINGLES, scheme: str = "prefix") -> DataFrame:
     """(id, n_shingles, component) for every row of docs (doc_id, text).
 
     id is doc_id, LOWEST if null. component is the least id that a row reaches by
@@ -206,7 +244,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHIN
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(LOWEST).cast("bigint")).alias("id"), "text")
     described = written(texts.mapInArrow(_described(k), "id bigint, n bigint, v bigint"), "sets")
-    signed = texts.mapInArrow(_signed(k, percent), "sig bigint, v bigint")
+    common = spark.sparkContext.broadcast(common_shingles(texts, k)) if scheme == "prefix" else None
+    signed = texts.mapInArrow(_signed(k, percent, common), "sig bigint, v bigint")
     star = F.min("v").over(Window.partitionBy("sig"))
     edges = signed.withColumn("b", star).where("v != b").select(F.col("v").alias("a"), "b").distinct()
     loose = components(checkpointed(edges))
@@ -247,4 +286,4 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op6(docs: DataFrame) -> DataFrame:
     plain = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
-    return join(docs, k=3, percent=90).select(plain("id").alias("doc_id"), "n_shingles", plain("component").alias("component_id"))
+    return join(docs, k=3, percent=90, scheme="parts").select(plain("id").alias("doc_id"), "n_shingles", plain("component").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 #: Stands for a space in pieces.
 MARK = "▁"
 #: Units that a worker remembers before it starts anew; characters handled at once.
-REMEMBERED, SLICE_CHARS = 1_500_000, 2 << 20
+REMEMBERED, SLICE_CHARS = 1_000_000, 1 << 20
 _SLOTS = 1 << 20
 #: Stands for a NUL in a text; 0 parts units.
 _NUL = 0x110000
