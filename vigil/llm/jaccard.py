@@ -8,7 +8,10 @@
    |x| - ceil(t |x|) + 1; shingles that a sample of documents shows to be common
    come last, which any order allows. Classes that share a part or a prefix
    shingle fall into one loose group (components over a star for each). Parts
-   suit short shingles, which meet by chance, prefixes suit long ones.
+   suit short shingles, which meet by chance, prefixes suit long ones. Of a prefix
+   shingle that few classes share, all pairs are tried first by parity maps: a bit
+   tells whether a bucket of shingles holds an odd number of them, so two sets
+   differ in no fewer shingles than their maps differ in bits.
 3. Token-group matrix. Within a loose group, similar sets are put into small
    groups whose union of shingles is one row of a matrix. A set opens only the
    groups whose union holds enough of it, and is compared exactly there. A walk
@@ -43,6 +46,8 @@ BLOCK_SHINGLES = 400_000
 MATRIX_CELLS, GROUP_SETS = 16_000_000, 16
 #: One document of so many is sampled for common shingles; of those, how often it must be seen, and how many are told apart at most.
 SAMPLED, COMMON_SEEN, COMMON = 16, 3, 1_000_000
+#: Classes that share a prefix shingle, up to which all their pairs are tried by parity maps.
+FEW = 256
 _U = np.uint64
 
 
@@ -129,14 +134,85 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield shingle_set(w.text(i), k)
 
 
-def _described(k: int):
+def parity(s: np.ndarray) -> bytes:
+    """The parity map of a set: a power of two of bits, twice its size at least."""
+    width = map_bits(len(s))
+    odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def map_bits(n: int) -> int:
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def near_pairs(rows: list[tuple[int, int, bytes]], percent: int) -> Iterator[tuple[int, int]]:
+    """Edges that join all pairs of rows (v, n, map) whose sizes and maps allow a link; a pair that is joined already is not tried."""
+    rows = sorted(rows, key=lambda r: r[1])
+    maps = [int.from_bytes(r[2], "little") for r in rows]
+    top = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for i, (v, n, _) in enumerate(rows):
+        width = map_bits(n)
+        for j in range(i + 1, len(rows)):
+            m = rows[j][1]
+            if m * percent > n * 100:
+                break
+            a, b = find(i), find(j)
+            if a == b:
+                continue
+            other, bits = maps[j], map_bits(m)
+            while bits > width:
+                bits //= 2
+                other = (other >> bits) ^ (other & ((1 << bits) - 1))
+            if (maps[i] ^ other).bit_count() * (100 + percent) <= (n + m) * (100 - percent):
+                top[max(a, b)] = min(a, b)
+                yield v, rows[j][0]
+
+
+def _tried(percent: int):
+    """Over rows sorted by sig: the edges of each sig's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, held = None, []
+        done: set[tuple[int, int]] = set()
+
+        def flush() -> None:
+            done.update(near_pairs(held, percent))
+
+        for b in batches:
+            for s, v, n, m in zip(*(b.column(c).to_pylist() for c in ("sig", "v", "n", "map"))):
+                if s != sig:
+                    flush()
+                    sig, held = s, []
+                held.append((v, n, m))
+            if len(done) > 50_000:
+                yield _edges(done)
+                done.clear()
+        flush()
+        yield _edges(done)
+
+    return run
+
+
+def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _described(k: int, with_maps: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, v = [], []
+            n, v, maps, seen = [], [], [], set()
             for s in _sets(b.column("text"), k):
                 n.append(len(s))
                 v.append(set_id(s))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(v, pa.int64())], ["id", "n", "v"])
+                maps.append(parity(s) if with_maps and v[-1] not in seen else None)
+                seen.add(v[-1])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array(maps, pa.binary())], ["id", "n", "v", "map"])
 
     return run
 
@@ -243,14 +319,25 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHIN
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(LOWEST).cast("bigint")).alias("id"), "text")
-    described = written(texts.mapInArrow(_described(k), "id bigint, n bigint, v bigint"), "sets")
+    described = written(texts.mapInArrow(_described(k, scheme == "prefix"), "id bigint, n bigint, v bigint, map binary"), "sets")
     common = spark.sparkContext.broadcast(common_shingles(texts, k)) if scheme == "prefix" else None
     signed = texts.mapInArrow(_signed(k, percent, common), "sig bigint, v bigint")
-    star = F.min("v").over(Window.partitionBy("sig"))
-    edges = signed.withColumn("b", star).where("v != b").select(F.col("v").alias("a"), "b").distinct()
+    same = Window.partitionBy("sig")
+    if scheme == "prefix":
+        shared = written(signed.withColumns({"b": F.min("v").over(same), "many": F.count(F.lit(1)).over(same)}).where("many > 1"), "shared")
+        release(spark)
+        star = shared.where(F.col("many") > FEW)
+        maps = described.where("map is not null").groupBy("v").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+        few = shared.where(F.col("many") <= FEW).select("sig", "v").join(maps, "v")
+        tried = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(_tried(percent), "a bigint, b bigint")
+        edges = star.where("v != b").select(F.col("v").alias("a"), "b").unionByName(tried).distinct()
+    else:
+        star = signed.withColumn("b", F.min("v").over(same))
+        edges = star.where("v != b").select(F.col("v").alias("a"), "b").distinct()
     loose = components(checkpointed(edges))
     release(spark)
 
+    described = described.drop("map")
     classes = described.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     nodes = loose.unionByName(loose.select(F.col("label").alias("node"), "label").distinct())
     members = checkpointed(nodes.join(classes, nodes["node"] == classes["v"]).select("label", "v", "id", "n"))
