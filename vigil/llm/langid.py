@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import hold
+
 #: Bounds of the labelled sample: languages, texts and characters of each, characters of a text.
 LANGUAGES, TEXTS, CHARS, TEXT_CHARS = 64, 48, 24_000, 3_000
 #: Symbols of a lane: longer texts are read in lanes of this size, each from the automaton's start.
@@ -34,14 +36,15 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(lang, joined texts) of rows outside the held-out fold that carry a language.
 
     Texts come in the order of a hash of doc_id, those of TEXT_CHARS or fewer
-    first; a longer one gives its start. Each partition and salt keeps its first
-    TEXTS before a language's rows meet.
+    first; a longer one gives its start. Each scan partition keeps its first TEXTS
+    of a language before rows meet, and so does each of 1024 groups of partitions.
     """
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     cut = rows.select("lang", F.substring("text", 1, TEXT_CHARS).alias("text"), F.xxhash64(F.lit("langid"), "doc_id").alias("h"), (F.length("text") > TEXT_CHARS).alias("long"))
+    cut = cut.withColumn("salt", F.spark_partition_id() % 1024)
     for by in (["lang", "salt"], ["lang"]):
         first = F.row_number().over(Window.partitionBy(*by).orderBy("long", "h", "text"))
-        cut = cut.withColumn("salt", F.pmod(F.col("h"), F.lit(64))).withColumn("place", first).where(F.col("place") <= TEXTS).drop("place", "salt")
+        cut = cut.withColumn("place", first).where(F.col("place") <= TEXTS).drop("place")
     by_lang: dict[str, list] = {}
     for r in cut.limit(LANGUAGES * TEXTS).collect():
         by_lang.setdefault(r["lang"], []).append((r["long"], r["h"], r["text"]))
@@ -165,11 +168,6 @@ class Model:
         return [self.langs[b] if ok else UND for b, ok in zip(best, lettered)], score.tolist()
 
 
-@lru_cache(maxsize=2)
-def _model(labelled: tuple[tuple[str, str], ...]) -> Model:
-    return Model(labelled)
-
-
 def _batches(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
     texts, size = [], 0
     for x in column:
@@ -194,7 +192,7 @@ def identify(docs: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
     fixed = tuple(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(fixed)
+        model = hold(("langid", fixed), lambda: Model(fixed))
         for b in batches:
             langs, scores = [], []
             for texts in _batches(b.column("text")):
