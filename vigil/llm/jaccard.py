@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from vigil.session import checkpointed, release, written
 
 from .components import components
+from .lines import _fresh
 from .words import Words, mix, shingle_set, slices
+from .workers import clear
 
 #: The id that stands for a null doc_id, below all others.
 LOWEST = -(1 << 63)
@@ -205,6 +207,7 @@ def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
 
 def _described(k: int, with_maps: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         for b in batches:
             n, v, maps, seen = [], [], [], set()
             for s in _sets(b.column("text"), k):
@@ -219,6 +222,7 @@ def _described(k: int, with_maps: bool):
 
 def _signed(k: int, percent: int, common=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear()
         parts, seen = Parts(percent) if common is None else Prefix(percent, common.value), set()
         for b in batches:
             sig, v, rows = [], [], 0
@@ -293,8 +297,7 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _linked(k: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
-        press, sets, ids = zstandard.ZstdDecompressor(), [], []
-        rows = {}
+        press, rows = zstandard.ZstdDecompressor(), {}
         for v, body in zip(table.column("v").to_pylist(), table.column("body")):
             if v in rows:
                 continue
@@ -304,6 +307,7 @@ def _linked(k: int, percent: int):
         ids, sets = list(rows), list(rows.values())
         root = link(sets, percent) if ids else []
         pairs = [(ids[i], ids[r]) for i, r in enumerate(root) if i != r]
+        clear()
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
@@ -362,13 +366,13 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which each component keeps one: the least doc_id, of rows that share it the one with the least text."""
     found = written(join(docs, k, percent), "near")
     release(docs.sparkSession)
-    keep = found.where("id = component").groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    key = F.coalesce(docs["doc_id"], F.lit(LOWEST).cast("bigint"))
-    kept = docs.join(keep, key == keep["id"])
-    if keep.where("rows > 1").limit(1).count():
-        order = Window.partitionBy("id").orderBy("text", *[f"`{c}`" for c in docs.columns if c != "text"])
-        kept = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1")
-    return kept.select(*[docs[f"`{c}`"] for c in docs.columns])
+    n_id, n_rows, n_place = _fresh(docs, "_id", "_rows", "_place")
+    keep = found.where("id = component").groupBy(F.col("id").alias(n_id)).agg(F.count(F.lit(1)).alias(n_rows))
+    kept = docs.join(keep, F.coalesce(docs["doc_id"], F.lit(LOWEST).cast("bigint")) == keep[n_id])
+    if keep.where(F.col(n_rows) > 1).limit(1).count():
+        order = Window.partitionBy(n_id).orderBy("text", *[f"`{c}`" for c in docs.columns if c != "text"])
+        kept = kept.withColumn(n_place, F.row_number().over(order)).where(F.col(n_place) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6(docs: DataFrame) -> DataFrame:

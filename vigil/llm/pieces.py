@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .workers import hold
+
 #: Stands for a space in pieces.
 MARK = "▁"
 #: Units that a worker remembers before it starts anew; characters handled at once.
@@ -377,14 +379,8 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 
-_HELD: dict[int, Encoder] = {}
-
-
 def _for(shared) -> Encoder:
-    if id(shared.value) not in _HELD:
-        _HELD.clear()
-        _HELD[id(shared.value)] = Encoder(shared.value)
-    return _HELD[id(shared.value)]
+    return hold(("pieces", shared.value), lambda: Encoder(shared.value))
 
 
 def _slices(column: pa.Array) -> Iterator[list[str]]:

@@ -21,7 +21,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 #: Bytes of text that are turned into arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
