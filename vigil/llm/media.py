@@ -29,6 +29,8 @@ from .words import slices
 #: Chunk sizes in bytes: least, most; the mean beyond the least is 2 ** MASK_BITS.
 LEAST, MOST, MASK_BITS = 512, 16_384, 12
 BLOCK, RATE_HZ, LEVEL = 64, 8_000, 9
+#: The compression dictionary: bytes, and the files and bytes of each that it is trained on at most.
+DICTIONARY, SAMPLE_FILES, SAMPLE_BYTES = 65_536, 600, 4_096
 _GEAR = np.random.Generator(np.random.PCG64(64)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -95,12 +97,14 @@ class Media:
     packs: (media_sha, digests, bodies, whole, lends) of distinct files, a table in the
     shared folder; bodies are null at places that another pack owns, whole says
     that there are none, lends lists owned places that others borrow. places: (media_sha, place, digest, own, n) of all chunks,
-    n the places that hold the digest.
+    n the places that hold the digest. dictionary: what bodies are compressed with,
+    trained on a bounded sample; empty if there was too little to train on.
     """
 
     files: DataFrame
     packs: DataFrame
     places: DataFrame
+    dictionary: bytes
 
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[bytes], list[bytes]]]:
@@ -115,12 +119,26 @@ def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("key").slice(first, len(texts)), pa.array(list(map(len, texts))), pa.array(sha, pa.binary())], ["key", "n_bytes", "media_sha"])
 
 
-def _cut(with_bodies: bool):
+def dictionary(texts: DataFrame) -> bytes:
+    """Trained on the starts of SAMPLE_FILES texts, the first by a hash of the text."""
+    some = texts.where("text is not null").orderBy(F.xxhash64("text"), F.length("text")).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(SAMPLE_FILES)
+    samples = [r["text"].encode()[:SAMPLE_BYTES] for r in some.collect()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _loaded(shared: bytes) -> dict[str, zstandard.ZstdCompressionDict]:
+    return {"dict_data": zstandard.ZstdCompressionDict(shared)} if shared else {}
+
+
+def _cut(with_bodies: bool, shared: bytes = b""):
     """(media_sha, digests, bodies) of the files that a task meets first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        press = zstandard.ZstdCompressor(level=LEVEL)
+        press = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=False, **_loaded(shared))
         for _, _, _, files in _media(batches):
             names, lists, bodies = [], [], []
             for f, ends in zip(files, cuts(files)):
@@ -148,12 +166,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Media:
     own = F.struct("media_sha", "place") == F.col("owner")
     marked = written(places.join(owners, "digest").select("media_sha", "place", "digest", own.alias("own"), "n"), "places")
     owned = marked.where("own").groupBy("media_sha").agg(F.collect_list("place").alias("owned"), F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("lends"))
-    files = texts.mapInArrow(_cut(True), out).groupBy("media_sha").agg(F.first(F.struct("digests", "bodies")).alias("p"))
+    shared = dictionary(texts)
+    files = texts.mapInArrow(_cut(True, shared), out).groupBy("media_sha").agg(F.first(F.struct("digests", "bodies")).alias("p"))
     held = F.transform("p.bodies", lambda b, i: F.when(F.array_contains("owned", i), b))
     whole = F.size(F.coalesce("owned", F.array().cast("array<int>"))) == F.size("p.digests")
     packs = written(files.join(owned, "media_sha", "left").select("media_sha", F.col("p.digests").alias("digests"), held.alias("bodies"), whole.alias("whole"), F.coalesce("lends", F.array().cast("array<int>")).alias("lends")), "packs")
     release(docs.sparkSession)
-    return Media(rows.mapInArrow(_files, f"key {kind}, n_bytes bigint, media_sha binary"), packs, marked)
+    return Media(rows.mapInArrow(_files, f"key {kind}, n_bytes bigint, media_sha binary"), packs, marked, shared)
 
 
 def store(media: Media) -> DataFrame:
@@ -173,29 +192,35 @@ def decode(media: Media) -> DataFrame:
     return named.where("whole").drop("whole").select("*", none).unionByName(parts)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdDecompressor()
-    for b in batches:
-        rows = []
-        for sha, digests, own, lent in zip(*(b.column(c) for c in ("media_sha", "digests", "bodies", "lent"))):
-            parts = own.as_py()
-            for p in lent.as_py() or []:
-                parts[p["place"]] = p["body"]
-            parts = list(map(press.decompress, parts))
-            media = b"".join(parts)
-            if list(map(_digest, parts)) != digests.as_py() or hashlib.sha256(media).digest() != sha.as_py():
-                raise ValueError("chunks do not give the stored media")
-            x = samples(media)
-            rows.append((sha.as_py(), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-BLOCK:]), len(media), feature(x)))
-        names = ["media_sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+def _read(shared: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor(**_loaded(shared))
+        yield from (_opened(press, b) for b in batches)
+
+    return run
+
+
+def _opened(press: zstandard.ZstdDecompressor, b: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for sha, digests, own, lent in zip(*(b.column(c) for c in ("media_sha", "digests", "bodies", "lent"))):
+        parts = own.as_py()
+        for p in lent.as_py() or []:
+            parts[p["place"]] = p["body"]
+        parts = list(map(press.decompress, parts))
+        media = b"".join(parts)
+        if list(map(_digest, parts)) != digests.as_py() or hashlib.sha256(media).digest() != sha.as_py():
+            raise ValueError("chunks do not give the stored media")
+        x = samples(media)
+        rows.append((sha.as_py(), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-BLOCK:]), len(media), feature(x)))
+    names = ["media_sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"]
+    kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def describe(media: Media) -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every row, from the chunks read back."""
     read = decode(media).mapInArrow(
-        _read, "media_sha binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
+        _read(media.dictionary), "media_sha binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
     )
     return media.files.join(read, "media_sha").select(
         "key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha")).alias("media_sha256"), "feature"
