@@ -1,6 +1,7 @@
 """Streams give what the batch operators give."""
 
 import random
+import time
 
 from vigil.operators import folds, perimeter
 from vigil.sources import telemetry
@@ -20,7 +21,11 @@ def test_perimeter_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, perimeter.REQUEST)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(perimeter.REQUEST).parquet(str(tmp_path / "in"))
-    drained(processors.perimeter(stream).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "ck")).start())
+    q = processors.perimeter(stream).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "ck")).start()
+    end = time.time() + 60  # a query with timeouts runs batches without data, so it never has done all
+    while time.time() < end and spark.table("decisions").count() < len(rows):
+        time.sleep(0.5)
+    q.stop()
     assert {tuple(r) for r in spark.table("decisions").collect()} == {tuple(r) for r in perimeter.pipeline(df).collect()}
 
 
