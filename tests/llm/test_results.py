@@ -182,6 +182,22 @@ def test_pieces_equal_the_library(texts):
         assert ids[ends[i] : ends[i + 1]].tolist() == lib.encode(t), t[:50]
 
 
+@pytest.mark.parametrize("distinct,size", [(3000, 60_000), (60_000, 200_000), (200, 2_200_000)])
+def test_pieces_of_many_characters(distinct, size):
+    """More distinct keys than packed ranks of 63 bits take."""
+    import sentencepiece
+
+    enc, lib = pieces.Encoder(pieces.load(pieces.default_path())), sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    rng = np.random.default_rng(5)
+    some = [0x20] * 8 + list(range(0x61, 0x7B)) + list(range(0xA1, 0x250)) + list(range(0x3041, 0x3097)) + list(range(0x4E00, 0xD7A4)) + list(range(0x20000, 0x2A6D7))
+    points = np.array(some, np.uint32)[rng.integers(0, distinct, size)]
+    text = points.tobytes().decode("utf-32-le")
+    words = [w for w, k in enc.ids.items() if len(w) > 8]
+    text += "".join(w.replace(pieces.MARK, " ") for w in rng.choice(words, 2000))
+    ids, ends = enc.encode([text])
+    assert ids.tolist() == lib.encode(text) and ends.tolist() == [0, len(ids)]
+
+
 def test_pieces_round_trip(docs):
     rows = pieces.tokenize(docs.select("doc_id", "text"))
     assert rows.where("not exact").count() == 0

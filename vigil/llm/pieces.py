@@ -246,10 +246,18 @@ class Encoder:
         rank = np.empty(len(key), np.int64)
         rank[order] = np.cumsum(new) - 1
         suffix = np.zeros(len(symbols), np.int64)
-        bits = int(len(heads)).bit_length() + 1
-        assert bits * depth <= 63, "too many units at once"
+        # Ranks and their number need 31 bits at most, as a text of an Arrow batch has fewer than 2^31 characters.
+        bits, used, lost = int(len(heads)).bit_length(), 0, np.zeros(len(ids), bool)
         low, high = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for d in range(depth):
+            if used + bits > 63:
+                # Codes of all keys so far give way to their ranks. A longer piece whose code no suffix has occurs nowhere.
+                codes, suffix = np.unique(suffix, return_inverse=True)
+                used = int(len(codes)).bit_length()
+                at = np.searchsorted(codes, low)
+                lost |= (length > d * per) & (codes[np.minimum(at, len(codes) - 1)] != low)
+                low, high = at, np.searchsorted(codes, high)
+            used += bits
             suffix = (suffix << bits) | rank[d * per : d * per + len(symbols)]
             part = np.zeros(len(ids), np.int64)
             for i in range(d * per, (d + 1) * per):
@@ -265,7 +273,7 @@ class Encoder:
         order = np.argsort(suffix)
         ranked = suffix[order]
         first, last = np.searchsorted(ranked, low), np.searchsorted(ranked, high)
-        count = np.maximum(0, last - first)
+        count = np.where(lost, 0, np.maximum(0, last - first))
         spot = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return order[spot], np.repeat(ids, count), np.repeat(length, count)
 
