@@ -252,6 +252,18 @@ def test_maxent(docs, texts):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_maxent_keeps_word_histories_apart(spark):
+    """30,000 words, each followed by one of three classes of its own: more than rows of the weight table."""
+    rng = random.Random(4)
+    heads = {f"q{i}": rng.choice(["alpha", "beta", "gamma"]) for i in range(30_000)}
+    text = lambda: " ".join(f"{w} {heads[w]}" for w in rng.choices(list(heads), k=2_000))
+    df = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id bigint, text string").repartition(4)
+    rows = maxent.score(df, block_bytes=800_000).collect()
+    held = [r for r in rows if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert len(rows) == 200 and gain > 0.45, gain
+
+
 def test_words():
     odd = ["", " a  b\x0bc\n", "Ab é x", "one"]
     w = Words([t.encode() for t in odd])
