@@ -112,3 +112,11 @@ def test_pipeline_columns(spark, docs):
         rows = stage(spark, rows, "")
         assert rows.columns == list(corpus_pipeline.COLUMNS), name
     assert isinstance(corpus_pipeline.STAGES[-1][1](spark, rows, "").schema["ids"].dataType, T.ArrayType)
+
+
+def test_line_dedup_both_ways_with_null_and_shared_ids(spark):
+    made = [(None, "s1", "menu\nbody 1"), (None, "s2", "menu\nbody 2"), (7, "s1", "menu\nbody 3"), (7, "s2", "menu\nbody 4"), (8, "s1", "menu"), (8, "s1", "other"), (None, None, "menu"), (9, None, None)]
+    made += [(20 + i, "s2", f"plain {i}") for i in range(30)]
+    df = spark.createDataFrame(made, "doc_id bigint, source string, text string")
+    rows = lambda **x: sorted(map(repr, lines.line_dedup(df, **x).collect()))
+    assert rows() == rows(broadcast_rows=-1) and lines.line_dedup(df, broadcast_rows=-1).where("text = 'menu\nbody 4'").count() == 1

@@ -66,22 +66,21 @@ def line_dedup(
     is a host of its own. Rows repeat as they come. If the boilerplate lines
     number at most broadcast_rows, they go to every task as one list for each
     host; beyond that, lines meet them in a shuffled semi-join and come back to
-    their rows by key, so rows that share a key share their cuts.
+    their rows by key, host and a 64-bit hash of the text, each of which may be null.
     """
     found = checkpointed(boilerplate(docs, F.col(host), F.col(text), max_ratio, min_pages))
-    n_host, n_cut, n_lines, n_dropped = _fresh(docs, "_host", "_cut", "n_lines", "n_dropped")
+    n_host, n_key, n_text, n_cut, n_lines, n_dropped = _fresh(docs, "_host", "_key", "_text", "_cut", "n_lines", "n_dropped")
     if found.count() <= broadcast_rows:
         cuts = found.groupBy(F.col("host").alias(n_host)).agg(F.collect_set("line_hash").alias(n_cut))
         joined = docs.join(F.broadcast(cuts), F.col(host).cast("string").eqNullSafe(F.col(n_host)), "left").drop(n_host)
     else:
         lines = docs.where(F.col(text).isNotNull()).select(
-            F.col(key).alias(n_host), F.col(host).cast("string").alias("host"), F.explode(F.array_distinct(_hashes(F.col(text)))).alias("line_hash")
+            F.col(key).alias(n_key), F.xxhash64(text).alias(n_text), F.col(host).cast("string").alias(n_host), F.explode(F.array_distinct(_hashes(F.col(text)))).alias("line_hash")
         )
-        hit = lines.withColumnRenamed("host", "h").join(
-            found.select("host", F.col("line_hash").alias("lh")), F.col("h").eqNullSafe(F.col("host")) & (F.col("line_hash") == F.col("lh")), "left_semi"
-        )
-        cuts = hit.groupBy(n_host).agg(F.collect_set("line_hash").alias(n_cut))
-        joined = docs.join(cuts, F.col(key).eqNullSafe(F.col(n_host)), "left").drop(n_host)
+        hit = lines.join(found.select("host", F.col("line_hash").alias("lh")), F.col(n_host).eqNullSafe(F.col("host")) & (F.col("line_hash") == F.col("lh")), "left_semi")
+        cuts = hit.groupBy(n_key, n_host, n_text).agg(F.collect_set("line_hash").alias(n_cut))
+        own = F.col(key).eqNullSafe(F.col(n_key)) & F.col(host).cast("string").eqNullSafe(F.col(n_host)) & (F.xxhash64(text) == F.col(n_text))
+        joined = docs.join(cuts, own, "left").drop(n_key, n_host, n_text)
     split = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col(n_cut).isNull(), split).otherwise(
         F.filter(split, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains(F.col(n_cut), F.xxhash64(x)))
