@@ -120,3 +120,11 @@ def test_line_dedup_both_ways_with_null_and_shared_ids(spark):
     df = spark.createDataFrame(made, "doc_id bigint, source string, text string")
     rows = lambda **x: sorted(map(repr, lines.line_dedup(df, **x).collect()))
     assert rows() == rows(broadcast_rows=-1) and lines.line_dedup(df, broadcast_rows=-1).where("text = 'menu\nbody 4'").count() == 1
+
+
+def test_near_dedup_with_null_and_shared_ids(spark):
+    words = lambda s, n=30: " ".join(f"{s}{i}" for i in range(n))
+    made = [(None, words("a")), (None, words("b")), (None, words("b") + " more"), (5, words("c")), (5, words("d")), (3, words("d") + " x"), (5, words("e")), (5, words("e")), (None, ""), (None, ""), (None, None), (6, None)]
+    got = jaccard.near_dedup(spark.createDataFrame(made, "doc_id bigint, text string"))
+    want = [made[i] for i in (0, 1, 3, 5, 6, 8, 9, 10, 11)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))

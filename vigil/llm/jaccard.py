@@ -317,7 +317,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHIN
     """(id, n_shingles, component) for every row of docs (doc_id, text).
 
     id is doc_id, LOWEST if null. component is the least id that a row reaches by
-    links, itself included. Rows that share an id are one document. Null, empty and
+    links, itself included. Rows that share an id each have a component. Null, empty and
     blank texts have no shingles and link with nothing; fewer than k words are one
     shingle. An empty table gives no rows.
     """
@@ -363,15 +363,30 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK_SHIN
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs of which each component keeps one: the least doc_id, of rows that share it the one with the least text."""
-    found = written(join(docs, k, percent), "near")
+    """The rows of docs of which each component keeps one: the first by doc_id (null is lowest), then by text.
+
+    Rows are told apart by a 64-bit hash of doc_id and text. Of rows equal in both
+    one stays; null, empty and blank texts link with nothing and all stay.
+    """
+    n_node, n_size, n_place = _fresh(docs, "_node", "_size", "_place")
+    lowest = F.coalesce("doc_id", F.lit(LOWEST).cast("bigint"))
+    keyed = docs.withColumn(n_node, F.xxhash64(lowest, "text"))
+    found = written(join(keyed.select(F.col(n_node).alias("doc_id"), "text"), k, percent), "near")
     release(docs.sparkSession)
-    n_id, n_rows, n_place = _fresh(docs, "_id", "_rows", "_place")
-    keep = found.where("id = component").groupBy(F.col("id").alias(n_id)).agg(F.count(F.lit(1)).alias(n_rows))
-    kept = docs.join(keep, F.coalesce(docs["doc_id"], F.lit(LOWEST).cast("bigint")) == keep[n_id])
-    if keep.where(F.col(n_rows) > 1).limit(1).count():
-        order = Window.partitionBy(n_id).orderBy("text", *[f"`{c}`" for c in docs.columns if c != "text"])
-        kept = kept.withColumn(n_place, F.row_number().over(order)).where(F.col(n_place) == 1)
+    rows = keyed.select(F.col(n_node).alias("id"), lowest.alias("doc_id")).distinct()
+    nodes = found.distinct().join(rows, "id")
+    least = nodes.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+    first = written(nodes.join(least, ["component", "doc_id"]).select("component", "id", "n_shingles"), "first")
+    tied = first.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    keep = first.select("id", "n_shingles")
+    if tied.limit(1).count():
+        texts = keyed.select(F.col(n_node).alias("id"), "text")
+        by_text = first.join(tied, "component", "left_semi").join(texts, "id").groupBy("component").agg(F.min_by("id", "text").alias("id"), F.first("n_shingles").alias("n_shingles"))
+        keep = first.join(tied, "component", "left_anti").select("id", "n_shingles").unionByName(by_text.select("id", "n_shingles"))
+    kept = keyed.join(keep.select(F.col("id").alias(n_node), F.col("n_shingles").alias(n_size)), n_node)
+    if found.count() > rows.count():
+        order = Window.partitionBy(n_node).orderBy("text", *[f"`{c}`" for c in docs.columns if c != "text"])
+        kept = kept.withColumn(n_place, F.row_number().over(order)).where((F.col(n_place) == 1) | (F.col(n_size) == 0))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
