@@ -128,3 +128,9 @@ def test_near_dedup_with_null_and_shared_ids(spark):
     got = jaccard.near_dedup(spark.createDataFrame(made, "doc_id bigint, text string"))
     want = [made[i] for i in (0, 1, 3, 5, 6, 8, 9, 10, 11)]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_language_learns_all_languages(spark):
+    made = [(100 * j + i, f"word{i} of lang{j}", f"l{j:02d}") for j in range(70) for i in range(80)]
+    got = langid.sample(spark.createDataFrame(made, "doc_id bigint, text string, lang string"))
+    assert len(got) == 70 and all(t.count("\n") == langid.TEXTS for _, t in got)

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from .workers import hold
 
-#: Bounds of the labelled sample: languages, texts and characters of each, characters of a text.
-LANGUAGES, TEXTS, CHARS, TEXT_CHARS = 64, 48, 24_000, 3_000
+#: Bounds of the labelled sample of each language: texts, characters, characters of a text.
+TEXTS, CHARS, TEXT_CHARS = 48, 24_000, 3_000
 #: Symbols of a lane: longer texts are read in lanes of this size, each from the automaton's start.
 LANE = 1024
 #: Symbols that weigh in the score at most.
@@ -38,6 +38,7 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     Texts come in the order of a hash of doc_id, those of TEXT_CHARS or fewer
     first; a longer one gives its start. Each scan partition keeps its first TEXTS
     of a language before rows meet, and so does each of 1024 groups of partitions.
+    All languages are learned, so the driver and the automata grow with their number.
     """
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     cut = rows.select("lang", F.substring("text", 1, TEXT_CHARS).alias("text"), F.xxhash64(F.lit("langid"), "doc_id").alias("h"), (F.length("text") > TEXT_CHARS).alias("long"))
@@ -46,7 +47,7 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
         first = F.row_number().over(Window.partitionBy(*by).orderBy("long", "h", "text"))
         cut = cut.withColumn("place", first).where(F.col("place") <= TEXTS).drop("place")
     by_lang: dict[str, list] = {}
-    for r in cut.limit(LANGUAGES * TEXTS).collect():
+    for r in cut.collect():
         by_lang.setdefault(r["lang"], []).append((r["long"], r["h"], r["text"]))
     out = []
     for lang in sorted(by_lang):
@@ -119,8 +120,9 @@ class Model:
             rows.append(np.where(table >= 0, table, -1 - fresh))
             self.root.append(first)
             self.bits.append(np.log2(max(2, len(own))))
-        self.table = np.concatenate(rows).ravel().astype(np.int32) if rows else np.empty(0, np.int32)
-        self.root, self.bits = np.array(self.root, np.int32), np.array(self.bits)
+        kind = np.int32 if sum(map(len, rows)) * self.width < 2**31 else np.int64
+        self.table = np.concatenate(rows).ravel().astype(kind) if rows else np.empty(0, kind)
+        self.root, self.bits = np.array(self.root, kind), np.array(self.bits)
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         """Letters as learned, runs of anything else as one space."""
@@ -148,7 +150,7 @@ class Model:
             while active and length[active - 1] <= t:
                 active -= 1
             to = self.table[state[:, :active] + every[begin[:active] + t]]
-            ended = to >> 31
+            ended = to >> (8 * to.itemsize - 1)
             ends[:, :active] -= ended
             state[:, :active] = to ^ ended
         for i in range(len(self.langs)):
