@@ -20,9 +20,12 @@ def _shaped(rows: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; null texts and texts without a letter go."""
+    """Documents in which a language is found; null texts and texts without a letter go, and nothing else if no language was learned."""
     docs = _shaped(docs)
-    found = langid.identify(docs, langid.sample(docs))
+    labelled = langid.sample(docs)
+    if not labelled:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, labelled)
     return _shaped(found.where(F.col("lang_pred") != langid.UND))
 
 

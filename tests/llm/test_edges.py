@@ -134,3 +134,11 @@ def test_language_learns_all_languages(spark):
     made = [(100 * j + i, f"word{i} of lang{j}", f"l{j:02d}") for j in range(70) for i in range(80)]
     got = langid.sample(spark.createDataFrame(made, "doc_id bigint, text string, lang string"))
     assert len(got) == 70 and all(t.count("\n") == langid.TEXTS for _, t in got)
+
+
+def test_pipeline_without_a_learned_language(spark):
+    import corpus_pipeline
+
+    made = [(1, "clean text", None, "s", 10), (2, "123 !", None, "s", 5), (3, None, None, "s", 0), (4, "é", None, None, 1)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()) == [1, 4]
