@@ -43,3 +43,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("query,fit,trees,depth", [("web_forest", "web_forest", 50, 20), ("agri_forest", "sensor_forest", 100, 5)])
+def test_forests_have_their_full_size(spark, monkeypatch, query, fit, trees, depth):
+    from vigil.operators import models
+
+    made, plain = [], getattr(models, fit)
+    monkeypatch.setattr(models, fit, lambda *a, **k: made.append(plain(*a, **k)) or made[-1])
+    catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert (made[0].stages[-1].getNumTrees, made[0].stages[-1].getOrDefault("maxDepth")) == (trees, depth)
+    assert query != "web_forest" or made[0].stages[0].getOrDefault("vocabSize") == 5_000

@@ -304,7 +304,7 @@ def _(tel: DataFrame) -> DataFrame:
 def _(tel: DataFrame) -> DataFrame:
     rows = models.grams(tel.where("query is not null").select("event_id", "query", F.coalesce(first_part(col("query"), rules.GATEKEEPER_PARTS + rules.XSS_PARTS + ("--",)), lit("")).alias("hit")), "query")
     rows = rows.withColumn("label", (col("hit") != "").cast("int"))
-    model = models.web_forest(rows.where(F.pmod(F.xxhash64("event_id"), lit(5)) > 0), vocabulary=500, trees=10, depth=6)
+    model = models.web_forest(rows.where(F.pmod(F.xxhash64("event_id"), lit(5)) > 0))
     return models.verdict(model, rows).select("event_id", "label", col("prediction").cast("int").alias("prediction"))
 
 
@@ -313,7 +313,7 @@ def _(tel: DataFrame) -> DataFrame:
     base = tel.where("network is not null")
     rows = base.select((20 + col("cpu") / 10).alias("temperature"), (40 + col("memory") / 4).alias("humidity"), (col("network") / 10).alias("water"), (col("cpu") / 2).alias("n"), (col("memory") / 2).alias("p"), (col("cpu") / 3).alias("k"))
     made = models.with_attacks(rows)
-    return models.verdict(models.sensor_forest(made, trees=20), made).groupBy("label", col("prediction").cast("int").alias("prediction")).agg(F.count(lit(1)).alias("n"))
+    return models.verdict(models.sensor_forest(made), made).groupBy("label", col("prediction").cast("int").alias("prediction")).agg(F.count(lit(1)).alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
