@@ -1,8 +1,8 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-The distinct units of a batch (a run of spaces and the word after it) are joined
-and their suffixes sorted. Every piece is searched by bisection in that order;
-its range lists all places where it occurs. These edges, sorted by where they
+The units of a batch's texts (a run of spaces and the word after it) are joined,
+each distinct one once, and their suffixes sorted. Every piece is searched by
+bisection in that order; its range lists all places where it occurs. These edges, sorted by where they
 end, are relaxed from left to right. BPE keeps no best score but a last piece for
 each prefix: an edge holds if BPE would leave it and the last piece before it
 apart, which for two pieces is settled once by merging their text and kept. One
@@ -25,8 +25,8 @@ from .workers import hold
 
 #: Stands for a space in pieces.
 MARK = "▁"
-#: Units that a worker remembers before it starts anew; characters handled at once.
-REMEMBERED, SLICE_CHARS = 1_000_000, 1 << 20
+#: Characters of texts handled at once, and of distinct units indexed at once; a longer text or unit comes alone.
+SLICE_CHARS, INDEX_CHARS = 1 << 20, 1 << 18
 _SLOTS = 1 << 20
 #: Stands for a NUL in a text; 0 parts units.
 _NUL = 0x110000
@@ -82,30 +82,6 @@ class Encoder:
         self.spines: dict[tuple[int, bool], list[tuple[str, float]] | None] = {}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.slot_key, self.slot_ok = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
-        self.forget()
-
-    def forget(self) -> None:
-        """Units are known by a 64-bit hash: two sorted tables, of which the small one takes what is new."""
-        self.known_at = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
-        self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        for keys, at in self.known_at:
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                out = np.where(keys[place] == h, at[place], out)
-        return out
-
-    def remember(self, h: np.ndarray, first: int) -> None:
-        (keys, at), (new, new_at) = self.known_at
-        new, new_at = np.concatenate([new, h]), np.concatenate([new_at, first + np.arange(len(h))])
-        if len(new) * 4 > len(keys):
-            new, new_at = np.concatenate([keys, new]), np.concatenate([at, new_at])
-            keys, at = keys[:0], at[:0]
-        order = np.argsort(new)
-        pair = (new[order], new_at[order])
-        self.known_at = [pair, (keys[:0], at[:0])] if not len(keys) else [(keys, at), pair]
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
@@ -205,7 +181,7 @@ class Encoder:
         """Whether BPE leaves the two pieces apart. Ids beyond the vocabulary are characters without a piece, which nothing joins."""
         ok = np.ones(len(left), bool)
         both = np.flatnonzero((left >= 0) & (left < self.size) & (right < self.size))
-        key = left[both] * self.size + right[both]
+        key = left[both].astype(np.int64) * self.size + right[both]
         slot = (key * 0x9E3779B1 >> 7) & (_SLOTS - 1)
         miss = np.flatnonzero(self.slot_key[slot] != key)
         ok[both] = self.slot_ok[slot]
@@ -275,37 +251,40 @@ class Encoder:
         first, last = np.searchsorted(ranked, low), np.searchsorted(ranked, high)
         count = np.where(lost, 0, np.maximum(0, last - first))
         spot = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return order[spot], np.repeat(ids, count), np.repeat(length, count)
+        return order[spot].astype(np.int32), np.repeat(ids.astype(np.int32), count), np.repeat(length.astype(np.int32), count)
 
-    def learn(self, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
-        """Encodes the units that begin at places of a sequence of code points and adds their ids to the known ones."""
+    def read(self, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units that begin at places of a sequence of code points, ids of each unit)."""
         units = len(begin)
         shift = np.cumsum(sizes + 1) - sizes - 1
-        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        whole = np.zeros(int(sizes.sum()) + units - 1, np.uint32)
-        whole[np.repeat(shift - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())] = points[at]
+        unit = np.repeat(np.arange(units, dtype=np.int32), sizes)
+        inside = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        whole, of = np.zeros(len(unit) + units - 1, np.uint32), np.zeros(len(unit) + units - 1, np.int32)
+        whole[shift[unit] + inside], of[shift[unit] + inside] = points[begin[unit] + inside], unit
         whole[whole == 0x20] = ord(MARK)
-        points, begin = whole, shift
+        points, begin = whole, shift.astype(np.int32)
+        del unit, inside
         start, piece, length = self.edges(points)
         covered = np.zeros(len(points), bool)
         covered[start[length == 1]] = True
-        bare = np.flatnonzero(~covered & (points != 0))
+        bare = np.flatnonzero(~covered & (points != 0)).astype(np.int32)
         start = np.concatenate([start, bare])
-        piece = np.concatenate([piece, points[bare].astype(np.int64) + self.size])
-        length = np.concatenate([length, np.ones(len(bare), np.int64)])
-        unit = np.searchsorted(begin, start, "right") - 1
-        level = start + length - begin[unit]
+        piece = np.concatenate([piece, points[bare].astype(np.int32) + np.int32(self.size)])
+        length = np.concatenate([length, np.ones(len(bare), np.int32)])
+        level = start + length - begin[of[start]]
+        level = level.astype(np.uint16) if len(level) and level.max() < 1 << 16 else level
         order = np.argsort(level, kind="stable")
         start, piece, length, level = start[order], piece[order], length[order], level[order]
-        last, step = np.full(len(points) + 1, -1, np.int64), np.zeros(len(points) + 1, np.int64)
+        del order, of
+        last, step = np.full(len(points) + 1, -1, np.int32), np.zeros(len(points) + 1, np.int32)
+        before = np.append(points, 0)[np.arange(-1, len(points))] != 0
         for a, b in _runs(level):
-            s, p = start[a:b], piece[a:b]
-            at_begin = (s == 0) | (points[s - 1] == 0)
-            left = np.where(at_begin, -1, last[s - 1])
-            hold = self.apart(left, p)
-            end = s[hold] + length[a:b][hold] - 1
-            last[end], step[end] = p[hold], length[a:b][hold]
-        at, todo, got_unit, got = begin + sizes - 1, np.flatnonzero(sizes), [], []
+            s, p, n = start[a:b], piece[a:b], length[a:b]
+            left = np.where(before[s], last[s - 1], -1)
+            kept = self.apart(left, p)
+            end = s[kept] + n[kept] - 1
+            last[end], step[end] = p[kept], n[kept]
+        at, todo, got_unit, got = begin + sizes.astype(np.int32) - 1, np.flatnonzero(sizes), [], []
         while len(todo):
             got_unit.append(todo)
             got.append(last[at[todo]])
@@ -323,13 +302,10 @@ class Encoder:
             flat, owner = np.repeat(flat, times), np.repeat(owner, times)
             for o, x in zip(place[odd], spelled):
                 flat[o : o + len(x)] = x
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(owner, minlength=units))])
-        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        return flat.astype(np.int32), np.bincount(owner, minlength=units)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text ends)."""
-        if len(self.ends) > REMEMBERED:
-            self.forget()
         joined = "".join([" " + t if t else "" for t in texts]).replace(MARK, " ").replace("\0", chr(0xFFFE))
         raw = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -352,29 +328,32 @@ class Encoder:
         start[limit] = True
         begin = np.flatnonzero(start[:-1])
         count = np.diff(np.append(begin, len(points)))
+        which, first = self.distinct(points, begin, count)
+        ids, many = [], []
+        for part in _portions(count[first]):
+            found, n = self.read(points, begin[first[part]], count[first[part]])
+            ids.append(found)
+            many.append(n)
+        ids, many = np.concatenate(ids), np.concatenate(many)
+        own = (np.cumsum(many) - many)[which]
+        count = many[which]
+        spot = np.repeat(own - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        done = np.concatenate([[0], np.cumsum(count)])
+        return ids[spot], done[np.searchsorted(begin, limit)]
+
+    def distinct(self, points: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(of each unit the place of its like among the distinct ones, a unit of each distinct one). Units of one hash are compared."""
         up, down = self.powers(len(points) + 1)
         value = points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         value = (value ^ (value >> np.uint64(32))) * up[: len(points)]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
+        del value
         h = (total[begin + count] - total[begin]) * down[begin] + count.astype(np.uint64)
-        order = np.argsort(h)
-        ranked = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        distinct, first = ranked[new], order[new]
-        at = self.find(distinct)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            base = len(self.ends) - 1
-            self.learn(points, begin[first[miss]], count[first[miss]])
-            self.remember(distinct[miss], base)
-            at[miss] = base + np.arange(len(miss))
-        which = np.empty(len(h), np.int64)
-        which[order] = at[np.cumsum(new) - 1]
-        count = self.ends[which + 1] - self.ends[which]
-        spot = np.repeat(self.ends[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        done = np.concatenate([[0], np.cumsum(count)])
-        return self.flat[spot], done[np.searchsorted(begin, limit)]
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        like = np.repeat((begin[first][which] - begin).astype(np.int32), count)
+        if (count[first][which] != count).any() or (points[np.arange(len(points), dtype=np.int32) + like] != points).any():
+            return np.arange(len(begin)), np.arange(len(begin))
+        return which, first
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.surface[i] for i in ids])[1:].decode("utf-8", "replace")
@@ -385,6 +364,13 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sorted_values)])
 
 
+def _portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of units of INDEX_CHARS characters or a single one."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + INDEX_CHARS, "right")))
+        yield slice(a, b)
+        a = b
 
 
 def _for(shared) -> Encoder:
