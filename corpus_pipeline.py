@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import jaccard, langid, lines, mixing, pieces
-from vigil.session import release, table, written
+from vigil.session import drop, release, table, tables, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table. Tables that a stage worked with, and its input if a stage before wrote it, are dropped once its result is written."""
+    docs, own = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
+        before = set(tables())
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        *scratch, result = [t for t in tables() if t not in before]
+        drop(spark, *scratch, *own)
+        own = (result,)
         release(spark)
     return docs

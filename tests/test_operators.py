@@ -156,3 +156,54 @@ def test_baseline(spark):
 def test_stats_of_nothing(spark):
     none = dashboard.threat_rate(rules.layered_verdict(rules.model_request(tel(spark).limit(0)))).first()
     assert (none.total, none.percent) == (0, 0.0)
+
+
+def test_running_over_a_hot_key(spark):
+    """One key over many partitions: sums, maxima and places as a single pass gives them."""
+    random.seed(11)
+    data = [("hot" if i % 10 else None, i, random.randrange(1000)) for i in range(2000)]
+    df = spark.createDataFrame(data, "k string, seq bigint, v bigint").repartition(7)
+    got = {r.seq: r for r in windows.running(df, "k", ("seq",), total=("sum", F.col("v"), True), before=("max", F.col("v"), False)).collect()}
+    places = {r.seq: r._n for r in windows.numbered(df, "k", "seq").collect()}
+    for key in ("hot", None):
+        total, top, n = 0, None, 0
+        for k, i, v in data:
+            if k == key:
+                total += v
+                assert (got[i].total, got[i].before, places[i]) == (total, top, n)
+                top, n = v if top is None else max(top, v), n + 1
+
+
+def test_sequences_across_runs(spark, monkeypatch):
+    from vigil.operators import features
+
+    monkeypatch.setattr(features, "RUN", 7)
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(50)] + [("b", i, float(-i)) for i in range(3)], "k string, seq bigint, v double")
+    got = {r.seq: (list(r.steps), r.target) for r in features.sequences(df, "k", "seq", "v", 5).collect()}
+    assert got == {i: ([float(x) for x in range(i - 4, i + 1)], float(i + 1) if i < 49 else None) for i in range(4, 50)}
+
+
+def test_ngrams_take_linear_time(spark):
+    from vigil.operators import features
+
+    odd = spark.createDataFrame([("aB\U0001f600c",), ("a",), (None,), ("",)], "text string")
+    assert sorted(g for r in odd.select(features.grams_of(F.col("text")).alias("g")).collect() for g in r.g) == sorted(["ab", "b\U0001f600", "\U0001f600c", "ab\U0001f600", "b\U0001f600c", "ab\U0001f600c"])
+    long = spark.createDataFrame([("abcd" * 100_000,)], "text string")
+    assert {r.gram: (r.n, r.docs) for r in features.gram_totals(long, "text").collect()}["abcd"] == (100_000, 1)
+
+
+def test_a_rule_that_fails_leaves_the_others(spark):
+    failed = {}
+    rows = tel(spark, {"cpu": 90.0})
+    got = rules.run_rules(rows, rules.RULES | {"broken": lambda t: t.select("no_such_column")}, failed)
+    assert [r.rule_id for r in got.collect()] == ["high_cpu"] and set(failed) == {"broken"}
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from vigil.operators import models
+
+    rows = spark.createDataFrame([(float(i), float(-i), i % 2) for i in range(40)], "a double, b double, label int")
+    model = models.network_net(rows, ["a", "b"])
+    assert model.stages[-1].getLayers() == [2, 128, 64, 2] if hasattr(model.stages[-1], "getLayers") else True
+    models.save(model, str(tmp_path / "m"))
+    assert models.load(str(tmp_path / "m")).transform(rows).count() == 40

@@ -33,7 +33,8 @@ def test_cooldown_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([("a", i * 7 * S, i) for i in range(20)] + [("b", i * 31 * S, 100 + i) for i in range(5)], "k string, t bigint, seq bigint")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    drained(processors.cooldown(stream, "k", "t", 30 * S).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "ck")).start())
+    q = processors.cooldown(stream, "k", "t", 30 * S).writeStream.format("memory").queryName("kept").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    assert q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("kept").collect()} == {tuple(r) for r in folds.cooldown(df, ["k"], "t", 30 * S).collect()}
 
 
@@ -63,3 +64,58 @@ def test_readers(spark, tmp_path):
 
     assert telemetry.csv_table(spark, str(tmp_path / "c.csv"), T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])).first().a == 1
     assert telemetry.synthetic(spark, 20).count() == 20
+
+
+def test_blocks_end_without_another_request(spark, tmp_path):
+    """A blocked address that stays silent gets its auto_unblock from the sweep, and its state stays while the block holds."""
+    rows = [("9.9.9.9", 1_000_000 * i, i, "/", "1=1", "GET", 200, None) for i in range(2)]
+    df = spark.createDataFrame(rows, perimeter.REQUEST)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(perimeter.REQUEST).parquet(str(tmp_path / "in"))
+    q = processors.perimeter(stream, idle_ms=500, sweep_ms=500, pace=1_000_000).writeStream.format("memory").queryName("swept").option("checkpointLocation", str(tmp_path / "ck")).start()
+    end = time.time() + 60
+    while time.time() < end and spark.table("swept").where("decision = 'expired'").count() < 1:
+        time.sleep(0.5)
+    q.stop()
+    got = sorted(spark.table("swept").collect(), key=lambda r: r.ts_us)
+    assert [r.decision for r in got] == ["allowed", "sql_injection", "expired"] and got[2].audit == "auto_unblock"
+
+
+def test_topics_of_decisions(spark):
+    df = spark.createDataFrame([("a", 1, 1, "flooding", "flooding", "block", 100), ("a", 2, 2, "rate_limited", "rate_limit", "throttle", 0), ("a", 3, None, "expired", "", "auto_unblock", 0)], perimeter.DECISION)
+    got = sorted((r.topic, r.ts_us) for r in processors.published(df).collect())
+    assert got == [("attack_blocked", 1), ("ip:blocked", 1), ("ip:dropped", 1), ("ip:dropped", 2), ("ip:rate_limited", 2), ("ip:unblocked", 3)]
+    assert processors.subscribed(processors.published(df), "ip:blocked").count() == 1
+
+
+def test_block_list_is_read_anew_after_a_while(spark):
+    lists, calls = [["a"], ["b"], None], []
+
+    def read():
+        calls.append(1)
+        if lists[min(len(calls) - 1, 2)] is None:
+            raise OSError("away")
+        return spark.createDataFrame([(x,) for x in lists[len(calls) - 1]], "ip string")
+
+    add = processors.with_block_list(read, 5)
+    batch = spark.createDataFrame([("a",), ("b",)], "source_ip string")
+    marked = lambda now: {r.source_ip for r in add(batch, now).where("is_blocked").collect()}
+    assert [marked(0), marked(4), marked(5), marked(20)] == [{"a"}, {"a"}, {"b"}, {"b"}] and len(calls) == 3
+
+
+def test_ingest_pause_and_counts(spark, tmp_path):
+    folder = tmp_path / "events"
+    folder.mkdir()
+    (folder / "1.json").write_text('{"event_id": "1", "source_ip": "a", "event_type": "x"}\nnot json\n')
+    rows = processors.ingested(spark, str(folder))
+    seen = []
+    start = lambda: rows.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda d, _: seen.extend((r.event_id, r._corrupt_record is not None) for r in d.collect())).start()
+    feed = processors.Feed(start)
+    assert feed.query.awaitTermination(60)
+    feed.pause()
+    (folder / "2.json").write_text('{"event_id": "2"}\n')
+    feed.resume()
+    assert feed.query.awaitTermination(60) and sorted(map(str, seen)) == sorted(map(str, [("1", False), (None, True), ("2", False)]))
+    q = processors.counters(rows, "event_type").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
+    assert q.awaitTermination(60) and {(r.event_type, r.n) for r in spark.table("counted").collect()} == {("x", 1), (None, 2)}
+    assert processors.sampled(spark).isStreaming

@@ -40,18 +40,16 @@ def half_up(c: Column, digits: int = 0) -> Column:
 
 def title_case(c: Column) -> Column:
     """Upper case for every letter that no letter precedes, lower case for the others."""
-    chars = F.split(c, "")
-    return F.array_join(
-        F.transform(chars, lambda x, i: F.when((i > 0) & F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(x)).otherwise(F.upper(x))), ""
-    )
+    cased = lambda chars: F.transform(chars, lambda x, i: F.when((i > 0) & F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(x)).otherwise(F.upper(x)))
+    return F.array_join(F.flatten(F.transform(F.array(F.split(c, "")), cased)), "")
 
 
 def fixed_point(c: Column, digits: int) -> Column:
     """Text of a non-negative double with so many decimals; halves of the binary value go to even."""
     unit, ten = 1 << 62, 10**digits
     part = ((c - F.floor(c)) * float(unit)).cast("bigint").cast("decimal(20,0)") * F.lit(ten).cast("decimal(5,0)")
-    whole = F.floor(c).cast("decimal(20,0)") * ten + F.floor(part / F.lit(unit).cast("decimal(20,0)"))
     rest = part % F.lit(unit).cast("decimal(20,0)")
+    whole = F.floor(c).cast("decimal(20,0)") * ten + (part - rest) / F.lit(unit).cast("decimal(20,0)")
     half = F.lit(unit // 2).cast("decimal(20,0)")
     n = (whole + F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)).cast("bigint")
     if digits == 0:

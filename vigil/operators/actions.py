@@ -33,7 +33,7 @@ def lookup(pairs: dict[str, str]):
 
 
 def actions(alerts: DataFrame) -> DataFrame:
-    """(alert_id, rule_id, step, action, target, status): playbook steps.
+    """(alert_id, rule_id, step, action, target, status, severity, ts_us, seq): playbook steps.
 
     A target is blocked or isolated by its first step in order of seq, alert and
     step; later ones are skipped. Steps without an address are left out.
@@ -41,11 +41,11 @@ def actions(alerts: DataFrame) -> DataFrame:
     plays = alerts.sparkSession.createDataFrame([(r, i, a) for r, xs in PLAYBOOKS.items() for i, a in enumerate(xs)], "rule_id string, step int, action string")
     rows = alerts.join(F.broadcast(plays), "rule_id", "left").withColumns({"action": F.coalesce("action", F.lit("alert_only")), "step": F.coalesce("step", F.lit(0))})
     ip = F.when(F.col("rule_id").isin(*ADDRESSED), attacker_ip(F.col("source_ip"))).otherwise("unknown")
-    target = F.when(F.col("action") == "alert_only", "operators").when(F.col("action") == "isolate_service", F.coalesce("service", "source")).otherwise(ip)
+    target = F.when(F.col("action") == "alert_only", "operators").when(F.col("action") == "isolate_service", F.when(F.col("rule_id").startswith("ml_"), F.col("source")).otherwise(F.coalesce("service", "source"))).otherwise(ip)
     rows = rows.withColumn("target", target).where("target != 'unknown'")
     once = F.col("action").isin("block_ip", "isolate_service")
     first = _firsts(rows.where(once))
-    return first.unionByName(rows.where(~once).withColumn("status", F.lit("success"))).select("alert_id", "rule_id", "step", "action", "target", "status", "seq")
+    return first.unionByName(rows.where(~once).withColumn("status", F.lit("success"))).select("alert_id", "rule_id", "step", "action", "target", "status", "severity", "ts_us", "seq")
 
 
 def _firsts(rows: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def dropped(alerts: DataFrame) -> DataFrame:
     """Dropped records of the three mapped rules; the evidence carries no path and no attempt count, so they show as such."""
     pairs = alerts.sparkSession.createDataFrame(list(DROPPED.items()), "rule_id string, attack_type string")
     return alerts.join(F.broadcast(pairs), "rule_id").select(
-        "alert_id", "attack_type", "source_ip", F.lit("/unknown").alias("endpoint"), F.lit("POST").alias("method"),
+        "alert_id", "attack_type", "source_ip", F.lit("/unknown").alias("endpoint"), F.when(F.col("attack_type") == "flooding", "GET").otherwise("POST").alias("method"),
         coerced(F.col("severity"), ("low", "medium", "high", "critical"), "high").alias("severity"), F.lit(0).cast("bigint").alias("attempt_count"), "ts_us", "seq",
     )
 
@@ -75,13 +75,40 @@ def limit_then_filter(rows: DataFrame, kind: str, n: int = 100) -> DataFrame:
     return rows.orderBy(F.desc("seq"), "alert_id").limit(n).where(F.col("attack_type") == kind)
 
 
-def ledger_blocks(actions: DataFrame, alerts: DataFrame) -> DataFrame:
+def dropped_writes(requests: DataFrame) -> DataFrame:
+    """Dropped records of requests (source_ip, kind, path, method, severity, pattern, attempts, rate, block_limit, block_reason, ts_us, seq) of the five kinds, each with its own details."""
+    text = lambda c: F.col(c).cast("string")
+    details = {
+        "blocked_ip": F.create_map(F.lit("original_block_reason"), text("block_reason")), "rate_limit": F.create_map(F.lit("rate"), text("rate"), F.lit("limit"), text("block_limit")),
+        "sql_injection": F.create_map(F.lit("pattern_matched"), F.left("pattern", F.lit(50))), "brute_force": F.create_map(F.lit("attempt_count"), text("attempts")), "flooding": F.create_map(F.lit("rate"), text("rate")),
+    }
+    usual = {"rate_limit": "medium", "sql_injection": "high", "brute_force": "high", "flooding": "critical"}
+    kind = F.col("kind")
+    severity = F.when(kind == "rate_limit", "medium").otherwise(F.coalesce("severity", F.try_element_at(lookup(usual), kind), F.lit("high")))
+    made = F.coalesce(*[F.when(kind == k, d) for k, d in details.items()])
+    return requests.where(kind.isin(*details)).select(
+        "source_ip", kind.alias("attack_type"), F.when(kind == "rate_limit", "rate-limited").otherwise("blocked").alias("reason"), F.col("path").alias("endpoint"), "method", severity.alias("severity"), F.to_json(made).alias("details"), "ts_us", "seq",
+    )
+
+
+def told_actions(actions: DataFrame) -> DataFrame:
+    """actions without skipped ones that only tell of telemetry."""
+    return actions.where(~((F.col("status") == "skipped") & F.lower(F.col("message")).contains("telemetry alert")))
+
+
+def keyword(actions: DataFrame, word: str) -> DataFrame:
+    """actions (label, keywords: array) whose label or a keyword holds the word in any case."""
+    low = word.lower()
+    return actions.where(F.lower("label").contains(low) | F.exists("keywords", lambda k: F.lower(k).contains(low)))
+
+
+def ledger_blocks(actions: DataFrame) -> DataFrame:
     """(ip, reason, severity, ts_us) for the ledger from successful block actions."""
     good = actions.where((F.col("action") == "block_ip") & (F.col("status") == "success") & ~F.col("target").isin("", "unknown", "N/A"))
-    return good.join(alerts.select("alert_id", F.col("severity").alias("_s"), "ts_us"), "alert_id").select(
+    return good.select(
         F.col("target").alias("ip"),
         F.coalesce(F.try_element_at(lookup(BLOCK_REASONS), F.col("rule_id")), F.lit("abuse")).alias("reason"),
-        F.coalesce(F.try_element_at(lookup(LEDGER_SEVERITY), F.col("_s")), F.lit("high")).alias("severity"),
+        F.coalesce(F.try_element_at(lookup(LEDGER_SEVERITY), F.col("severity")), F.lit("high")).alias("severity"),
         "ts_us",
     )
 

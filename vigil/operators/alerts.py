@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.compat import truthy
@@ -24,7 +24,7 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def alerts(hits: DataFrame) -> DataFrame:
-    """One alert a hit. Model rules and critical hits keep their own severity."""
+    """One alert a hit. Model rules and critical hits keep their own severity; the evidence of model rules names no source."""
     rows = hits.join(F.broadcast(templates(hits.sparkSession)), "rule_id", "left")
     own = F.col("rule_id").startswith("ml_") | (F.col("severity") == "critical") | F.col("template_severity").isNull()
     return rows.select(
@@ -32,25 +32,27 @@ def alerts(hits: DataFrame) -> DataFrame:
         "event_id", "rule_id",
         F.coalesce("title", "rule_name").alias("title"),
         F.when(own, F.col("severity")).otherwise(F.col("template_severity")).alias("severity"),
-        F.coalesce(truthy(F.col("service")), truthy(F.col("source_ip")), F.lit("Unknown")).alias("source"),
-        "source_ip", "service", "value", "ts_us", "seq",
+        F.coalesce(F.when(~F.col("rule_id").startswith("ml_"), F.coalesce(truthy(F.col("service")), truthy(F.col("source_ip")))), F.lit("Unknown")).alias("source"),
+        "source_ip", "service", "value", "detail", "ts_us", "seq",
     )
 
 
 def described(rows: DataFrame) -> DataFrame:
-    """(alert_id, rule_id, description); counts are whole numbers, metrics stay unformatted."""
-    count = F.col("value").cast("bigint").cast("string")
-    ip, service, number = F.coalesce("source_ip", F.lit("unknown")), F.coalesce("service", F.lit("unknown")), F.col("value").cast("string")
-    text = (
-        F.when(F.col("rule_id") == "sql_injection", F.concat(F.lit("SQL injection patterns in "), count, F.lit(" field(s). Source IP: "), ip, F.lit(".")))
-        .when(F.col("rule_id") == "rate_spike", F.concat(F.lit("Abnormal request rate: "), count, F.lit(" requests from "), ip, F.lit(" in the window.")))
-        .when(F.col("rule_id") == "high_cpu", F.concat(F.lit("CPU at "), number, F.lit("% on "), service, F.lit(".")))
-        .when(F.col("rule_id") == "high_memory", F.concat(F.lit("Memory at "), number, F.lit("% on "), service, F.lit(".")))
-        .when(F.col("rule_id") == "high_network", F.concat(F.lit("Network traffic at "), number, F.lit(" KB/s.")))
-        .when(F.col("rule_id") == "brute_force", F.concat(F.lit("Failed authentication attempts ("), count, F.lit(") from "), ip, F.lit(".")))
-        .otherwise(F.col("title"))
-    )
-    return rows.select("alert_id", "rule_id", text.alias("description"))
+    """(alert_id, rule_id, description): fixed texts around what was found; counts are whole numbers, metrics stay unformatted."""
+    given = lambda c, other="unknown": F.coalesce(c, F.lit(other))
+    count, number = given(F.col("value").cast("bigint").cast("string")), given(F.col("value").cast("string"))
+    ip, service = given(F.col("source_ip")), given(F.col("service"))
+    # The texts of alerts.
+    texts = {
+        "sql_injection": ("Malicious SQL injection patterns detected in ", given(F.col("detail"), "unknown field"), ". Source IP: ", ip, ". This could be an attempt to extract or manipulate database data."),
+        "rate_spike": ("Abnormal request rate detected: ", count, " requests from ", ip, " in the last minute. This could indicate a DDoS attack or aggressive scraping."),
+        "high_cpu": ("CPU utilization at ", number, "% on ", service, ". High CPU may cause service degradation or indicate a runaway process."),
+        "high_memory": ("Memory usage at ", number, "% on ", service, ". Critical memory pressure may cause service crashes or system instability."),
+        "high_network": ("Network traffic spike detected at ", number, " KB/s. This could indicate data exfiltration or a flood attack."),
+        "brute_force": ("Multiple failed authentication attempts (", count, ") from ", ip, " targeting user '", given(F.col("detail")), "'. Possible credential stuffing or brute force attack."),
+    }
+    made = [F.when(F.col("rule_id") == rule, F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in text])) for rule, text in texts.items()]
+    return rows.select("alert_id", "rule_id", F.coalesce(*made, F.col("title")).alias("description"))
 
 
 def acknowledged(rows: DataFrame, acks: DataFrame) -> DataFrame:
@@ -67,8 +69,28 @@ def stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def dismissed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without those that ids (alert_id) names."""
+    return rows.join(ids.select("alert_id").distinct(), "alert_id", "left_anti")
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """rows that are not acknowledged."""
+    return rows.where(~F.col("acknowledged"))
+
+
+def of_severity(rows: DataFrame, *severities: str) -> DataFrame:
+    return rows.where(F.col("severity").isin(*severities))
+
+
+def of_device(rows: DataFrame, device: str, column: str = "service") -> DataFrame:
+    return rows.where(F.col(column) == device)
+
+
 def views(rows: DataFrame) -> DataFrame:
-    """(view, alert_id): the dashboard's tabs an alert stands in."""
+    """(view, alert_id): the dashboard's tabs an alert stands in. Blocked: rows whose action is blocked in any case, or that say what blocked them."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     ml = F.col("rule_id").startswith("ml_") | F.col("title").contains("ML:")
-    tabs = F.filter(F.array(F.lit("all"), F.when(F.col("acknowledged"), "acknowledged").otherwise("active"), F.when(ml, "ml")), lambda x: x.isNotNull())
-    return rows.select(F.explode(tabs).alias("view"), "alert_id")
+    stopped = F.coalesce(F.upper(have("action")) == "BLOCKED", F.lit(False)) | F.coalesce(have("blocked_by") != "", F.lit(False))
+    tabs = F.array(F.lit("all"), F.when(F.col("acknowledged"), "acknowledged").otherwise("active"), F.when(ml, "ml"), F.when(stopped, "blocked"))
+    return rows.select(F.explode(F.filter(tabs, lambda x: x.isNotNull())).alias("view"), "alert_id")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.compat import half_up
 
 from .actions import newest
+from .windows import running
 
 # What a severity adds to an address's score.
 SCORES = {"low": 10, "medium": 25, "high": 50, "critical": 100}
@@ -42,10 +45,9 @@ def traffic(verdicts: DataFrame, slot_us: int = 1_000_000, last: int = 20) -> Da
 def threat_scores(actions: DataFrame, *tie: str) -> DataFrame:
     """Rows (ip, severity, ts_us, seq) plus the address's running score and what it triggers; feedback of blocks is the state machine's."""
     add = F.coalesce(*[F.when(F.col("severity") == s, F.lit(v)) for s, v in SCORES.items()], F.lit(10))
-    w = Window.partitionBy("ip").orderBy("ts_us", "seq", *tie).rowsBetween(Window.unboundedPreceding, 0)
-    score = F.sum(add).over(w)
+    scored = running(actions, "ip", ("ts_us", "seq", *tie), score=("sum", add, True))
     act = F.when(F.col("score") >= 100, "block_critical").when(F.col("score") >= 75, "block_high").when(F.col("score") >= 50, "throttle").otherwise("monitor")
-    return actions.withColumn("score", score).withColumn("action", act)
+    return scored.withColumn("action", act)
 
 
 def high_threat(actions: DataFrame, least: int = 50) -> DataFrame:
@@ -53,6 +55,30 @@ def high_threat(actions: DataFrame, least: int = 50) -> DataFrame:
     return actions.groupBy("ip").agg(F.sum(add).alias("score")).where(F.col("score") >= least)
 
 
+def ip_stats(blocks: DataFrame, limits: DataFrame, audit: DataFrame, scores: DataFrame, least: int = 50) -> DataFrame:
+    """One row of counts over blocks (ip), limits (ip, throttled), audit rows and scores (ip, score): blocked, throttled, audit entries, addresses of a high score."""
+    one = lambda df, f, name: df.agg(f.alias(name))
+    parts = (one(blocks, F.count_distinct("ip"), "blocked_count"), one(limits, F.count_if("throttled"), "throttled_count"), one(audit, F.count(F.lit(1)), "audit_log_size"), one(scores, F.count_if(F.col("score") >= least), "high_threat_ips"))
+    shaped = [p.select(F.lit(p.columns[0]).alias("name"), F.col(p.columns[0]).cast("bigint").alias("n")) for p in parts]
+    return reduce(DataFrame.unionByName, shaped)
+
+
+def health_counts(**frames: DataFrame) -> DataFrame:
+    """(name, n): rows of each frame."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in frames.items()])
+
+
+def class_balance(rows: DataFrame, label: str) -> DataFrame:
+    """(label, n, share) of a training set."""
+    counts = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def epoch_loss(losses: DataFrame) -> DataFrame:
+    """(epoch, mean_loss) of rows (epoch, loss)."""
+    return losses.groupBy("epoch").agg(F.avg("loss").alias("mean_loss"))
+
+
 def scaled(points: DataFrame) -> DataFrame:
     """Points of a device with network as a share of the device's largest, at least 100."""
     top = points.groupBy("device").agg(F.greatest(F.max("network"), F.lit(100.0)).alias("top"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
+#: Rows of a sequence that one task orders.
+RUN = 1 << 16
+
 
 def min_max(df: DataFrame, by: str, *columns: str) -> DataFrame:
     """Columns scaled to 0..1 within `by`; a constant column gives 0."""
@@ -19,10 +24,31 @@ def inverse_min_max(scaled: F.Column, low: F.Column, high: F.Column) -> F.Column
 
 
 def sequences(df: DataFrame, by: str, order: str, value: str, length: int) -> DataFrame:
-    """Full windows of the last `length` values, with the value that follows (null at the end)."""
-    w = Window.partitionBy(by).orderBy(order)
-    rows = df.withColumns({"steps": F.collect_list(value).over(w.rowsBetween(-(length - 1), 0)), "target": F.lead(value).over(w)})
-    return rows.where(F.size("steps") == length).select(by, order, "steps", "target")
+    """Full windows of the last `length` values, with the value that follows (null at the end).
+
+    `order` is unique in `by`. Rows are numbered and dealt in runs; a run borrows the
+    rows before it and the one after it, so a key of any size is many tasks.
+    """
+    rows = numbered(df.select(by, order, value), by, order)
+    n = F.col("_n")
+    lent = rows.withColumn("_run", F.explode(F.sequence(F.floor((n - 1) / RUN), F.floor((n + length - 1) / RUN))))
+    w = Window.partitionBy(by, "_run").orderBy("_n")
+    made = lent.withColumns({"steps": F.collect_list(value).over(w.rowsBetween(-(length - 1), 0)), "target": F.lead(value).over(w)})
+    return made.where((F.col("_run") == F.floor(n / RUN)) & (F.size("steps") == length)).select(by, order, "steps", "target")
+
+
+def aligned(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep, then columns in this order as doubles: missing and null ones are 0, others go."""
+    have = set(df.columns)
+    return df.select(*keep, *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c) for c in columns])
+
+
+def encoded(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns as the rank of their value by code point, from 0; null stays. Distinct values are few against rows and are ranked without them."""
+    for c in columns:
+        values = numbered(df.select(c).where(F.col(c).isNotNull()).distinct().withColumn("_all", F.lit(0)), "_all", c).select(F.col(c).alias("_v"), F.col("_n").alias("_rank"))
+        df = df.join(values, F.col(c) == F.col("_v"), "left").withColumn(c, F.col("_rank")).drop("_v", "_rank")
+    return df
 
 
 def cleaned(df: DataFrame, label: str, *numbers: str) -> DataFrame:
@@ -32,9 +58,25 @@ def cleaned(df: DataFrame, label: str, *numbers: str) -> DataFrame:
     return df.withColumns(finite).na.drop(subset=list(numbers)).withColumn("label", F.when(normal, 0).otherwise(1))
 
 
+def grams_of(text: Column, low: int = 2, high: int = 4) -> Column:
+    """All character n-grams of the lower-cased text, short ones first. The text is cut into characters once, so time is linear in it."""
+
+    def of(chars: Column) -> Column:
+        places = lambda n: F.sequence(F.lit(0), F.size(chars) - n)
+        one = lambda n: F.transform(places(n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)]))
+        return F.concat(*[F.when(F.size(chars) >= n, one(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)])
+
+    return F.flatten(F.transform(F.array(F.split(F.lower(F.coalesce(text, F.lit(""))), "")), of))
+
+
 def char_ngrams(df: DataFrame, key: str, text: str, low: int = 2, high: int = 4) -> DataFrame:
     """(key, gram, n): counts of character n-grams of the lower-cased text."""
-    body = F.lower(F.col(text))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), lambda i: F.substring(body, i, F.lit(n)))
-    grams = F.concat(*[F.when(F.length(body) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)])
-    return df.where(F.col(text).isNotNull()).select(key, F.explode(grams).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(key, F.explode(grams_of(F.col(text), low, high)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gram_totals(df: DataFrame, text: str, low: int = 2, high: int = 4) -> DataFrame:
+    """(gram, n, docs): how often a gram occurs and in how many rows; every row counts its own grams, so one combining aggregate settles both."""
+    grams = df.select(grams_of(F.col(text), low, high).alias("grams"))
+    mark = lambda n, d: lambda g: F.struct(g.alias("gram"), F.lit(n).alias("n"), F.lit(d).alias("d"))
+    both = grams.select(F.explode(F.concat(F.transform("grams", mark(1, 0)), F.transform(F.array_distinct("grams"), mark(0, 1)))).alias("g"))
+    return both.groupBy("g.gram").agg(F.sum("g.n").alias("n"), F.sum("g.d").alias("docs"))

@@ -82,3 +82,14 @@ def device_health(df: DataFrame) -> DataFrame:
         return state, row | {"health": state[0], "status": state[1]}
 
     return sorted_fold(df, ["device"], ["ts_us", "seq"], lambda: (100, "online"), step, schema)
+
+
+def walk(df: DataFrame, key: str, value: str, start: float, factor: float) -> DataFrame:
+    """Rows (key, ts_us, seq, value) plus level, which goes a share of the way to each value."""
+    schema = T.StructType([*df.schema.fields, T.StructField("level", T.DoubleType())])
+
+    def step(level: float, row: dict) -> tuple[float, dict]:
+        level = level + (row[value] - level) * factor
+        return level, row | {"level": level}
+
+    return sorted_fold(df, [key], ["ts_us", "seq"], lambda: start, step, schema)

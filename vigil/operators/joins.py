@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .windows import running
+
 # Seconds an address is blocked, by severity.
 DURATIONS = {"low": 60, "medium": 300, "high": 600, "critical": 900}
 
@@ -20,24 +22,22 @@ def block_intervals(blocks: DataFrame) -> DataFrame:
 
 def merged(rows: DataFrame) -> DataFrame:
     """Disjoint intervals of rows (ip, ts_us, end_us)."""
-    before = Window.partitionBy("ip").orderBy("ts_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy("ip").orderBy("ts_us", "end_us")
-    fresh = F.coalesce(F.col("ts_us") > F.max("end_us").over(before), F.lit(True)).cast("int")
-    runs = rows.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(order))
+    seen = running(rows, "ip", ("ts_us", "end_us"), _last=("max", F.col("end_us"), False))
+    runs = running(seen, "ip", ("ts_us", "end_us"), _run=("sum", F.coalesce(F.col("ts_us") > F.col("_last"), F.lit(True)).cast("int"), True))
     return runs.groupBy("ip", "_run").agg(F.min("ts_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("_run")
 
 
 def _covered(requests: DataFrame, intervals: DataFrame) -> DataFrame:
     """requests plus whether an interval of their address holds their time.
 
-    Intervals of an address do not overlap, so the last one that began decides: one
-    pass over both in order of time, with no pair of rows.
+    Intervals of an address do not overlap, so the last one that began decides, and
+    it is the one that ends last: a running maximum over both in order of time, with
+    no pair of rows.
     """
     r = requests.withColumns({"_start": F.lit(None).cast("bigint"), "_end": F.lit(None).cast("bigint"), "_row": F.lit(1)})
     same = {c: F.lit(None).cast(t) for c, t in requests.dtypes if c not in ("source_ip", "ts_us")}
     i = intervals.select(F.col("ip").alias("source_ip"), F.col("start_us").alias("ts_us"), F.col("start_us").alias("_start"), F.col("end_us").alias("_end")).withColumns({**same, "_row": F.lit(0)})
-    w = Window.partitionBy("source_ip").orderBy("ts_us", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(i).withColumn("_until", F.last("_end", ignorenulls=True).over(w))
+    both = running(r.unionByName(i), "source_ip", ("ts_us", "_row", *same), _until=("max", F.col("_end"), True))
     return both.where("_row = 1").withColumn("_in", F.coalesce(F.col("ts_us") <= F.col("_until"), F.lit(False))).drop("_start", "_end", "_row", "_until")
 
 
@@ -79,6 +79,19 @@ def node_status(beats: DataFrame, now_us: int, after_s: int = 30) -> DataFrame:
     return last.withColumn("status", F.when(F.lit(now_us) - F.col("last_seen") > after_s * 1_000_000, "offline").otherwise("online"))
 
 
+def online_fraction(nodes: DataFrame) -> DataFrame:
+    """One row: online nodes, all nodes and their fraction as text; 0/0 without nodes."""
+    online, total = F.count_if(F.col("status") == "online"), F.count(F.lit(1))
+    return nodes.agg(online.alias("online"), total.alias("total")).withColumn("text", F.concat(F.col("online").cast("string"), F.lit("/"), F.col("total").cast("string")))
+
+
+def fan_out(attacks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """route_attacks with each node's result: what the node is told, and a count of the attack's nodes."""
+    routed = route_attacks(attacks, nodes)
+    count = routed.groupBy("event_id").agg(F.count(F.lit(1)).alias("nodes"))
+    return routed.join(count, "event_id").select("event_id", "node_id", F.lit("delivered").alias("result"), "nodes")
+
+
 def sector_counts(nodes: DataFrame) -> DataFrame:
     """One row: online nodes of the three sectors, zeros kept."""
     return nodes.agg(*[F.count_if((F.col("sector") == s) & (F.col("status") == "online")).alias(s) for s in ("healthcare", "agriculture", "urban")])

@@ -10,11 +10,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .features import grams_of
 
 def grams(df: DataFrame, text: str, low: int = 2, high: int = 4) -> DataFrame:
-    body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), lambda i: F.substring(body, i, F.lit(n)))
-    return df.withColumn("grams", F.concat(*[F.when(F.length(body) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]))
+    return df.withColumn("grams", grams_of(F.col(text), low, high))
 
 
 def web_forest(train: DataFrame, vocabulary: int = 5_000, trees: int = 50, depth: int = 20) -> PipelineModel:
@@ -53,7 +52,7 @@ def forecaster(train: DataFrame, length: int, target: str = "target") -> Pipelin
 
 
 def network_net(train: DataFrame, inputs: list[str]) -> PipelineModel:
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), MultilayerPerceptronClassifier(layers=[len(inputs), 16, 2], seed=42, maxIter=30)]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), MultilayerPerceptronClassifier(layers=[len(inputs), 128, 64, 2], seed=42, maxIter=30)]).fit(train)
 
 
 def verdict(model: PipelineModel, rows: DataFrame, over: float = 0.7) -> DataFrame:

@@ -10,14 +10,16 @@ from vigil.functions.compat import half_up, ipv4, protected_ip, title_case, trut
 NOT_SOURCES = ("unknown", "Unknown", "127.0.0.1", "localhost")
 
 
-def normalize(events: DataFrame, now: int) -> DataFrame:
-    """Fills event_id, domain and timestamp (seconds); missing, empty and 0 count as absent. Ids are digests of the row."""
+def normalize(events: DataFrame, now: int | Column) -> DataFrame:
+    """Fills event_id, domain, payload (JSON) and timestamp (seconds); missing, empty and 0 count as absent. Ids are digests of the row."""
+    now = now if isinstance(now, Column) else F.lit(now)
     made = F.sha2(F.concat_ws("|", "source_ip", "service", "event_type", F.col("timestamp").cast("string")), 256)
     return events.withColumns({
         "event_id": F.coalesce(truthy(F.col("event_id")), made),
         "domain": F.coalesce("domain", F.lit("general")),
-        "timestamp": F.coalesce(truthy_number(F.col("timestamp")), F.lit(now)),
-        "received_at": F.lit(now),
+        "timestamp": F.coalesce(truthy_number(F.col("timestamp")), now),
+        "received_at": now,
+        "payload": F.coalesce("payload", F.lit("{}")) if "payload" in events.columns else F.lit("{}"),
     })
 
 
@@ -51,7 +53,7 @@ def chart_point(tel: DataFrame) -> DataFrame:
     return tel.select(
         F.col("service").alias("device"), title_case(F.replace(F.col("service"), F.lit("-"), F.lit(" "))).alias("device_name"), "ts_us", "seq",
         half_up(F.coalesce("cpu", F.lit(50.0)), 1).alias("cpu"), half_up(F.coalesce("memory", F.lit(50.0)), 1).alias("memory"),
-        half_up(F.coalesce("network", F.lit(100.0))).alias("network"), F.coalesce("requests", F.lit(100)).alias("requests"),
+        half_up(F.coalesce("network", F.lit(100.0))).alias("network"), F.coalesce("requests", F.lit(100)).alias("requests"), F.date_format(F.timestamp_micros("ts_us"), "HH:mm:ss").alias("label"),
     )
 
 
@@ -68,9 +70,27 @@ def sector_badge(rule: Column, sector: Column) -> Column:
     return F.when(test("health"), "healthcare").when(test("agri"), "agriculture").when(test("urban"), "urban")
 
 
-def relative_time(seconds: Column) -> Column:
+def relative_time(seconds: Column, card: bool = True) -> Column:
+    """A card counts days; the timeline does not, and says just now of what is ahead."""
     text = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
-    return F.when(seconds < 0, "just now").when(seconds < 60, text(seconds, "s")).when(seconds < 3600, text(seconds / 60, "m")).when(seconds < 86400, text(seconds / 3600, "h")).otherwise(text(seconds / 86400, "d"))
+    near = F.when(seconds < 0, "just now").when(seconds < 60, text(seconds, "s")).when(seconds < 3600, text(seconds / 60, "m"))
+    return near.when(seconds < 86400, text(seconds / 3600, "h")).otherwise(text(seconds / 86400, "d")) if card else near.otherwise(text(seconds / 3600, "h"))
+
+
+def iso_time(us: Column) -> Column:
+    """Microseconds as UTC with six decimals and a Z."""
+    return F.concat(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
+def block_record(blocks: DataFrame, now_us: int) -> DataFrame:
+    """Blocks (ip, blocked_us, expires_us; 0 for ever) as shown: ISO times, permanent, seconds that are left."""
+    expires = F.when(F.col("expires_us") == 0, "permanent").otherwise(iso_time(F.col("expires_us")))
+    return blocks.select("ip", iso_time(F.col("blocked_us")).alias("blocked_at"), expires.alias("expires_at"), remaining_seconds(F.col("expires_us"), F.lit(now_us)).alias("remaining_seconds"))
+
+
+def draw(key: Column, seed: str) -> Column:
+    """Uniform in [0, 1) from an MD5 digest of seed and key, in place of a random number."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
 def rate_text(per_minute: Column) -> Column:
@@ -89,3 +109,20 @@ def remaining_seconds(expires_us: Column, now_us: Column) -> Column:
 
 def gigabytes(c: Column) -> Column:
     return F.round(c / 1024.0**3, 1)
+
+
+def megabytes(c: Column) -> Column:
+    return F.round(c / 1024.0**2, 1)
+
+
+def checked(requests: DataFrame, bypass: tuple[str, ...], local: tuple[str, ...] = ()) -> DataFrame:
+    """requests (path, ip) that the perimeter looks at: not on a bypassed path, not from here."""
+    return requests.where(~F.col("path").isin(*bypass) & ~protected_ip(F.col("ip"), local))
+
+
+def failed_logins(requests: DataFrame, paths: tuple[str, ...]) -> DataFrame:
+    """POST requests (path, method, status) to a login path that were refused."""
+    starts = F.lit(False)
+    for p in paths:
+        starts = starts | F.col("path").startswith(p)
+    return requests.where((F.col("method") == "POST") & starts & F.col("status").isin(401, 403))

@@ -32,8 +32,9 @@ DECISION = T.StructType([T.StructField("source_ip", T.StringType()), T.StructFie
 
 @dataclass
 class Address:
-    """expires 0: for ever; None: not blocked. limit None: no request counted yet."""
+    """expires 0: for ever; None: not blocked. limit None: no request counted yet. A protected address is never blocked."""
 
+    protected: bool = False
     expires: int | None = None
     severity: str = "low"
     reason: str = ""
@@ -59,6 +60,8 @@ class Address:
 
     def block(self, now: int, reason: str, severity: str, audit: list[str], seconds: int | None = None) -> str:
         """Extends a block in force, else starts one, which adds to the score. Extending a permanent block makes it finite."""
+        if self.protected:
+            return "protected"
         seconds = DURATIONS[severity] if seconds is None else seconds
         until = now + seconds * SECOND if seconds > 0 else 0
         if self.expires is not None and (self.expires == 0 or now <= self.expires):
@@ -135,6 +138,10 @@ class Address:
         self.failed, self.users, self.last_failed = [], [], None
 
 
+def is_protected(ip: str) -> bool:
+    return ip in LOCAL or ip.startswith("127.")
+
+
 def threat(query: str, path: str) -> str | None:
     """Class of a request by its raw query and path; scripts in the query come before SQL in it."""
     q, p = query.lower(), path.lower()
@@ -151,13 +158,13 @@ def category(path: str) -> str:
 
 def handle(a: Address, r: dict[str, Any]) -> dict[str, Any]:
     """What the perimeter decides on a request, with dropped records and audit entries it wrote."""
-    now, path, ip = r["ts_us"], r["path"] or "", r["source_ip"] or "unknown"
+    now, path = r["ts_us"], r["path"] or ""
+    a.protected = is_protected(r["source_ip"] or "unknown")
     dropped: list[str] = []
     audit: list[str] = []
 
     def decide() -> str:
-        checked = path not in BYPASS and ip not in LOCAL and not ip.startswith("127.")
-        if checked:
+        if path not in BYPASS and not a.protected:
             if a.is_blocked(now, audit):
                 dropped.append("blocked_ip")
                 return "blocked"
@@ -173,12 +180,10 @@ def handle(a: Address, r: dict[str, Any]) -> dict[str, Any]:
                 dropped.append(kind)
                 if a.suspect(now, 50, audit) == "blocked":
                     return kind
-        if r["method"] == "POST" and path.startswith(LOGIN_PATHS):
-            if r["status"] in (401, 403):
-                if a.login_failed(now, r["username"] or "unknown", dropped, audit) == "blocked":
-                    return "brute_force"
-            elif r["status"] == 200:
-                a.login_succeeded()
+        # A login that succeeds is told by the entry point below, not seen here.
+        if r["method"] == "POST" and path.startswith(LOGIN_PATHS) and r["status"] in (401, 403):
+            if a.login_failed(now, r["username"] or "unknown", dropped, audit) == "blocked":
+                return "brute_force"
         return "allowed"
 
     decision = decide()
@@ -203,17 +208,54 @@ def lifecycle(commands: DataFrame) -> DataFrame:
 
     def step(a: Address, r: dict) -> tuple[Address, dict]:
         audit: list[str] = []
+        a.protected = is_protected(r["ip"])
         a.is_blocked(r["ts_us"], audit)
-        if r["ip"] in LOCAL or r["ip"].startswith("127."):
-            audit.append("refused")
-        elif r["op"] == "block":
-            a.block(r["ts_us"], "manual", r["severity"], audit, r["seconds"])
-        else:
+        if r["op"] != "block":
             a.unblock(audit)
+        elif a.block(r["ts_us"], "manual", r["severity"], audit, r["seconds"]) == "protected":
+            audit.append("refused")
         return a, {"ip": r["ip"], "ts_us": r["ts_us"], "seq": r["seq"], "action": ",".join(audit), "expires_us": a.expires, "blocks": a.blocks, "severity": a.severity}
 
     return sorted_fold(commands, ["ip"], ["ts_us", "seq"], Address, step, COMMAND_OUT)
 
 
+ENTRY_OUT = T.StructType([T.StructField("ip", T.StringType()), T.StructField("ts_us", T.LongType()), T.StructField("seq", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("result", "dropped", "audit")], T.StructField("score", T.LongType())])
+
+
+def report(a: Address, r: dict[str, Any]) -> dict[str, Any]:
+    """What a reported login (op auth: username, success) or suspicious act (op threat: points) brings. A login that succeeds clears the failed ones."""
+    dropped: list[str] = []
+    audit: list[str] = []
+    a.protected = is_protected(r["ip"])
+    if r["op"] == "threat":
+        result = a.suspect(r["ts_us"], r["points"], audit)
+    elif r["success"]:
+        a.login_succeeded()
+        result = "none"
+    else:
+        result = a.login_failed(r["ts_us"], r["username"] or "unknown", dropped, audit)
+    return {"ip": r["ip"], "ts_us": r["ts_us"], "seq": r["seq"], "result": result, "dropped": ",".join(dropped), "audit": ",".join(audit), "score": a.score}
+
+
+def reports(rows: DataFrame) -> DataFrame:
+    """Results of reports (ip, ts_us, seq, op, username, success, points) in order of time and seq within their address."""
+    return sorted_fold(rows, ["ip"], ["ts_us", "seq"], Address, lambda a, r: (a, report(a, r)), ENTRY_OUT)
+
+
+def agent_flood(requests: DataFrame, seconds: int = 10, most: int = 5_000, block_s: int = 60) -> DataFrame:
+    """requests (source_ip, ts_us, seq) plus limited: an address beyond `most` in the window is blocked for a while, and its requests are not counted then."""
+    schema = T.StructType([*requests.schema.fields, T.StructField("limited", T.BooleanType())])
+
+    def step(state: tuple[list[int], int | None], r: dict) -> tuple[tuple[list[int], int | None], dict]:
+        (times, until), now = state, r["ts_us"]
+        if until is not None and now <= until:
+            return state, r | {"limited": True}
+        times = [t for t in times if now - t < seconds * SECOND] + [now]
+        over = len(times) > most
+        return (times, now + block_s * SECOND if over else None), r | {"limited": over}
+
+    return sorted_fold(requests, ["source_ip"], ["ts_us", "seq"], lambda: ([], None), step, schema)
+
+
 def dump(a: Address) -> dict[str, Any]:
     return asdict(a)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,29 +47,68 @@ ATTACK_TYPES = ("sqli_attack", "sqli_blocked", "sql_injection_attempt")
 RATE_SKIPS = ("sqli_attack", "sqli_blocked", "iomt_attack", "sensor_attack", "traffic_attack")
 SECTOR_NAMES = {"iomt_attack": "IoMT Device Compromise", "sensor_attack": "IoT Sensor Spoofing", "traffic_attack": "Smart City Traffic Hack"}
 
-HIT = ("event_id", "rule_id", "rule_name", "severity", "confidence", "source_ip", "service", "value", "ts_us", "seq")
+HIT = ("event_id", "rule_id", "rule_name", "severity", "confidence", "source_ip", "service", "value", "detail", "ts_us", "seq")
+_FOUND = "struct<rule_id:string,rule_name:string,severity:string,confidence:double,value:double,detail:string>"
 
 
-def hit(rows: DataFrame, rule_id, rule_name, severity, confidence, value=None) -> DataFrame:
-    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    number = F.lit(None) if value is None else value
-    made = (lit(rule_id).alias("rule_id"), lit(rule_name).alias("rule_name"), lit(severity).alias("severity"), lit(confidence).cast("double").alias("confidence"))
-    return rows.select("event_id", *made, "source_ip", "service", number.cast("double").alias("value"), "ts_us", "seq")
+def _lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
 
-def matched_fields(tel: DataFrame, fields: tuple[str, ...] = ("query", "service")) -> DataFrame:
-    """(event_id, field, pattern, value): each text field with its first matching pattern."""
-    both = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields]))
-    rows = tel.select("event_id", F.explode(both).alias("field", "text")).where("text is not null")
-    return rows.select("event_id", "field", first_match(F.col("text"), SQL_PATTERNS).alias("pattern"), F.left("text", F.lit(100)).alias("value")).where("pattern is not null")
+def found(rule_id, rule_name, severity, confidence, value=None, detail=None) -> Column:
+    """What a rule says of a row. detail: field names or a user, for the alert's text."""
+    named = (rule_id, "rule_id"), (rule_name, "rule_name"), (severity, "severity"), (confidence, "confidence"), (value, "value"), (detail, "detail")
+    return F.struct(*[_lit(x).alias(n) for x, n in named]).cast(_FOUND)
+
+
+def hit(rows: DataFrame, rule_id, rule_name, severity, confidence, value=None, detail=None) -> DataFrame:
+    return _hits(rows.withColumn("_hit", found(rule_id, rule_name, severity, confidence, value, detail)))
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    h = lambda *names: [F.col(f"_hit.{n}").alias(n) for n in names]
+    return rows.select("event_id", *h("rule_id", "rule_name", "severity", "confidence"), "source_ip", "service", *h("value", "detail"), "ts_us", "seq")
+
+
+def payload_of(tel: DataFrame) -> Column:
+    """The text values of an event by field; of rows without a payload, the query alone."""
+    return F.col("payload") if "payload" in tel.columns else F.map_from_arrays(F.array(F.lit("query")), F.array("query"))
+
+
+def matches(payload: Column) -> Column:
+    """array<struct<field,pattern,value>>: each field of a map of texts with its first matching pattern, by field name."""
+    one = lambda e: F.struct(e["key"].alias("field"), first_match(e["value"], SQL_PATTERNS).alias("pattern"), F.left(e["value"], F.lit(100)).alias("value"))
+    return F.array_sort(F.filter(F.transform(F.map_entries(payload), one), lambda m: m["pattern"].isNotNull()))
+
+
+def matched_fields(tel: DataFrame) -> DataFrame:
+    """(event_id, field, pattern, value) of every match."""
+    return tel.select("event_id", F.inline(matches(payload_of(tel))))
 
 
 def sql_injection(tel: DataFrame) -> DataFrame:
-    """Known attack types with confidence 1, then texts with a pattern with 0.85; value is the number of fields."""
+    """Known attack types with confidence 1, then texts with a pattern with 0.85; value is the number of fields, detail their names."""
+    rows = tel.withColumn("_hit", sql_found(tel))
+    return _hits(rows.where("_hit is not null"))
+
+
+def sql_found(tel: DataFrame) -> Column:
+    """What sql_injection says of a row, null if nothing. The matches are made once, as the one element of an array."""
     known = F.col("event_type").isin(*ATTACK_TYPES)
-    fields = sum(F.when(F.coalesce(first_match(F.col(f), SQL_PATTERNS).isNotNull(), F.lit(False)), 1).otherwise(0) for f in ("query", "service"))
-    rows = tel.withColumn("_fields", fields).where(known | (F.col("_fields") > 0))
-    return hit(rows, "sql_injection", F.when(known, "SQL Injection Attempt").otherwise("SQL Injection Detection"), "critical", F.when(known, 1.0).otherwise(0.85), F.col("_fields"))
+
+    def told(m: Column) -> Column:
+        names = F.array_join(F.transform(m, lambda x: x["field"]), ", ")
+        seen = found("sql_injection", F.when(known, "SQL Injection Attempt").otherwise("SQL Injection Detection"), "critical", F.when(known, 1.0).otherwise(0.85), F.size(m), F.when(names != "", names))
+        return F.when(known | (F.size(m) > 0), seen)
+
+    return F.get(F.transform(F.array(F.coalesce(matches(payload_of(tel)), F.array().cast("array<struct<field:string,pattern:int,value:string>>"))), told), F.lit(0))
+
+
+def known_attacks(events: DataFrame) -> DataFrame:
+    """(event_id, description, recommendation) of events (event_id, event_type, payload) of a known attack type."""
+    at = F.coalesce(F.try_element_at("payload", F.lit("path")), F.lit("unknown endpoint"))
+    done = F.coalesce(F.try_element_at("payload", F.lit("action")) == "BLOCKED", F.lit(False))
+    return events.where(F.col("event_type").isin(*ATTACK_TYPES)).select("event_id", F.concat(F.lit("SQL Injection attempt detected on "), at).alias("description"), F.when(done, "Already neutralized").otherwise("Immediate IP Block").alias("recommendation"))
 
 
 def sector_attack(rows: DataFrame) -> DataFrame:
@@ -90,16 +130,38 @@ def sector_attack(rows: DataFrame) -> DataFrame:
     )
 
 
-def high_cpu(tel: DataFrame, over: float = 85, critical: float = 95) -> DataFrame:
-    return hit(tel.where(F.col("cpu") > over), "high_cpu", "High CPU Usage", F.when(F.col("cpu") < critical, "warning").otherwise("critical"), 0.95, F.col("cpu"))
+def _metric(name: str, column: str, over: float, title: str, severity, confidence: float) -> Column:
+    return F.when(F.col(column) > over, found(name, title, severity, confidence, F.col(column)))
+
+
+def cpu_found(over: float = 85, critical: float = 95) -> Column:
+    return _metric("high_cpu", "cpu", over, "High CPU Usage", F.when(F.col("cpu") < critical, "warning").otherwise("critical"), 0.95)
+
+
+def memory_found(over: float = 90) -> Column:
+    return _metric("high_memory", "memory", over, "High Memory Usage", "critical", 0.95)
+
 
+def network_found(over: float = 900) -> Column:
+    return _metric("high_network", "network", over, "Network Traffic Spike", "warning", 0.80)
 
-def high_memory(tel: DataFrame, over: float = 90) -> DataFrame:
-    return hit(tel.where(F.col("memory") > over), "high_memory", "High Memory Usage", "critical", 0.95, F.col("memory"))
 
+def high_cpu(tel: DataFrame, **limits: float) -> DataFrame:
+    return _hits(tel.withColumn("_hit", cpu_found(**limits)).where("_hit is not null"))
 
-def high_network(tel: DataFrame, over: float = 900) -> DataFrame:
-    return hit(tel.where(F.col("network") > over), "high_network", "Network Traffic Spike", "warning", 0.80, F.col("network"))
+
+def high_memory(tel: DataFrame, **limits: float) -> DataFrame:
+    return _hits(tel.withColumn("_hit", memory_found(**limits)).where("_hit is not null"))
+
+
+def high_network(tel: DataFrame, **limits: float) -> DataFrame:
+    return _hits(tel.withColumn("_hit", network_found(**limits)).where("_hit is not null"))
+
+
+def single(tel: DataFrame) -> DataFrame:
+    """Hits of the rules that look at one event alone, in one pass over the events."""
+    every = F.array(sql_found(tel), cpu_found(), memory_found(), network_found())
+    return _hits(tel.withColumn("_hit", F.explode(F.filter(every, lambda x: x.isNotNull()))))
 
 
 def rate_spike(tel: DataFrame, seconds: int = 60, over: int = 500, strict: bool = False) -> DataFrame:
@@ -119,20 +181,26 @@ def brute_force(tel: DataFrame, seconds: int = 300, least: int = 5) -> DataFrame
     """Without the cooldown, see folds.cooldown."""
     rows = trailing(failed_auth(tel), "source_ip", "ts_us", seconds, {"_n": lambda w: F.count(F.lit(1)).over(w)})
     rows = rows.withColumn("service", F.lit(None).cast("string"))
-    return hit(rows.where(F.col("_n") >= least), "brute_force", "Brute Force Attack", "critical", 0.90, F.col("_n"))
+    user = F.col("username") if "username" in tel.columns else F.lit(None)
+    return hit(rows.where(F.col("_n") >= least), "brute_force", "Brute Force Attack", "critical", 0.90, F.col("_n"), user)
 
 
-RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "sql_injection": sql_injection, "rate_spike": rate_spike, "high_cpu": high_cpu, "high_memory": high_memory, "high_network": high_network, "brute_force": brute_force,
-}
+RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"single": single, "rate_spike": rate_spike, "brute_force": brute_force}
 
 
-def run_rules(tel: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]] = RULES) -> DataFrame:
-    """All hits of all rules."""
+def run_rules(tel: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]] = RULES, failed: dict[str, str] | None = None) -> DataFrame:
+    """All hits of all rules. A rule that Spark cannot resolve over the rows is left out, with its error in `failed`."""
     out = None
-    for rule in rules.values():
-        out = rule(tel) if out is None else out.unionByName(rule(tel))
-    return out
+    for name, rule in rules.items():
+        try:
+            made = rule(tel).select(*HIT)
+        except (AnalysisException, ParseException) as e:
+            if failed is None:
+                raise
+            failed[name] = str(e)
+            continue
+        out = made if out is None else out.unionByName(made)
+    return _hits(tel.limit(0).withColumn("_hit", found("", "", "", 0.0))) if out is None else out
 
 
 def threat_class(query: Column, path: Column) -> tuple[Column, Column]:
@@ -155,10 +223,12 @@ def dashboard_hits(tel: DataFrame) -> DataFrame:
 
 
 def model_request(tel: DataFrame) -> DataFrame:
-    """Inputs of the model layers for each event."""
+    """Inputs of the model layers for each event. username, payload_domain, syn_count and sensor_data are taken where the rows have them."""
+    own = lambda name, kind: F.col(name).cast(kind) if name in tel.columns else F.lit(None).cast(kind)
     return tel.select(
-        "event_id", F.col("domain").alias("sector"), F.coalesce(truthy(F.col("query")), F.lit("")).alias("text"),
-        (F.coalesce("requests", F.lit(0)) * 100).cast("double").alias("rate"), F.coalesce("network", F.lit(0.0)).alias("syn"), F.lit(0.0).alias("rst"),
+        "event_id", F.coalesce(own("payload_domain", "string"), F.col("domain"), F.lit("general")).alias("sector"), F.coalesce(truthy(F.col("query")), truthy(own("username", "string")), F.lit("")).alias("text"),
+        F.coalesce(own("sensor_data", "array<double>"), F.array().cast("array<double>")).alias("sensor_data"),
+        (F.coalesce("requests", F.lit(0)) * 100).cast("double").alias("rate"), F.coalesce(own("syn_count", "double"), F.col("network"), F.lit(0.0)).alias("syn"), F.lit(0.0).alias("rst"),
         F.lit(500.0).alias("iat"), F.coalesce("requests", F.lit(5)).cast("double").alias("number"), "source_ip", "service", "ts_us", "seq",
     )
 
@@ -169,13 +239,24 @@ def network_reasons() -> Column:
     return F.filter(F.array(*[F.when(t, F.lit(r)) for t, r in tests]), lambda x: x.isNotNull())
 
 
-def layered_verdict(requests: DataFrame) -> DataFrame:
-    """Gatekeeper, then network shield, then the sector layer, which allows; the first that hits decides."""
+def layered_verdict(requests: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+    """Gatekeeper, then network shield, then the sector layer; the first that hits decides.
+
+    predicted (event_id, agri_attack, health_probability) is what the sector models
+    say: an attack isolates in agriculture, a probability above 0.7 puts a
+    healthcare device under quarantine, without a source. Without it, and in other
+    sectors, the layer allows.
+    """
     web = F.when(first_part(F.col("text"), GATEKEEPER_PARTS).isNotNull(), F.struct(F.lit("blocked").alias("status"), F.lit("critical").alias("threat_level"), F.lit("Web Gatekeeper").alias("source"), F.lit(0.99).alias("score")))
     n = F.size(network_reasons())
     net = F.when(n > 0, F.struct(F.lit("blocked").alias("status"), F.lit("critical").alias("threat_level"), F.lit("Network Shield").alias("source"), F.least(0.5 + n * 0.15, F.lit(1.0)).alias("score")))
-    allowed = F.struct(F.lit("allowed").alias("status"), F.lit("low").alias("threat_level"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("double").alias("score"))
-    return requests.withColumn("v", F.coalesce(web, net, allowed)).select("event_id", "sector", "v.*", "source_ip", "service", "ts_us", "seq")
+    say = lambda status, level, source: F.struct(F.lit(status).alias("status"), F.lit(level).alias("threat_level"), F.lit(source).cast("string").alias("source"), F.lit(None).cast("double").alias("score"))
+    layers = [web, net]
+    if predicted is not None:
+        requests = requests.join(predicted.select("event_id", "agri_attack", "health_probability"), "event_id", "left")
+        layers.append(F.when((F.col("sector") == "agriculture") & F.col("agri_attack"), say("isolated", "medium", "Agri-Guardian")))
+        layers.append(F.when((F.col("sector") == "healthcare") & (F.col("health_probability") > 0.7), say("quarantined", "critical", None)))
+    return requests.withColumn("v", F.coalesce(*layers, say("allowed", "low", None))).select("event_id", "sector", "v.*", "source_ip", "service", "ts_us", "seq")
 
 
 def model_hits(verdicts: DataFrame) -> DataFrame:

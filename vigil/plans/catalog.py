@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.compat import first_part, ipv4, protected_ip
@@ -44,7 +44,7 @@ lit, col = F.lit, F.col
 def _(tel: DataFrame) -> DataFrame:
     raw = tel.select(
         F.when(col("seq") % 7 == 0, "").otherwise(col("event_id")).alias("event_id"), "source_ip", F.when(col("seq") % 5 != 0, col("domain")).alias("domain"), "service", "event_type",
-        F.when(col("seq") % 11 == 0, lit(0)).otherwise(F.floor(col("ts_us") / 1_000_000)).cast("bigint").alias("timestamp"),
+        F.when(col("seq") % 11 == 0, lit(0)).otherwise(F.floor(col("ts_us") / 1_000_000)).cast("bigint").alias("timestamp"), F.when(col("seq") % 4 > 0, F.concat(lit('{"k": '), col("seq").cast("string"), lit("}"))).alias("payload"),
     )
     return normalize.normalize(raw, 1_710_000_000).withColumns({c: col(c).cast("bigint") for c in ("timestamp", "received_at")})
 
@@ -113,7 +113,9 @@ over("brute_force_cooldown")(lambda tel: folds.cooldown(rules.brute_force(tel, D
 
 
 def daily_hits(tel: DataFrame) -> DataFrame:
-    return rules.run_rules(tel, rules.RULES | {"rate_spike": lambda t: rules.rate_spike(t, DAY, 8), "brute_force": lambda t: rules.brute_force(t, DAY, 5)})
+    """Hits of the rules, their windows a day long as events are sparse, and of the models."""
+    ruled = rules.run_rules(tel, rules.RULES | {"rate_spike": lambda t: rules.rate_spike(t, DAY, 8), "brute_force": lambda t: rules.brute_force(t, DAY, 5)})
+    return ruled.unionByName(rules.model_hits(verdicts(tel)))
 
 
 over("all_rules")(daily_hits)
@@ -150,7 +152,7 @@ def acked(tel: DataFrame) -> DataFrame:
 
 
 over("alerts")(daily_alerts)
-over("alert_descriptions")(lambda tel: alerts.described(daily_alerts(tel).where(col("rule_id").isin("sql_injection", "rate_spike", "brute_force"))))
+over("alert_descriptions")(lambda tel: alerts.described(daily_alerts(tel)))
 over("alert_stats")(lambda tel: alerts.stats(acked(tel)))
 over("alert_views")(lambda tel: alerts.views(acked(tel)))
 over("alert_dedup")(lambda tel: folds.cooldown(daily_alerts(tel).select("title", "source", "ts_us", "seq"), ["title", "source"], "ts_us", HOUR_US))
@@ -174,7 +176,7 @@ def _(tel: DataFrame) -> DataFrame:
 
 
 over("action_counts")(lambda tel: acted(tel).groupBy("rule_id", "action", "status").agg(F.count(lit(1)).alias("n")))
-over("ledger_blocks")(lambda tel: actions.ledger_blocks(acted(tel), daily_alerts(tel)))
+over("ledger_blocks")(lambda tel: actions.ledger_blocks(acted(tel)))
 over("dropped_records")(dropped)
 over("dropped_stats_rollup")(lambda tel: actions.dropped_stats(dropped(tel)))
 over("dropped_limit_then_filter")(lambda tel: actions.limit_then_filter(dropped(tel), "brute_force").select("alert_id", "source_ip", "seq"))
@@ -235,7 +237,7 @@ over("sector_online_counts")(lambda tel: joins.sector_counts(nodes(tel)))
 
 @over("heartbeat_contains_join")
 def _(tel: DataFrame) -> DataFrame:
-    ids = nodes(tel).select("node_id", F.row_number().over(Window.orderBy("node_id")).alias("registered_seq"))
+    ids = nodes(tel).select("node_id", col("node_id").alias("registered_seq"))
     return joins.heartbeats(tel, ids)
 
 
@@ -273,8 +275,7 @@ def _(tel: DataFrame) -> DataFrame:
 
 @over("char_ngram_counts", of("documents"))
 def _(docs: DataFrame) -> DataFrame:
-    grams = features.char_ngrams(docs, "doc_id", "text")
-    return grams.groupBy("gram").agg(F.sum("n").alias("n"), F.count(lit(1)).alias("docs")).orderBy(F.desc("n"), "gram").limit(100)
+    return features.gram_totals(docs, "text").orderBy(F.desc("n"), "gram").limit(100)
 
 
 def requests_of(tel: DataFrame) -> DataFrame:
@@ -318,8 +319,7 @@ def _(tel: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits to alerts to actions: steps of each rule, severity and action."""
-    rows = daily_alerts(telemetry_of(spark, sf_dir))
-    return actions.actions(rows).join(rows.select("alert_id", "severity"), "alert_id").groupBy("rule_id", "severity", "action").agg(F.count(lit(1)).alias("steps"))
+    return acted(telemetry_of(spark, sf_dir)).groupBy("rule_id", "severity", "action").agg(F.count(lit(1)).alias("steps"))
 
 
 QUERIES["alert_actions"] = flagship

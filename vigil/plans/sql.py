@@ -31,18 +31,20 @@ TEL = """tel as (select 'evt-' || event_id as event_id, '10.0.' || cast(floor(us
  case when event_type = 'click' then least(value, 100.0) end as cpu, case when event_type = 'click' then cast(json_extract_string(props, '$.k') as double) end as memory,
  case when event_type = 'click' then value * 5 end as network, case when event_type = 'click' then cast(json_extract_string(props, '$.k') as bigint) end as requests,
  case when event_type in ('view', 'purchase') then case event_id % 9 when 0 then '1 OR 1=1 --' when 1 then 'admin''--' when 2 then '<script>alert(1)</script>' else 'q=' || event_id end end as query,
+ case when event_type in ('error', 'signup') then case when event_id % 23 = 0 then 'root'' or 1=1 --' else 'user-' || user_id % 50 end end as username,
  case when event_type = 'signup' then event_id % 3 = 0 end as success, epoch_us(ts) as ts_us, event_id as seq from events)"""
 
-HIT = "event_id, {r} as rule_id, {n} as rule_name, {s} as severity, {c}::double as confidence, source_ip, {v} as service, {x}::double as value, ts_us, seq"
-_SQLI_N = f"((({first_index('query', rules.SQL_PATTERNS)}) is not null)::int + (({first_index('service', rules.SQL_PATTERNS)}) is not null)::int)"
+HIT = "event_id, {r} as rule_id, {n} as rule_name, {s} as severity, {c}::double as confidence, source_ip, {v} as service, {x}::double as value, {d} as detail, ts_us, seq"
+_SQLI_N = f"((({first_index('query', rules.SQL_PATTERNS)}) is not null)::int + (({first_index('username', rules.SQL_PATTERNS)}) is not null)::int)"
+_SQLI_D = f"nullif(concat_ws(', ', case when ({first_index('query', rules.SQL_PATTERNS)}) is not null then 'query' end, case when ({first_index('username', rules.SQL_PATTERNS)}) is not null then 'username' end), '')"
 
 
-def hit(rule: str, name: str, severity: str, confidence: str, value: str, service: str = "service") -> str:
-    return HIT.format(r=q(rule), n=name, s=severity, c=confidence, v=service, x=value)
+def hit(rule: str, name: str, severity: str, confidence: str, value: str, service: str = "service", detail: str = "null::varchar") -> str:
+    return HIT.format(r=q(rule), n=name, s=severity, c=confidence, v=service, x=value, d=detail)
 
 
 FAILED = "event_type = 'auth_failure' or (event_type = 'auth_attempt' and not coalesce(success, true))"
-SQLI = f"select {hit('sql_injection', q('SQL Injection Detection'), q('critical'), '0.85', 'n')} from (select *, {_SQLI_N} as n from tel) where n > 0"
+SQLI = f"select {hit('sql_injection', q('SQL Injection Detection'), q('critical'), '0.85', 'n', detail='d')} from (select *, {_SQLI_N} as n, {_SQLI_D} as d from tel) where n > 0"
 CPU = f"select {hit('high_cpu', q('High CPU Usage'), 'case when cpu < 95 then ' + q('warning') + ' else ' + q('critical') + ' end', '0.95', 'cpu')} from tel where cpu > 85"
 MEMORY = f"select {hit('high_memory', q('High Memory Usage'), q('critical'), '0.95', 'memory')} from tel where memory > 90"
 NETWORK = f"select {hit('high_network', q('Network Traffic Spike'), q('warning'), '0.8', 'network')} from tel where network > 900"
@@ -57,36 +59,39 @@ def spike(seconds: int, over: int) -> str:
 
 
 def brute(seconds: int, least: int) -> str:
-    return f"select {hit('brute_force', q('Brute Force Attack'), q('critical'), '0.9', 'n', 'null::varchar')} from (select *, count(*) {window(seconds)} as n from tel where {FAILED}) where n >= {least}"
+    return f"select {hit('brute_force', q('Brute Force Attack'), q('critical'), '0.9', 'n', 'null::varchar', 'username')} from (select *, count(*) {window(seconds)} as n from tel where {FAILED}) where n >= {least}"
+
+
+VERDICT = f"""{TEL}, req as (select event_id, domain as sector, coalesce(nullif(query, ''), nullif(username, ''), '') as text, coalesce(requests, 0) * 100.0::double as rate, coalesce(network, 0.0) as syn, coalesce(requests, 5)::double as number, source_ip, service, ts_us, seq from tel),
+ reasons as (select *, (rate > 5000)::int + (syn > 50)::int + (number > 60)::int as n, ({first_part('text', rules.GATEKEEPER_PARTS)}) is not null as web from req),
+ verdicts as (select event_id, sector, case when web or n > 0 then 'blocked' else 'allowed' end as status, case when web or n > 0 then 'critical' else 'low' end as threat_level,
+ case when web then 'Web Gatekeeper' when n > 0 then 'Network Shield' end as source, case when web then 0.99::double when n > 0 then least(0.5::double + n * 0.15::double, 1.0::double) end as score, source_ip, service, ts_us, seq from reasons)"""
+
+ML = "select event_id, 'ml_' || replace(lower(source), ' ', '_') as rule_id, 'ML: ' || source as rule_name, threat_level as severity, score as confidence, source_ip, service, null::double as value, null::varchar as detail, ts_us, seq from verdicts where status = 'blocked'"
 
 
 def hits(rate_s: int = 86400, over: int = 8, brute_s: int = 86400, least: int = 5) -> str:
-    return f"{TEL}, hits as ({' union all '.join((SQLI, spike(rate_s, over), CPU, MEMORY, NETWORK, brute(brute_s, least)))})"
+    return f"{VERDICT}, hits as ({' union all '.join((SQLI, spike(rate_s, over), CPU, MEMORY, NETWORK, brute(brute_s, least), ML))})"
 
 
 TEMPLATES = "templates(rule_id, title, template_severity) as (values " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in alerts.TEMPLATES) + ")"
 ALERTS = f"""{hits()}, {TEMPLATES}, alerts as (select sha256(event_id || '|' || h.rule_id) as alert_id, event_id, h.rule_id, coalesce(title, rule_name) as title,
  case when starts_with(h.rule_id, 'ml_') or severity = 'critical' or template_severity is null then severity else template_severity end as severity,
- coalesce(nullif(service, ''), nullif(source_ip, ''), 'Unknown') as source, source_ip, service, value, ts_us, seq from hits h left join templates t on h.rule_id = t.rule_id)"""
+ case when starts_with(h.rule_id, 'ml_') then 'Unknown' else coalesce(nullif(service, ''), nullif(source_ip, ''), 'Unknown') end as source, source_ip, service, value, detail, ts_us, seq from hits h left join templates t on h.rule_id = t.rule_id)"""
 ACKED = f"{ALERTS}, acked as (select *, seq % 5 = 0 as acknowledged from alerts)"
 
 _PLAYS = ", ".join(f"({q(r)}, {i}, {q(a)})" for r, xs in actions.PLAYBOOKS.items() for i, a in enumerate(xs))
 ACTIONS = f"""{ALERTS}, plays(rule_id, step, action) as (values {_PLAYS}),
  steps as (select a.*, coalesce(p.step, 0) as step, coalesce(p.action, 'alert_only') as action from alerts a left join plays p on a.rule_id = p.rule_id),
- aimed as (select *, case when action = 'alert_only' then 'operators' when action = 'isolate_service' then coalesce(service, source)
+ aimed as (select *, case when action = 'alert_only' then 'operators' when action = 'isolate_service' then case when starts_with(rule_id, 'ml_') then source else coalesce(service, source) end
    when rule_id in ('sql_injection', 'brute_force', 'rate_spike') and {IPV4.format(c='source_ip')} and not starts_with(source_ip, '127.') then source_ip else 'unknown' end as target from steps),
  acted as (select alert_id, rule_id, step, action, target,
-   case when action in ('block_ip', 'isolate_service') and row_number() over (partition by action, target order by seq, alert_id, step) > 1 then 'skipped' else 'success' end as status, seq
+   case when action in ('block_ip', 'isolate_service') and row_number() over (partition by action, target order by seq, alert_id, step) > 1 then 'skipped' else 'success' end as status, severity, ts_us, seq
    from aimed where target <> 'unknown')"""
 DROPPED = f"""{ALERTS}, pairs(rule_id, attack_type) as (values {', '.join(f'({q(a)}, {q(b)})' for a, b in actions.DROPPED.items())}),
- dropped as (select alert_id, attack_type, source_ip, '/unknown' as endpoint, 'POST' as method,
+ dropped as (select alert_id, attack_type, source_ip, '/unknown' as endpoint, case when attack_type = 'flooding' then 'GET' else 'POST' end as method,
  case when severity in ('low', 'medium', 'high', 'critical') then severity else 'high' end as severity, 0::bigint as attempt_count, ts_us, seq from alerts join pairs using (rule_id))"""
 
-VERDICT = f"""{TEL}, req as (select event_id, domain as sector, coalesce(nullif(query, ''), '') as text, coalesce(requests, 0) * 100.0::double as rate, coalesce(network, 0.0) as syn, coalesce(requests, 5)::double as number, source_ip, service, ts_us, seq from tel),
- reasons as (select *, (rate > 5000)::int + (syn > 50)::int + (number > 60)::int as n, ({first_part('text', rules.GATEKEEPER_PARTS)}) is not null as web from req),
- verdicts as (select event_id, sector, case when web or n > 0 then 'blocked' else 'allowed' end as status, case when web or n > 0 then 'critical' else 'low' end as threat_level,
- case when web then 'Web Gatekeeper' when n > 0 then 'Network Shield' end as source, case when web then 0.99::double when n > 0 then least(0.5::double + n * 0.15::double, 1.0::double) end as score, source_ip, service, ts_us, seq from reasons)"""
-
 BLOCKS = f"""{TEL}, blocks as (select source_ip as ip, case seq % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'critical' end as severity, ts_us from tel where event_type = 'auth_failure'),
  ends as (select ip, ts_us, ts_us + ({chain('severity', joins.DURATIONS, '300')})::bigint * 96000000 as end_us from blocks),
  runs as (select *, coalesce(ts_us > max(end_us) over (partition by ip order by ts_us, end_us rows between unbounded preceding and 1 preceding), true)::int as fresh from ends),
@@ -98,7 +103,7 @@ NODES = """nodes as (select *, row_number() over (order by node_id) as registere
 
 _HALF = lambda x, s: f"floor({x} * {s}.0::double + 0.5) / {s}.0::double"
 CHART = f"""{TEL}, chart as (select service as device, 'Node ' || substr(service, 6) as device_name, ts_us, seq, {_HALF('coalesce(cpu, 50.0)', 10)} as cpu, {_HALF('coalesce(memory, 50.0)', 10)} as memory,
- {_HALF('coalesce(network, 100.0)', 1)} as network, coalesce(requests, 100) as requests from tel)"""
+ {_HALF('coalesce(network, 100.0)', 1)} as network, coalesce(requests, 100) as requests, strftime(make_timestamp(ts_us), '%H:%M:%S') as label from tel)"""
 
 
 def greedy(key: str, source: str, us: int) -> str:
@@ -113,8 +118,8 @@ def greedy(key: str, source: str, us: int) -> str:
 _SCORE = chain("severity", dashboard.SCORES, "10")
 
 SQL: dict[str, str] = {
-    "ingest_normalize": f"""with {TEL}, raw as (select case when seq % 7 = 0 then '' else event_id end as event_id, source_ip, case when seq % 5 = 0 then null else domain end as domain, service, event_type, case when seq % 11 = 0 then 0 else ts_us // 1000000 end as timestamp from tel)
- select coalesce(nullif(event_id, ''), sha256(source_ip || '|' || service || '|' || event_type || '|' || timestamp)) as event_id, source_ip, coalesce(domain, 'general') as domain, service, event_type, coalesce(nullif(timestamp, 0), 1710000000)::bigint as timestamp, 1710000000::bigint as received_at from raw""",
+    "ingest_normalize": f"""with {TEL}, raw as (select case when seq % 7 = 0 then '' else event_id end as event_id, source_ip, case when seq % 5 = 0 then null else domain end as domain, service, event_type, case when seq % 11 = 0 then 0 else ts_us // 1000000 end as timestamp, case when seq % 4 > 0 then '{{"k": ' || seq || '}}' end as payload from tel)
+ select coalesce(nullif(event_id, ''), sha256(source_ip || '|' || service || '|' || event_type || '|' || timestamp)) as event_id, source_ip, coalesce(domain, 'general') as domain, service, event_type, coalesce(nullif(timestamp, 0), 1710000000)::bigint as timestamp, 1710000000::bigint as received_at, coalesce(payload, '{{}}') as payload from raw""",
     "events_page": f"with {TEL} select event_id, seq from tel order by seq desc limit 50 offset 20",
     "events_ring_1000": f"with {TEL} select event_id, seq from tel order by seq desc limit 1000",
     "client_ip_resolve": f"""with {TEL}, h as (select event_id, case when seq % 3 = 0 then ' 203.0.113.' || seq % 200 || ' , 10.0.0.1' when seq % 3 = 1 then '' end as xff, case when seq % 2 = 0 then ' 198.51.100.' || seq % 90 end as xri, case when seq % 5 = 0 then '192.0.2.7' end as cf, case when seq % 7 = 0 then '' else source_ip end as peer from tel)
@@ -127,7 +132,7 @@ SQL: dict[str, str] = {
  select event_id, coalesce(case when a <> '' and a not in ('unknown', 'Unknown') then a end, case when b <> '' and b not in ('unknown', 'Unknown') then b end, 'unknown') as ip from h""",
     "ipv4_validity": f"""with {TEL}, h as (select event_id, case seq % 6 when 0 then source_ip when 1 then source_ip || '.1' when 2 then '256.1.1.1' when 3 then '1..2.3' when 4 then 'a.b.c.d' else '010.000.255.1' end as ip from tel)
  select event_id, ip, {IPV4.format(c='ip')} as valid, ip in ('127.0.0.1', 'localhost', '::1') or starts_with(ip, '127.') as protected from h""",
-    "rule_sqli_matches": f"""with {TEL}, f as (select event_id, 'query' as field, query as text from tel union all select event_id, 'service', service from tel)
+    "rule_sqli_matches": f"""with {TEL}, f as (select event_id, 'query' as field, query as text from tel union all select event_id, 'username', username from tel)
  select event_id, field, pattern, left(text, 100) as value from (select *, {first_index('text', rules.SQL_PATTERNS)} as pattern from f) where pattern is not null""",
     "rule_sqli_pages": f"select page_id, part from (select page_id, {first_part('html', rules.SQL_PARTS)} as part from pages) where part is not null",
     "rule_xss_pages": f"select page_id, part from (select page_id, {first_part('html', rules.XSS_PARTS)} as part from pages) where part is not null",
@@ -148,20 +153,26 @@ SQL: dict[str, str] = {
  union all select 'rule-net-spike', service, 'warning', ts_us, seq from tel where network > 800 union all select 'rule-req-flood', service, 'warning', ts_us, seq from tel where requests > 400) select * from d""",
     "network_heuristics": f"with {VERDICT} select event_id, n::int as reasons, least(0.5::double + n * 0.15::double, 1.0::double) as score from reasons where n > 0",
     "layered_verdict": f"with {VERDICT} select event_id, sector, status, threat_level, source, score from verdicts",
-    "ml_anomalies": f"with {VERDICT} select event_id, 'ml_' || replace(lower(source), ' ', '_') as rule_id, 'ML: ' || source as rule_name, threat_level as severity, score as confidence, source_ip, service, null::double as value, ts_us, seq from verdicts where status = 'blocked'",
+    "ml_anomalies": f"with {VERDICT} {ML}",
     "alerts": f"with {ALERTS} select * from alerts",
-    "alert_descriptions": f"""with {ALERTS} select alert_id, rule_id, case rule_id when 'sql_injection' then 'SQL injection patterns in ' || value::bigint || ' field(s). Source IP: ' || source_ip || '.' when 'rate_spike' then 'Abnormal request rate: ' || value::bigint || ' requests from ' || source_ip || ' in the window.'
- when 'brute_force' then 'Failed authentication attempts (' || value::bigint || ') from ' || source_ip || '.' end as description from alerts where rule_id in ('sql_injection', 'rate_spike', 'brute_force')""",
+    "alert_descriptions": f"""with {ALERTS} select alert_id, rule_id, case rule_id
+ when 'sql_injection' then 'Malicious SQL injection patterns detected in ' || coalesce(detail, 'unknown field') || '. Source IP: ' || coalesce(source_ip, 'unknown') || '. This could be an attempt to extract or manipulate database data.'
+ when 'rate_spike' then 'Abnormal request rate detected: ' || value::bigint || ' requests from ' || coalesce(source_ip, 'unknown') || ' in the last minute. This could indicate a DDoS attack or aggressive scraping.'
+ when 'high_cpu' then 'CPU utilization at ' || value || '% on ' || coalesce(service, 'unknown') || '. High CPU may cause service degradation or indicate a runaway process.'
+ when 'high_memory' then 'Memory usage at ' || value || '% on ' || coalesce(service, 'unknown') || '. Critical memory pressure may cause service crashes or system instability.'
+ when 'high_network' then 'Network traffic spike detected at ' || value || ' KB/s. This could indicate data exfiltration or a flood attack.'
+ when 'brute_force' then 'Multiple failed authentication attempts (' || value::bigint || ') from ' || coalesce(source_ip, 'unknown') || ' targeting user ''' || coalesce(detail, 'unknown') || '''. Possible credential stuffing or brute force attack.'
+ else title end as description from alerts""",
     "alert_stats": f"with {ACKED} select count(*) as total, count(*) filter (not acknowledged) as active, count(*) filter (not acknowledged and severity = 'critical') as critical, count(*) filter (not acknowledged and severity = 'warning') as warning from acked",
     "alert_views": f"with {ACKED} select 'all' as view, alert_id from acked union all select case when acknowledged then 'acknowledged' else 'active' end, alert_id from acked union all select 'ml', alert_id from acked where starts_with(rule_id, 'ml_') or contains(title, 'ML:')",
     "alert_dedup": f"with recursive {ALERTS}, {greedy('title, source', 'select title, source, ts_us as t, seq as id from alerts', HOUR)} select title, source, t as ts_us, id as seq from r",
     "dashboard_rule_cooldown": f"""with recursive {TEL}, d as (select 'rule-cpu-high' as rule, service as device, ts_us as t, seq as id from tel where cpu > 85 union all select 'rule-mem-critical', service, ts_us, seq from tel where memory > 90
  union all select 'rule-net-spike', service, ts_us, seq from tel where network > 800), {greedy('rule, device', 'select * from d', HOUR)} select rule, device, t as ts_us, id as seq from r""",
-    "alert_actions": f"with {ACTIONS} select rule_id, l.severity, action, count(*) as steps from acted a join (select alert_id, severity from alerts) l using (alert_id) group by all",
+    "alert_actions": f"with {ACTIONS} select rule_id, severity, action, count(*) as steps from acted group by all",
     "playbook_actions": f"with {ACTIONS} select alert_id, rule_id, step, action, target from acted",
     "action_first_wins": f"with {ACTIONS} select action, target, count(*) filter (status = 'success') as won, count(*) filter (status = 'skipped') as skipped from acted where action in ('block_ip', 'isolate_service') group by action, target",
     "action_counts": f"with {ACTIONS} select rule_id, action, status, count(*) as n from acted group by rule_id, action, status",
-    "ledger_blocks": f"""with {ACTIONS} select a.target as ip, {chain('a.rule_id', actions.BLOCK_REASONS, q('abuse'))} as reason, {chain('l.severity', actions.LEDGER_SEVERITY, q('high'))} as severity, l.ts_us from acted a join alerts l using (alert_id) where a.action = 'block_ip' and a.status = 'success'""",
+    "ledger_blocks": f"""with {ACTIONS} select a.target as ip, {chain('a.rule_id', actions.BLOCK_REASONS, q('abuse'))} as reason, {chain('a.severity', actions.LEDGER_SEVERITY, q('high'))} as severity, a.ts_us from acted a where a.action = 'block_ip' and a.status = 'success'""",
     "dropped_records": f"with {DROPPED} select * from dropped",
     "dropped_stats_rollup": f"with {DROPPED} select attack_type, count(*) as dropped, case when attack_type is null then least(count(*), 500) end as recent from dropped group by rollup(attack_type)",
     "dropped_limit_then_filter": f"with {DROPPED}, n as (select * from dropped order by seq desc, alert_id limit 100) select alert_id, source_ip, seq from n where attack_type = 'brute_force'",
@@ -186,7 +197,7 @@ SQL: dict[str, str] = {
     "device_health": f"""with {TEL}, d as (select service as device, list(case when event_type = 'auth_failure' then case when seq % 2 = 0 then 10 else 15 end else 0 end order by ts_us, seq) as ds from tel where event_type in ('auth_failure', 'telemetry') group by service)
  select device, list_reduce(list_transform(ds, lambda x: {{'d': x, 'h': 100, 's': 'online'}}), lambda a, b: {{'d': b.d, 'h': case when b.d > 0 then greatest(0, a.h - b.d) else least(100, a.h + 5) end,
  's': case when b.d > 0 then case when a.h - b.d < 30 then 'compromised' when a.h - b.d < 70 then 'warning' else a.s end else case when a.h < 100 and least(100, a.h + 5) > 70 then 'online' else a.s end end}}, {{'d': 0, 'h': 100, 's': 'online'}}) as z from d""",
-    "chart_ring_120": f"with {CHART} select device, device_name, ts_us, seq, cpu, memory, network, requests from (select *, row_number() over (partition by device order by seq desc) as rn from chart) where rn <= 120",
+    "chart_ring_120": f"with {CHART} select device, device_name, ts_us, seq, cpu, memory, network, requests, label from (select *, row_number() over (partition by device order by seq desc) as rn from chart) where rn <= 120",
     "chart_scaled": f"with {CHART} select device, seq, network / greatest(max(network) over (partition by device), 100.0::double) as share from chart",
     "chart_axis": f"with {CHART}, e as (select device, min(ts_us) as a, greatest(max(ts_us), min(ts_us) + 30000000) as b from chart group by device) select device, tick::int as tick, (a + floor((b - a) * tick / 5.0::double))::bigint as at_us from e, range(0, 6) t(tick)",
     "latest_point": f"with {CHART} select device, arg_max(seq, seq) as seq, arg_max(cpu, seq) as cpu from chart group by device",
@@ -201,6 +212,6 @@ SQL: dict[str, str] = {
     "sequence_windows": f"with {TEL}, w as (select domain, seq, list(network) over (partition by domain order by seq rows between 19 preceding and current row) as steps, lead(network) over (partition by domain order by seq) as target from tel where network is not null) select domain, seq, steps, target from w where len(steps) = 20",
     "label_clean": f"""with {TEL}, r as (select event_id, case seq % 4 when 0 then 'norm' when 1 then 'BenignTraffic' when 2 then 'DDoS' else 'Mirai' end as label, case when seq % 13 = 0 then 'inf'::double when seq % 17 = 0 then 'nan'::double else network end as network, memory from tel)
  select event_id, case when lower(label) in ('norm', 'normal') or contains(label, 'Benign') then 0 else 1 end as label, network, memory from r where isfinite(network) and memory is not null""",
-    "char_ngram_counts": "with g as (select doc_id, unnest(list_transform(range(1, length(text)), lambda i: substr(lower(text), i, 2))) as gram from documents where length(text) > 1 union all select doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) from documents where length(text) > 2 union all select doc_id, unnest(list_transform(range(1, length(text) - 2), lambda i: substr(lower(text), i, 4))) from documents where length(text) > 3) select gram, count(*) as n, count(distinct doc_id) as docs from g group by gram order by n desc, gram limit 100",
+    "char_ngram_counts": "with d as (select doc_id, string_split(lower(text), '') as c from documents where length(text) > 1), g as (select doc_id, unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) as gram from d union all select doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) from d where len(c) > 2 union all select doc_id, unnest(list_transform(range(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3])) from d where len(c) > 3) select gram, count(*) as n, count(distinct doc_id) as docs from g group by gram order by n desc, gram limit 100",
 }
 SQL["device_health"] = SQL["device_health"].replace(" as z from d", " as z from d").replace(" select device, list_reduce", ", z as (select device, list_reduce") + ") select device, z.h::bigint as health, z.s as status from z"

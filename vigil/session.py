@@ -46,13 +46,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths of the tables that written() made and that are still there, oldest first.
+_tables: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back."""
+    """The rows as a Parquet table in the shared folder, read back. It stays until it is dropped, as lazy results read from it."""
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def tables() -> tuple[str, ...]:
+    return tuple(_tables)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that written() made, once no result reads from them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _tables.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver drop shuffle files and checkpoints that nothing refers to any more."""
     gc.collect()

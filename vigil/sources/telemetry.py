@@ -17,11 +17,14 @@ EVENT = T.StructType([
 
 
 def telemetry(events: DataFrame) -> DataFrame:
-    """Telemetry columns for rows (event_id, ts, user_id, event_type, value, props)."""
+    """Telemetry columns for rows (event_id, ts, user_id, event_type, value, props). payload holds the text values of an event."""
     kind, user = F.col("event_type"), F.col("user_id")
     k = F.get_json_object("props", "$.k")
     injected = F.when(F.col("event_id") % 9 == 0, "1 OR 1=1 --").when(F.col("event_id") % 9 == 1, "admin'--").when(F.col("event_id") % 9 == 2, "<script>alert(1)</script>")
     click = kind == "click"
+    query = F.when(kind.isin("view", "purchase"), F.coalesce(injected, F.concat(F.lit("q="), F.col("event_id").cast("string"))))
+    name = F.when(F.col("event_id") % 23 == 0, "root' or 1=1 --").otherwise(F.concat(F.lit("user-"), (user % 50).cast("string")))
+    username = F.when(kind.isin("error", "signup"), name)
     return events.select(
         F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("event_id"),
         F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string")).alias("source_ip"),
@@ -32,7 +35,9 @@ def telemetry(events: DataFrame) -> DataFrame:
         F.when(click, k.cast("double")).alias("memory"),
         F.when(click, F.col("value") * 5).alias("network"),
         F.when(click, k.cast("bigint")).alias("requests"),
-        F.when(kind.isin("view", "purchase"), F.coalesce(injected, F.concat(F.lit("q="), F.col("event_id").cast("string")))).alias("query"),
+        query.alias("query"),
+        username.alias("username"),
+        F.map_filter(F.map_from_arrays(F.array(F.lit("query"), F.lit("username")), F.array(query, username)), lambda _, v: v.isNotNull()).alias("payload"),
         F.when(kind == "signup", F.col("event_id") % 3 == 0).alias("success"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         F.col("event_id").alias("seq"),
@@ -54,6 +59,20 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType = EVENT) ->
     return spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").schema(full).json(path)
 
 
+def batch(texts: DataFrame, schema: T.StructType = EVENT) -> DataFrame:
+    """Items of batches (batch_id, body: a JSON array of events): (batch_id, index, ok, error, event); an item that is no event of the schema has an error and no event."""
+    items = texts.select("batch_id", F.posexplode(F.from_json("body", "array<variant>")).alias("index", "item"))
+    text = F.to_json("item")
+    event = F.from_json(text, schema)
+    named = F.coalesce(event["event_type"].isNotNull() & event["source_ip"].isNotNull(), F.lit(False))
+    return items.select("batch_id", "index", named.alias("ok"), F.when(~named, F.concat(F.lit("not an event: "), F.left(text, F.lit(100)))).alias("error"), F.when(named, event).alias("event"))
+
+
+def replayed(start_us: int, steps: DataFrame) -> DataFrame:
+    """Scenario steps (offset_s, ...) as events at fixed offsets from a start, in order."""
+    return steps.withColumn("ts_us", (F.lit(start_us) + F.col("offset_s") * 1_000_000).cast("bigint")).orderBy("ts_us")
+
+
 def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 

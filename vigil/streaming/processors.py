@@ -10,52 +10,76 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.operators.perimeter import DECISION, Address, dump, handle
+from vigil.sources.telemetry import EVENT
 
-#: An address without requests for so long is forgotten, if nothing holds it.
-IDLE_MS = 24 * 3600 * 1000
+#: An address without requests for so long is forgotten, if no block holds it; blocks are looked at so often.
+IDLE_MS, SWEEP_MS = 24 * 3600 * 1000, 30_000
+#: What subscribers hear of.
+TOPICS = ("telemetry", "alert", "device:status", "ip:dropped", "ip:blocked", "ip:unblocked", "ip:rate_limited", "ip:cleared", "attack_blocked", "attack_routed", "node_registered")
 
 
-def perimeter(requests: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """Decisions for a stream of requests (perimeter.REQUEST)."""
+def perimeter(requests: DataFrame, idle_ms: int = IDLE_MS, sweep_ms: int = SWEEP_MS, pace: int = 1000) -> DataFrame:
+    """Decisions for a stream of requests (perimeter.REQUEST).
+
+    An address that is blocked for a while is looked at every sweep_ms: once the
+    block is over, a row with decision expired and audit auto_unblock comes, with
+    the block's end as its time and no seq. Time is the requests' own, carried on
+    by the clock while none come, at `pace` microseconds a millisecond (a replay may
+    be faster). State goes after idle_ms without requests, but
+    never while a block holds.
+    """
     names = [f.name for f in DECISION.fields]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"address": {}, "now": 0, "seen": 0}
+        a, clock = Address(**kept["address"]), state.getCurrentProcessingTimeMs()
         if state.hasTimedOut:
+            now, audit = kept["now"] + (clock - kept["seen"]) * pace, []
+            until = a.expires
+            if not a.is_blocked(now, audit) and audit:
+                yield pd.DataFrame([{"source_ip": key[0], "ts_us": until, "seq": None, "decision": "expired", "dropped": "", "audit": "auto_unblock", "score": a.score}], columns=names)
+        else:
+            rows = [r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")]
+            rows.sort(key=lambda r: (r["ts_us"], r["seq"]))
+            out = pd.DataFrame([handle(a, r) for r in rows], columns=names)
+            kept |= {"now": max(kept["now"], rows[-1]["ts_us"]), "seen": clock}
+            yield out
+        if a.expires is None and state.hasTimedOut and clock - kept["seen"] >= idle_ms:
             state.remove()
             return
-        a = Address(**json.loads(state.get[0])) if state.exists else Address()
-        rows = [r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")]
-        rows.sort(key=lambda r: (r["ts_us"], r["seq"]))
-        out = pd.DataFrame([handle(a, r) for r in rows], columns=names)
-        state.update((json.dumps(dump(a)),))
-        state.setTimeoutDuration(idle_ms)
-        yield out
+        state.update((json.dumps(kept | {"address": dump(a)}),))
+        state.setTimeoutDuration(sweep_ms if a.expires else max(1, idle_ms - (clock - kept["seen"])))
 
     return requests.groupBy("source_ip").applyInPandasWithState(run, DECISION, "body string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def cooldown(rows: DataFrame, key: str, t: str, us: int) -> DataFrame:
-    """Rows of a stream kept greedily, each at least `us` after the last kept one of its key."""
+def cooldown(rows: DataFrame, key: str, t: str, us: int, order: tuple[str, ...] = ("seq",), idle_ms: int = IDLE_MS) -> DataFrame:
+    """Rows of a stream kept greedily, each at least `us` after the last kept one of its key; keys without rows for idle_ms are forgotten."""
     schema, names = rows.schema, rows.columns
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         kept = []
-        every = pd.concat(list(frames)).sort_values([t])
+        every = pd.concat(list(frames)).sort_values([t, *order])
         for r in every.to_dict("records"):
             if last is None or r[t] - last >= us:
                 kept.append(r)
                 last = r[t]
         if last is not None:
             state.update((int(last),))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(kept, columns=names)
 
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def tumbling(rows: DataFrame, t: str, slot: str, late: str) -> DataFrame:
@@ -69,6 +93,77 @@ def once(rows: DataFrame, t: str, late: str, key: str = "event_id") -> DataFrame
     return rows.withColumn("_at", F.timestamp_micros(t)).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
+def ingested(spark: SparkSession, folder: str, schema: T.StructType = EVENT, files: int = 100) -> DataFrame:
+    """A stream of events from JSON-lines files of a folder; a line that does not parse is kept in _corrupt_record."""
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.readStream.schema(full).option("columnNameOfCorruptRecord", "_corrupt_record").option("maxFilesPerTrigger", files).json(folder)
+
+
+def sampled(spark: SparkSession, per_second: int = 2) -> DataFrame:
+    """Host metrics of an agent that samples twice a second, made from the rate source."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    wave = lambda k: F.pmod(F.xxhash64(F.lit(k), "value"), F.lit(1000)) / 10.0
+    return ticks.select(F.concat(F.lit("agent-"), F.col("value").cast("string")).alias("event_id"), F.unix_micros("timestamp").alias("ts_us"), F.col("value").alias("seq"), wave("cpu").alias("cpu"), wave("memory").alias("memory"))
+
+
+def subscribed(rows: DataFrame, *topics: str) -> DataFrame:
+    """Rows of a stream (topic, ...) that a subscriber of some topics hears."""
+    return rows.where(F.col("topic").isin(*topics))
+
+
+def published(decisions: DataFrame) -> DataFrame:
+    """(topic, source_ip, ts_us, body) of what perimeter decisions tell subscribers: dropped requests, blocks, their end, limits and attacks that were blocked."""
+    audit, dropped = F.split("audit", ","), F.col("dropped")
+    heard = {
+        "ip:dropped": dropped != "", "ip:blocked": F.array_contains(audit, "block") | F.array_contains(audit, "extend_block"), "ip:unblocked": F.array_contains(audit, "unblock") | F.array_contains(audit, "auto_unblock"),
+        "ip:rate_limited": F.col("decision") == "rate_limited", "attack_blocked": F.col("decision").isin("sql_injection", "xss", "path_injection", "brute_force", "flooding"), "ip:cleared": F.array_contains(audit, "clear_all"),
+    }
+    topics = F.filter(F.array(*[F.when(test, F.lit(topic)) for topic, test in heard.items()]), lambda x: x.isNotNull())
+    return decisions.select(F.explode(topics).alias("topic"), "source_ip", "ts_us", F.to_json(F.struct("decision", "dropped", "audit", "score")).alias("body"))
+
+
+def with_block_list(read: Callable[[], DataFrame], seconds: int = 5) -> Callable[[DataFrame, float], DataFrame]:
+    """A function of a micro-batch and the time that adds is_blocked, from a block list (ip) that is read anew once it is `seconds` old and kept if it cannot be read."""
+    held: dict[str, object] = {"at": None, "list": None}
+
+    def add(batch: DataFrame, now_s: float) -> DataFrame:
+        if held["at"] is None or now_s - held["at"] >= seconds:
+            try:
+                fresh = read().select("ip").distinct()
+                fresh.limit(1).count()
+                held.update(at=now_s, list=fresh)
+            except Exception:  # noqa: BLE001 - the list lives elsewhere; without it the last one holds
+                if held["list"] is None:
+                    return batch.withColumn("is_blocked", F.lit(False))
+        marks = held["list"].select(F.col("ip").alias("_ip"), F.lit(True).alias("_mark"))
+        return batch.join(marks, F.col("source_ip") == F.col("_ip"), "left").withColumn("is_blocked", F.coalesce("_mark", F.lit(False))).drop("_ip", "_mark")
+
+    return add
+
+
+class Feed:
+    """A query that can be paused and goes on where it stopped, by its checkpoint."""
+
+    def __init__(self, start: Callable[[], object]):
+        self._start, self.query = start, start()
+
+    def pause(self) -> None:
+        self.query.stop()
+
+    def resume(self) -> None:
+        self.query = self._start()
+
+
+def polled(rows: DataFrame, checkpoint: str, seen: Callable[[DataFrame, int], None], every: str = "5 seconds"):
+    """Starts a query that looks at new rows once a period."""
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(seen).start()
+
+
+def counters(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts of a stream that grow with each batch; written in update mode."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def broadcast_topics(rows: DataFrame, checkpoint: str, publish: Callable[[str, DataFrame], None], topics: tuple[str, ...], every: str = "100 milliseconds"):
     """Starts a query that hands each micro-batch's rows of a topic to publish(topic, rows)."""
 
