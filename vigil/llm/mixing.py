@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.windows import numbered
 from vigil.session import checkpointed
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,9 +64,10 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return rows.withColumn("target", F.when(F.lit(free == 0), cap).otherwise(F.least(share, cap)))
 
 
-def draw(key: Column, seed: str) -> Column:
-    """Uniform in [0, 1) from an MD5 digest of seed and key."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+def draw(doc_id: Column, text: Column, place: Column, seed: str) -> Column:
+    """Uniform in [0, 1) from an MD5 digest of seed, doc_id, the text's digest and the row's place among its equals."""
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.md5(text), F.lit("")), place.cast("string")]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *parts))
     return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("long") / F.lit(float(2**DRAW_BITS))
 
 
@@ -73,8 +75,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     """All rows and columns of docs plus size, source_size, target and copies, in place of columns so named.
 
     A null text has no words; it and an empty text have size 0 and are drawn like
-    any other row. Rows that repeat a doc_id are drawn alike. An empty table gives
-    no rows. Targets go to every task if the sources number at most
+    any other row. Every row has a draw of its own, rows that share a doc_id too;
+    rows equal in doc_id and text are numbered for it. An empty table gives no rows. Targets go to every task if the sources number at most
     broadcast_rows; beyond that they meet the rows in a shuffled join.
     """
     extra = ("size", "source_size", "target", "copies")
@@ -84,16 +86,35 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 def _packed(docs: DataFrame) -> DataFrame:
     """Each row as one column, so that no name meets another, and what the plan needs beside it."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", words(F.col("text")).alias("size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", words(F.col("text")).alias("size"))
+    return rows.withColumn("_key", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")), F.coalesce("doc.text", F.lit(""))))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows plus _place: of rows that share a _key their number, from 0; of others 0.
+
+    Keys are counted by a combining aggregate. Only rows of keys that repeat are
+    dealt again, in runs by key and row, so many equal rows are many tasks.
+    """
+    repeated = checkpointed(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+    zero = F.lit(0).cast("bigint")
+    n = repeated.count()
+    if not n:
+        return rows.withColumn("_place", zero)
+    repeated = F.broadcast(repeated) if n <= 100_000 else repeated
+    again = rows.join(repeated, "_key", "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    again = numbered(checkpointed(again), "_key", "_row").withColumnRenamed("_n", "_place").drop("_row")
+    return rows.join(repeated, "_key", "left_anti").withColumn("_place", zero).unionByName(again)
 
 
 def _planned(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", broadcast_rows: int = 100_000) -> DataFrame:
+    sized = placed(sized)
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = checkpointed(targets(totals, weights, most).select(F.col("source").alias("_source"), "source_size", "target"))
     small = plan.count() <= broadcast_rows
     joined = sized.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), F.col("doc.text"), F.col("_place"), seed) < rate - F.floor(rate), 1).otherwise(0)
     return joined.withColumn("copies", copies.cast("long"))
 
 
@@ -110,7 +131,8 @@ def op3(docs: DataFrame) -> DataFrame:
 
 OP3_SQL = r"""
 with recursive d as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents),
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+    coalesce(md5(text), '') || ':' || (row_number() over (partition by doc_id, coalesce(text, '')) - 1) as digest from documents),
 s as (
   select source, cast(sum(size) as bigint) as source_size,
          cast((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1 as bigint) as weight
@@ -133,7 +155,7 @@ t as (
 p as (
   select d.doc_id, d.size, t.source_size, t.target,
     case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate,
-    cast(('0x' || substr(md5('mix:' || coalesce(cast(d.doc_id as varchar), '')), 1, 15)) as bigint) / 1152921504606846976.0::double as u
+    cast(('0x' || substr(md5('mix:' || coalesce(cast(d.doc_id as varchar), '') || ':' || d.digest), 1, 15)) as bigint) / 1152921504606846976.0::double as u
   from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, cast((floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) * size as bigint) as taken
 from p
