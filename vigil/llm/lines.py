@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from vigil.session import checkpointed
 
+#: Shares of a host's lines that its total meets.
+SALTS = 32
+
 
 def _fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that the frame does not hold yet, in any case."""
@@ -26,7 +29,7 @@ def _fresh(df: DataFrame, *names: str) -> list[str]:
 def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """(host, line_hash, pages, host_pages) of every line above the ratio.
 
-    Blank lines (only white space) never count. min_pages: a line on fewer pages
+    Blank lines (nothing but 0x20 and 0x09 to 0x0D) never count. min_pages: a line on fewer pages
     is never boilerplate, so that a host of one page keeps its text.
     """
     rows = docs.select(host.cast("string").alias("host"), text.alias("text"))
@@ -38,19 +41,40 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio: float =
         .agg(F.count(F.lit(1)).alias("pages"))
         .where(F.col("pages") >= min_pages)
     )
-    right = totals.withColumnRenamed("host", "_host")
+    # A host may hold most lines: its total goes along to each of SALTS shares of them.
+    right = totals.select(F.col("host").alias("_host"), "host_pages", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.col("line_hash"), F.lit(SALTS)).cast("int")
     return (
-        counts.join(right, F.col("host").eqNullSafe(F.col("_host")))
+        counts.join(right, F.col("host").eqNullSafe(F.col("_host")) & (salt == F.col("_salt")))
         .where(F.col("pages") > F.lit(float(max_ratio)) * F.col("host_pages"))
         .select("host", "line_hash", "pages", "host_pages")
     )
 
 
+def _blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def _hashes(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x)) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~_blank(x))
     return F.transform(lines, lambda x: F.xxhash64(x))
 
 
+def _listed(found: DataFrame, n_host: str, n_cut: str) -> DataFrame:
+    """A host's boilerplate lines as one array of arrays, a line in the array that its hash tells, so that none is long."""
+    most = found.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    slots = 1 << min(10, (most // 16).bit_length())
+    by_slot = found.groupBy("host", F.pmod("line_hash", F.lit(slots)).alias("slot")).agg(F.collect_set("line_hash").alias("lines"))
+    every = by_slot.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "lines"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("m", i), F.array().cast("array<bigint>")))
+    return every.select(F.col("host").alias(n_host), filled.alias(n_cut))
+
+
+def _is_cut(cuts: Column, line: Column) -> Column:
+    h = F.xxhash64(line)
+    return F.array_contains(F.get(cuts, F.pmod(h, F.size(cuts)).cast("int")), h)
+
+
 def line_dedup(
     docs: DataFrame,
     host: str = "source",
@@ -71,19 +95,19 @@ def line_dedup(
     found = checkpointed(boilerplate(docs, F.col(host), F.col(text), max_ratio, min_pages))
     n_host, n_key, n_text, n_cut, n_lines, n_dropped = _fresh(docs, "_host", "_key", "_text", "_cut", "n_lines", "n_dropped")
     if found.count() <= broadcast_rows:
-        cuts = found.groupBy(F.col("host").alias(n_host)).agg(F.collect_set("line_hash").alias(n_cut))
+        cuts = _listed(found, n_host, n_cut)
         joined = docs.join(F.broadcast(cuts), F.col(host).cast("string").eqNullSafe(F.col(n_host)), "left").drop(n_host)
     else:
         lines = docs.where(F.col(text).isNotNull()).select(
             F.col(key).alias(n_key), F.xxhash64(text).alias(n_text), F.col(host).cast("string").alias(n_host), F.explode(F.array_distinct(_hashes(F.col(text)))).alias("line_hash")
         )
         hit = lines.join(found.select("host", F.col("line_hash").alias("lh")), F.col(n_host).eqNullSafe(F.col("host")) & (F.col("line_hash") == F.col("lh")), "left_semi")
-        cuts = hit.groupBy(n_key, n_host, n_text).agg(F.collect_set("line_hash").alias(n_cut))
+        cuts = hit.groupBy(n_key, n_host, n_text).agg(F.array(F.collect_set("line_hash")).alias(n_cut))
         own = F.col(key).eqNullSafe(F.col(n_key)) & F.col(host).cast("string").eqNullSafe(F.col(n_host)) & (F.xxhash64(text) == F.col(n_text))
         joined = docs.join(cuts, own, "left").drop(n_key, n_host, n_text)
     split = F.split(F.col(text), "\n", -1)
     kept = F.when(F.col(n_cut).isNull(), split).otherwise(
-        F.filter(split, lambda x: (F.length(F.trim(x)) == 0) | ~F.array_contains(F.col(n_cut), F.xxhash64(x)))
+        F.filter(split, lambda x: _blank(x) | ~_is_cut(F.col(n_cut), x))
     )
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
     m = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(kept)).cast("long")
@@ -102,7 +126,7 @@ with lines as (
 tot as (select source, count(*) as n from documents group by source),
 cut as (
   select c.source, c.l from (
-    select source, l, count(*) as pages from (select distinct doc_id, source, l from lines where length(trim(l, ' ')) > 0) group by source, l) c
+    select source, l, count(*) as pages from (select distinct doc_id, source, l from lines where regexp_matches(l, '[^\x20\x09-\x0D]')) group by source, l) c
   join tot t on c.source is not distinct from t.source
   where c.pages >= 3 and c.pages > cast(0.1 as double) * t.n),
 marked as (
