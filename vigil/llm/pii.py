@@ -1,8 +1,9 @@
 """Personal data spans, DataFrame functions only.
 
 Regular expressions propose spans, checksums and range checks confirm them, and
-words close to a span move its score. Positions come from the pieces between
-matches, so no text leaves its row and nothing is shuffled.
+words close to a span move its score: a weak candidate (a date, a bare number, a
+random string) is kept only beside words that tell what it is. Positions come from
+the pieces between matches, so no text leaves its row and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -35,7 +36,12 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.7, "phone|call|tel|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "", False, 0.7, "iban|account|bank"),
     Kind("tel", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}", "", False, 0.3, "phone|call|tel|fax"),
+    Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", False, 0.3, "ssn|social|tax"),
+    Kind("birth", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}", "", False, 0.3, "born|birth|dob"),
+    Kind("secret", r"[A-Za-z0-9+/_-]{20,}+", r"[A-Za-z0-9+/_-]{20,}", "", False, 0.3, "key|token|secret|passw|credential|auth"),
 )
+#: Matches that are placed one after the other, before such runs are.
+RUN = 128
 #: An added span needs this score; base spans stay at any score.
 KEEP = 0.5
 NEAR_BONUS = 0.2
@@ -78,34 +84,55 @@ def _confirmed(kind: str, x: Column) -> Column:
         return F.length(F.regexp_replace(m, "[^0-9]", "")).between(9, 15)
     if kind == "iban":
         return F.when(edge, _mod97(m)).otherwise(F.lit(False))
+    if kind in ("ssn", "birth"):
+        return edge
+    if kind == "secret":
+        return m.rlike("^(?:[^0-9]*[0-9]){4}") & m.rlike("^(?:[^A-Za-z]*[A-Za-z]){4}")
     if kind == "tel":
         return edge & ~F.substring(left, -1, 1).isin("+", "-", ".", ")")
     return F.lit(True)
 
 
 def _found(text: Column, kind: Kind, rank: int, matches: Column) -> Column:
-    """array<struct<start,rank,end,score,kind>> of the confirmed matches of one kind."""
-    pieces = F.split(text, kind.pattern, -1)
-    parts = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    row = "array<struct<m:string,start:int,end:int,left:string>>"
+    """array<struct<start,rank,end,score,kind>> of the confirmed matches of one kind.
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        one = F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"), F.right(x["p"], F.lit(NEAR_CHARS)).alias("left"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(row).alias("out")), step, lambda acc: acc["out"])
-    after = F.transform(F.slice(pieces, 2, F.size(matches)), lambda p: F.left(p, F.lit(NEAR_CHARS)))
-    whole = F.zip_with(placed, after, lambda a, r: F.struct(a["m"].alias("m"), a["start"].alias("start"), a["end"].alias("end"), a["left"].alias("left"), r.alias("right")))
+    Matches are placed in runs of RUN and the runs one after the other, and only
+    confirmed ones are gathered, so that a text of very many takes linear time.
+    """
+    spans = "array<struct<start:int,rank:int,end:int,score:double,kind:string>>"
     near = f"(?i)(?:{kind.near})"
 
-    def scored(x: Column) -> Column:
+    def scored(x: Column, start: Column) -> Column:
         bonus = F.when(x["left"].rlike(near) | x["right"].rlike(near), F.lit(NEAR_BONUS)).otherwise(F.lit(0.0))
-        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), (F.lit(kind.prior) + bonus).alias("score"), F.lit(kind.name).alias("kind"))
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["m"])).alias("end"), (F.lit(kind.prior) + bonus).alias("score"), F.lit(kind.name).alias("kind"))
+
+    def kept(x: Column) -> Column:
+        sure = _confirmed(kind.name, x)
+        return sure if kind.base else sure & (scored(x, F.lit(0))["score"] >= KEEP)
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["skip"]
+        return F.struct((start + F.length(x["m"])).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(scored(x, start)))).otherwise(acc["out"]).alias("out"))
+
+    def joined(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda y: F.struct((y["start"] + acc["at"]).alias("start"), y["rank"].alias("rank"), (y["end"] + acc["at"]).alias("end"), y["score"].alias("score"), y["kind"].alias("kind")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def placed(given: Column) -> Column:
+        m, pieces = given["m"], given["p"]
+        parts = F.zip_with(m, F.slice(pieces, 1, F.size(m)), lambda a, p: F.struct(a.alias("m"), F.length(p).alias("skip"), F.right(p, F.lit(NEAR_CHARS)).alias("left")))
+        parts = F.zip_with(parts, F.slice(pieces, 2, F.size(m)), lambda a, p: F.struct(a["m"].alias("m"), a["skip"].alias("skip"), a["left"].alias("left"), F.left(p, F.lit(NEAR_CHARS)).alias("right")))
+        return F.transform(parts, lambda x: F.struct(x["m"].alias("m"), x["skip"].alias("skip"), x["left"].alias("left"), x["right"].alias("right"), F.coalesce(kept(x), F.lit(False)).alias("ok")))
+
+    def runs(parts: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(parts), F.lit(RUN))
+        one = F.transform(first, lambda i: F.aggregate(F.slice(parts, i, F.lit(RUN)), F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out")), step))
+        return F.flatten(F.aggregate(one, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("out")), joined, lambda acc: acc["out"]))
 
-    spans = F.transform(F.filter(whole, lambda x: _confirmed(kind.name, x)), scored)
-    return spans if kind.base else F.filter(spans, lambda x: x["score"] >= KEEP)
+    # An array of one element, transformed, makes its value once for all uses.
+    given = F.struct(matches.alias("m"), F.split(text, kind.pattern, -1).alias("p"))
+    parts = F.transform(F.array(given), placed)
+    return F.flatten(F.transform(parts, runs))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -137,9 +164,10 @@ def op5(docs: DataFrame) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda x: x["kind"].isin([k.name for k in KINDS if k.base]))
     names = F.transform(spans, lambda x: x["kind"])
+    every = F.size(spans).cast("long").alias("n_all")
     counts = [(F.size(spans) - F.size(F.array_remove(names, k.name))).cast("long").alias(f"n_{k.name}") for k in KINDS if k.base]
     scores = F.array_join(F.transform(spans, lambda x: F.format_number(x["score"], 1)), ",")
-    return find(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"), scores.alias("scores"))
+    return find(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(spans).alias("spans"), scores.alias("scores"), every)
 
 
 def _sql() -> str:
@@ -149,6 +177,9 @@ def _sql() -> str:
         "card": "case when length(regexp_replace(x.m, '[ -]', '', 'g')) between 12 and 19 then list_sum(list_transform(range(1, length(regexp_replace(x.m, '[ -]', '', 'g')) + 1), lambda i: case when i % 2 = 0 then case when cast(reverse(regexp_replace(x.m, '[ -]', '', 'g'))[i] as int) > 4 then cast(reverse(regexp_replace(x.m, '[ -]', '', 'g'))[i] as int) * 2 - 9 else cast(reverse(regexp_replace(x.m, '[ -]', '', 'g'))[i] as int) * 2 end else cast(reverse(regexp_replace(x.m, '[ -]', '', 'g'))[i] as int) end)) % 10 = 0 else false end",
         "phone": "length(regexp_replace(x.m, '[^0-9]', '', 'g')) between 9 and 15",
         "iban": "not regexp_matches(right(x.l, 1), '[A-Za-z0-9]') and not regexp_matches(left(x.r, 1), '[A-Za-z0-9]') and list_reduce(list_transform(string_split(replace(x.m, ' ', '')[5:] || replace(x.m, ' ', '')[:4], ''), lambda c: case when ascii(c) >= 65 then ascii(c) - 55 else ascii(c) - 48 end), lambda a, b: case when b >= 10 then (a * 100 + b) % 97 else (a * 10 + b) % 97 end, 0) = 1",
+        "ssn": "not regexp_matches(right(x.l, 1), '[A-Za-z0-9]') and not regexp_matches(left(x.r, 1), '[A-Za-z0-9]')",
+        "birth": "not regexp_matches(right(x.l, 1), '[A-Za-z0-9]') and not regexp_matches(left(x.r, 1), '[A-Za-z0-9]')",
+        "secret": "regexp_matches(x.m, '^([^0-9]*[0-9]){4}') and regexp_matches(x.m, '^([^A-Za-z]*[A-Za-z]){4}')",
         "tel": "not regexp_matches(right(x.l, 1), '[A-Za-z0-9]') and not regexp_matches(left(x.r, 1), '[A-Za-z0-9]') and right(x.l, 1) not in ('+', '-', '.', ')')",
     }
     parts = []
@@ -164,9 +195,9 @@ from (select doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'m'
     return f"""with d as (select doc_id, coalesce(text, '') as t from documents),
 f as ({joined}),
 g as (select doc_id, {', '.join(f"count(*) filter (kind = '{k.name}') as n_{k.name}" for k in KINDS if k.base)},
-  {listed.format(' filter (base)')} as base, {listed.format('')} as spans, string_agg(printf('%.1f', score), ',' order by s, k, e) as scores from f group by doc_id)
+  {listed.format(' filter (base)')} as base, {listed.format('')} as spans, count(*) as n_all, string_agg(printf('%.1f', score), ',' order by s, k, e) as scores from f group by doc_id)
 select d.doc_id, {', '.join(f"coalesce(n_{k.name}, 0) as n_{k.name}" for k in KINDS if k.base)},
-  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores from d left join g using (doc_id)"""
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores, coalesce(n_all, 0) as n_all from d left join g using (doc_id)"""
 
 
 OP5_SQL = _sql()
