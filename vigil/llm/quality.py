@@ -1,9 +1,9 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-Terms are word shapes (runs of upper case, lower case and digits, and the marks
-between them), pairs of shapes in a row, and whether a word repeats the one
-before. A bounded labelled sample gives term weights and a truncated singular
-value decomposition; its vectors go to all tasks. Every document is compared with
+Terms are words, and beside them their shapes (runs of upper case, lower case and
+digits, and the marks between them), pairs of shapes in a row, and whether a word
+repeats the one before. A bounded labelled sample gives term weights and a truncated
+singular value decomposition; its vectors go to all tasks. Every document is compared with
 all of them by blocked cosine products and the nearest vote by similarity.
 """
 
@@ -20,8 +20,11 @@ from pyspark.sql import types as T
 from .langid import held_out
 from .words import Words, mix, slices
 
-#: Hashed terms, latent dimensions, labelled rows at most, voting neighbours, documents of a block.
-TERMS, DIMENSIONS, SAMPLE, NEIGHBOURS, BLOCK = 1024, 48, 2_000, 25, 512
+#: Hashed terms of shapes and of words, latent dimensions, labelled rows at most, voting neighbours, documents of a block.
+SHAPES, WORDS, DIMENSIONS, SAMPLE, NEIGHBOURS, BLOCK = 1024, 1024, 64, 2_000, 25, 512
+TERMS = SHAPES + WORDS
+#: What words weigh against shapes.
+WORD_WEIGHT = 0.5
 #: A document is predicted to be of quality from this score on.
 CUT = 0.7
 
@@ -54,7 +57,8 @@ def counts(texts: list[bytes]) -> np.ndarray:
     pairs = mix(shape[next_in] * _U(3) + shape[next_in + 1])
     same = np.where(w.hashes[next_in] == w.hashes[next_in + 1], _U(77), _U(78))
     for d, t in ((doc, shape), (doc[next_in], pairs), (doc[next_in], mix(same))):
-        out += np.bincount(d * TERMS + (t % _U(TERMS)).astype(np.int64), minlength=len(texts) * TERMS).reshape(out.shape)
+        out[:, :SHAPES] += np.bincount(d * SHAPES + (t % _U(SHAPES)).astype(np.int64), minlength=len(texts) * SHAPES).reshape(-1, SHAPES)
+    out[:, SHAPES:] = np.bincount(doc * WORDS + (w.hashes % _U(WORDS)).astype(np.int64), minlength=len(texts) * WORDS).reshape(-1, WORDS)
     return out
 
 
@@ -77,8 +81,8 @@ class Voters:
             self.vectors = self.embed(rows)
 
     def _weighted(self, rows: np.ndarray) -> np.ndarray:
-        share = rows / np.maximum(1, rows.sum(axis=1, keepdims=True))
-        return _unit(np.sqrt(share) * self.weight)
+        kinds = ((rows[:, :SHAPES], self.weight[:SHAPES], 1.0), (rows[:, SHAPES:], self.weight[SHAPES:], WORD_WEIGHT))
+        return _unit(np.concatenate([_unit(np.sqrt(x) * weight) * np.float32(part) for x, weight, part in kinds], axis=1))
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return _unit(self._weighted(rows) @ self.axes)
@@ -90,10 +94,11 @@ class Voters:
         if not k:
             return out
         for a in range(0, len(rows), BLOCK):
-            near = self.embed(rows[a : a + BLOCK]) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            s = np.maximum(0, np.take_along_axis(near, top, axis=1)).astype(np.float64) ** 8
-            out[a : a + BLOCK] = ((s * self.labels[top]).sum(axis=1) + self.prior * 1e-3) / (s.sum(axis=1) + 1e-3)
+            # Rounded, so that equal texts agree in any block; of equal similarities the first labelled row counts.
+            near = np.round((self.embed(rows[a : a + BLOCK]) @ self.vectors.T).astype(np.float64), 4)
+            top = np.argpartition(np.arange(len(self.labels)) * 1e-9 - near, k - 1, axis=1)[:, :k]
+            s = np.sort(np.maximum(0, np.take_along_axis(near, top, axis=1)) ** 8 * np.where(self.labels[top] > 0, 1, -1), axis=1)
+            out[a : a + BLOCK] = (np.maximum(s, 0).sum(axis=1) + self.prior * 1e-3) / (np.abs(s).sum(axis=1) + 1e-3)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -101,26 +106,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, texts in slices(b.column("text")):
             rows = counts(texts)
-            part = b.column("label").slice(first, len(texts))
+            own = [b.column(c).slice(first, len(texts)) for c in ("h", "doc_id", "label")]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * TERMS), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([part, flat], ["label", "terms"])
+            yield pa.RecordBatch.from_arrays([*own, flat], ["h", "doc_id", "label", "terms"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Voters:
-    """Voters from SAMPLE labelled rows at most, the first by a hash of doc_id outside the held-out fold.
+    """Voters from SAMPLE labelled documents at most, the first by a hash of doc_id outside the held-out fold.
 
-    Of a doc_id labelled twice the highest label counts; null labels are left out.
+    Of a doc_id labelled twice the highest label counts, of texts that share a
+    doc_id the least; null labels are left out. Voters keep the order of the hash.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    some = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label").mapInArrow(_counted, "label int, terms array<float>")
-    got = rows.limit(SAMPLE).toArrow()
+    some = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")).withColumn("h", F.xxhash64(F.lit("quality"), "doc_id")).orderBy("h", "doc_id").limit(SAMPLE)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").groupBy("h", "doc_id", "label").agg(F.min("text").alias("text"))
+    got = texts.mapInArrow(_counted, "h bigint, doc_id bigint, label int, terms array<float>").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
     if not got.num_rows:
         return Voters(np.zeros((0, TERMS), np.float32), np.zeros(0))
-    terms = np.array(got.column("terms").combine_chunks().flatten()).reshape(-1, TERMS)
-    y = np.array(got.column("label"))
-    order = np.lexsort([*terms.T[:8], y])
-    return Voters(terms[order], y[order])
+    return Voters(np.array(got.column("terms").combine_chunks().flatten()).reshape(-1, TERMS), np.array(got.column("label")))
 
 
 def rate(docs: DataFrame, voters: Voters) -> DataFrame:
