@@ -28,7 +28,9 @@ from .words import slices
 
 #: Chunk sizes in bytes: least, most; the mean beyond the least is 2 ** MASK_BITS.
 LEAST, MOST, MASK_BITS = 512, 16_384, 12
-BLOCK, RATE_HZ, LEVEL = 64, 8_000, 9
+BLOCK, RATE_HZ, LEVEL = 64, 8_000, 12
+#: Files that borrow a chunk from one task, about.
+BORROWERS = 1_000
 #: The compression dictionary: bytes, and the files and bytes of each that it is trained on at most.
 DICTIONARY, SAMPLE_FILES, SAMPLE_BYTES = 65_536, 600, 4_096
 _GEAR = np.random.Generator(np.random.PCG64(64)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -165,12 +167,12 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Media:
     owners = places.groupBy("digest").agg(F.min(F.struct("media_sha", "place")).alias("owner"), F.count(F.lit(1)).alias("n"))
     own = F.struct("media_sha", "place") == F.col("owner")
     marked = written(places.join(owners, "digest").select("media_sha", "place", "digest", own.alias("own"), "n"), "places")
-    owned = marked.where("own").groupBy("media_sha").agg(F.collect_list("place").alias("owned"), F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("lends"))
+    owned = marked.where("own").groupBy("media_sha").agg(F.collect_list("place").alias("owned"), F.collect_list(F.when(F.col("n") > 1, F.struct("place", "n"))).alias("lends"))
     shared = dictionary(texts)
     files = texts.mapInArrow(_cut(True, shared), out).groupBy("media_sha").agg(F.first(F.struct("digests", "bodies")).alias("p"))
     held = F.transform("p.bodies", lambda b, i: F.when(F.array_contains("owned", i), b))
     whole = F.size(F.coalesce("owned", F.array().cast("array<int>"))) == F.size("p.digests")
-    packs = written(files.join(owned, "media_sha", "left").select("media_sha", F.col("p.digests").alias("digests"), held.alias("bodies"), whole.alias("whole"), F.coalesce("lends", F.array().cast("array<int>")).alias("lends")), "packs")
+    packs = written(files.join(owned, "media_sha", "left").select("media_sha", F.col("p.digests").alias("digests"), held.alias("bodies"), whole.alias("whole"), F.coalesce("lends", F.array().cast("array<struct<place:int,n:bigint>>")).alias("lends")), "packs")
     release(docs.sparkSession)
     return Media(rows.mapInArrow(_files, f"key {kind}, n_bytes bigint, media_sha binary"), packs, marked, shared)
 
@@ -183,9 +185,12 @@ def store(media: Media) -> DataFrame:
 
 def decode(media: Media) -> DataFrame:
     """(media_sha, digests, bodies, lent): of each distinct file the owned bodies in order, null where borrowed, and the borrowed as (place, body). Whole packs are read where they lie."""
-    of = F.transform("lends", lambda i: F.struct(F.get("digests", i).alias("digest"), F.get("bodies", i).alias("body")))
-    lent = media.packs.where(F.size("lends") > 0).select(F.inline(of))
-    given = media.places.where("not own").join(lent, "digest").groupBy("media_sha").agg(F.collect_list(F.struct("place", "body")).alias("lent"))
+    # A chunk that very many files hold is lent in shares of BORROWERS files, so that they need not meet in one task.
+    shares = lambda n: F.ceil(n / BORROWERS).cast("bigint")
+    of = F.transform("lends", lambda x: F.struct(F.get("digests", x["place"]).alias("digest"), F.get("bodies", x["place"]).alias("body"), F.sequence(F.lit(0).cast("bigint"), shares(x["n"]) - 1).alias("share")))
+    lent = media.packs.where(F.size("lends") > 0).select(F.inline(of)).withColumn("share", F.explode("share"))
+    asked = media.places.where("not own").withColumn("share", F.pmod(F.xxhash64("media_sha"), shares(F.col("n"))))
+    given = asked.join(lent, ["digest", "share"]).groupBy("media_sha").agg(F.collect_list(F.struct("place", "body")).alias("lent"))
     named = media.packs.select("media_sha", "digests", "bodies", "whole")
     none = F.lit(None).cast("array<struct<place:int,body:binary>>").alias("lent")
     parts = named.where("not whole").drop("whole").join(given, "media_sha", "left")
