@@ -74,15 +74,15 @@ class Voters:
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         held = (rows > 0).sum(axis=0)
-        self.weight = np.log((1 + len(rows)) / (1 + held)).astype(np.float32) + 1
+        self.weight = np.log((1 + len(rows)) / (1 + held)) + 1
         if len(rows):
-            x = self._weighted(rows).astype(np.float64)
-            self.axes = np.linalg.eigh(x.T @ x)[1][:, : -DIMENSIONS - 1 : -1].astype(np.float32)
+            x = self._weighted(rows)
+            self.axes = np.ascontiguousarray(np.linalg.eigh(x.T @ x)[1][:, : -DIMENSIONS - 1 : -1])
             self.vectors = self.embed(rows)
 
     def _weighted(self, rows: np.ndarray) -> np.ndarray:
         kinds = ((rows[:, :SHAPES], self.weight[:SHAPES], 1.0), (rows[:, SHAPES:], self.weight[SHAPES:], WORD_WEIGHT))
-        return _unit(np.concatenate([_unit(np.sqrt(x) * weight) * np.float32(part) for x, weight, part in kinds], axis=1))
+        return _unit(np.concatenate([_unit(np.sqrt(x.astype(np.float64)) * weight) * part for x, weight, part in kinds], axis=1))
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return _unit(self._weighted(rows) @ self.axes)
@@ -95,7 +95,7 @@ class Voters:
             return out
         for a in range(0, len(rows), BLOCK):
             # Rounded, so that equal texts agree in any block; of equal similarities the first labelled row counts.
-            near = np.round((self.embed(rows[a : a + BLOCK]) @ self.vectors.T).astype(np.float64), 4)
+            near = np.round(self.embed(rows[a : a + BLOCK]) @ self.vectors.T, 4)
             top = np.argpartition(np.arange(len(self.labels)) * 1e-9 - near, k - 1, axis=1)[:, :k]
             s = np.sort(np.maximum(0, np.take_along_axis(near, top, axis=1)) ** 8 * np.where(self.labels[top] > 0, 1, -1), axis=1)
             out[a : a + BLOCK] = (np.maximum(s, 0).sum(axis=1) + self.prior * 1e-3) / (np.abs(s).sum(axis=1) + 1e-3)
