@@ -33,9 +33,12 @@ def test_cooldown_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([("a", i * 7 * S, i) for i in range(20)] + [("b", i * 31 * S, 100 + i) for i in range(5)], "k string, t bigint, seq bigint")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = processors.cooldown(stream, "k", "t", 30 * S).writeStream.format("memory").queryName("kept").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
-    assert q.awaitTermination(60)
-    assert {tuple(r) for r in spark.table("kept").collect()} == {tuple(r) for r in folds.cooldown(df, ["k"], "t", 30 * S).collect()}
+    q = processors.cooldown(stream, "k", "t", 30 * S).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "ck")).start()
+    want, end = {tuple(r) for r in folds.cooldown(df, ["k"], "t", 30 * S).collect()}, time.time() + 60
+    while time.time() < end and spark.table("kept").count() < len(want):
+        time.sleep(0.5)
+    q.stop()
+    assert {tuple(r) for r in spark.table("kept").collect()} == want
 
 
 def test_topics_and_store(spark, tmp_path):
