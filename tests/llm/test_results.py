@@ -65,14 +65,12 @@ def test_cross_parsing(docs):
     for i, (_, sample) in enumerate(labelled):
         known = "".join(chr(s + 40) for s in model.symbols(langid._points(sample)))
         for j, s in enumerate(symbols):
-            text, n = "".join(chr(x + 40) for x in s), 0
-            for a in range(0, len(text), langid.LANE):
-                n, held = n + 1, ""
-                for c in text[a : a + langid.LANE]:
-                    if held + c in known:
-                        held += c
-                    else:
-                        n, held = n + 1, c if c in known else ""
+            text, n, held = "".join(chr(x + 40) for x in s), int(len(s) > 0), ""
+            for c in text:
+                if held + c in known:
+                    held += c
+                else:
+                    n, held = n + 1, c if c in known else ""
             assert got[i, j] == n
 
 
@@ -274,3 +272,244 @@ def test_words():
         for h, x in zip(w.text(i).tolist(), found):
             assert by.setdefault(x, h) == h
     assert len(set(by.values())) == len(by)
+
+
+def test_language_choice_and_score(monkeypatch):
+    """The least phrases times bits over length wins, of equals the first by name; texts of all lengths are read whole, alone or side by side."""
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    samples = tuple((lang, " ".join(word(letters) for _ in range(150))) for lang, letters in (("aa", "abcd"), ("bb", "cdef"), ("cc", "cdef"), ("dd", "fghi")))
+    samples = (*samples[:2], ("cc", samples[1][1]), samples[3])
+    texts = ["", "123", "abca bcab", "fedc cdef", *[" ".join(word("abcdefghi") for _ in range(n)) for n in (1, 3, 40, 700, 4000)]]
+    found = []
+    for alone in (0, 2, 100):
+        monkeypatch.setattr(langid, "ALONE", alone)
+        model = langid.Model(samples)
+        found.append(model.predict(texts))
+    assert found[0] == found[1] == found[2]
+    model = langid.Model(samples)
+    for t, lang, score in zip(texts, *found[0]):
+        s = model.symbols(langid._points(t))
+        if not (s != langid.SPACE).any():
+            assert (lang, score) == (langid.UND, 0.0)
+            continue
+        cost = []
+        for _, sample in samples:
+            known, n, held = "".join(chr(x + 40) for x in model.symbols(langid._points(sample))), 1, ""
+            for c in (chr(x + 40) for x in s):
+                if held + c in known:
+                    held += c
+                else:
+                    n, held = n + 1, c if c in known else ""
+            cost.append(n * math.log2(len(known)) / len(s))
+        best = min(cost)
+        assert lang == ("aa", "bb", "cc", "dd")[cost.index(best)]
+        assert math.isclose(score, 1 / sum(2 ** -((c - best) * min(len(s), langid.WEIGHED)) for c in cost), rel_tol=1e-9)
+    assert found[0][0][3] == "bb"
+
+
+def test_hundred_languages(spark):
+    made = [(100 * j + i, f"w{j:02d}{chr(97 + j % 26)}{chr(97 + j // 26)} text{i}", f"l{j:03d}") for j in range(100) for i in range(20)]
+    got = langid.sample(spark.createDataFrame(made, "doc_id bigint, text string, lang string"))
+    assert len(got) == 100
+
+
+def test_votes_are_exact_and_ties_are_firm(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    made = [(i, " ".join(rng.choices(words, k=rng.choice([3, 30]))) if i % 9 else "tie text") for i in range(400)]
+    made += [(7, "zz shares an id"), (7, "aa shares an id"), (8, None)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    voters = quality.fit(docs.repartition(5), labels)
+    again = quality.fit(docs.orderBy("text").repartition(3), labels)
+    assert np.array_equal(voters.vectors, again.vectors) and np.array_equal(voters.labels, again.labels)
+    texts = [(t or "").encode() for _, t in made]
+    rows = quality.counts(texts)
+    got = voters.scores(rows)
+    for i, x in enumerate(voters.embed(rows)):
+        if not rows[i].any():
+            assert got[i] == voters.prior
+            continue
+        near = [round(float(x @ v), 4) for v in voters.vectors]
+        top = sorted(range(len(near)), key=lambda j: (-near[j], j))[: quality.NEIGHBOURS]
+        weight = [max(0.0, near[j]) ** 8 for j in top]
+        want = (sum(w for w, j in zip(weight, top) if voters.labels[j]) + voters.prior * 1e-3) / (sum(weight) + 1e-3)
+        assert abs(got[i] - want) < 1e-9
+    for a in (1, 7, 512):
+        assert np.array_equal(np.concatenate([voters.scores(rows[i : i + a]) for i in range(0, len(rows), a)]), got)
+
+
+def test_fingerprint_bits(spark):
+    """Every bin rebuilt by plain Python from the same hashes."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chain = lambda xs, h=42: [h := xxhash.xxh64_intdigest(struct.pack("<q", signed(x)), seed=h) for x in xs][-1]
+    rng = random.Random(1)
+    texts = ["one", "two words", "", None, " ".join(f"w{rng.randrange(40)}" for _ in range(9)), " ".join(f"w{rng.randrange(400)}" for _ in range(900))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    shift = 64 - fingerprints.BIN_BITS
+    for r in fingerprints.op8(df).collect():
+        words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in WORD.findall(texts[r.doc_id] or "")]
+        k = fingerprints.WORDS
+        hashes = [chain(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+        least = {}
+        for h in hashes:
+            least[h >> shift] = min(h, least.get(h >> shift, h))
+        full = [least[b] for b in sorted(least)]
+        made = [least[b] if b in least else min(full, key=lambda m: signed(chain([b, m >> shift]))) for b in range(fingerprints.BINS)] if full else []
+        order = [*range(fingerprints.BINS // 2, fingerprints.BINS), *range(fingerprints.BINS // 2)]
+        assert r.fingerprint == "".join(f"{made[b] & 255:02x}" for b in order) if made else r.fingerprint == ""
+
+
+def test_maxent_probabilities():
+    """Scores of a block by plain loops; classes, cells and words of a leaf each add up to 1."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["a", "b", "cat", "dog", "the", "X", "run"], n)).encode() for n in (0, 1, 2, 5, 40, 40)] + [b"cat dog"] * 2
+    ids, bounds = maxent.tokens(texts)
+    vocab, codes = np.unique(ids, return_inverse=True)
+    held = np.array([False, True, False, True, False, False, False, True])
+    k = maxent.Block(0, vocab, codes, bounds, held, None)
+    class_of = rng.integers(0, maxent.CLASSES, maxent.STARTS)
+    weights = rng.normal(size=(2 * maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    seqs = [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))]
+    train = [s for s, h in zip(seqs, held) if not h]
+    start = int(maxent._START)
+    c = collections.Counter(w for s in train for w in s)
+    two = collections.Counter(p for s in train for p in zip([start, *s], s))
+    three = collections.Counter(p for s in train for p in zip([start, start, *s], [start, *s], s))
+    leaf = {w: int(class_of[w & (maxent.STARTS - 1)]) * maxent.CELLS + ((w >> 9) & (maxent.CELLS - 1)) for w in map(int, vocab)}
+    n, v = np.zeros(maxent.CLASSES * maxent.CELLS), np.zeros(maxent.CLASSES * maxent.CELLS)
+    for w, x in c.items():
+        n[leaf[w]] += x
+        v[leaf[w]] += 1
+    share = np.zeros((2, maxent.SIZES))
+    share[0, 1:], share[1, 1:] = 0.3, 0.5
+    followed = np.array([[two[p] for s in seqs for p in zip([start, *s], s)], [three[p] for s in seqs for p in zip([start, start, *s], [start, *s], s)]])
+    got = maxent.Model(weights, class_of, n, v, share).scores(k, np.array([c[int(w)] for w in vocab]), followed, len(train))
+    first, second = maxent.features(ids, bounds, class_of)
+    soft = lambda rows: (lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum())(sum(weights[r].astype(np.float64) for r in rows))
+    at = 0
+    for d, s in enumerate(seqs):
+        total, own = 0.0, int(not held[d])
+        for i, w in enumerate(s):
+            p_class, p_cell = soft(first[:, at]), soft(second[:, at])
+            assert math.isclose(p_class.sum(), 1) and math.isclose(p_cell.sum(), 1)
+            p = p_class[leaf[w] // maxent.CELLS] * p_cell[leaf[w] % maxent.CELLS] * (c[w] + 0.5) / (n[leaf[w]] + 0.5 * (v[leaf[w]] + 1))
+            one, before = (s[i - 1] if i else start), (s[i - 2] if i > 1 else start)
+            times = c[one] if i else len(train)
+            pair_times = two[(before, one)] if i else len(train)
+            for x, m, part in ((two[(one, w)], times, 0.3), (three[(before, one, w)], pair_times, 0.5)):
+                m, x = max(m - own, 0), max(x - own, 0)
+                if m:
+                    p += part * (x / m - p)
+            total += math.log10(p)
+            at += 1
+        assert math.isclose(got[3][d], total, rel_tol=1e-5), d
+
+
+def test_link_across():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 400, 40).astype(np.uint64)) for _ in range(12)]
+    vary = lambda b: np.unique(np.append(rng.permutation(b)[: len(b) - rng.integers(0, 6)], rng.integers(0, 400, 2)).astype(np.uint64))
+    left, right = [vary(base[i % 6]) for i in range(30)], [vary(base[i % 12]) for i in range(60)]
+    pairs = jaccard.link_across(left, np.arange(30), right, 1000 + np.arange(60), 70)
+    top = {i: i for i in [*range(30), *range(1000, 1060)]}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        assert 100 * len(np.intersect1d(left[a], right[b])) >= 70 * len(np.union1d(left[a], right[b]))
+        top[max(find(a), find(1000 + b))] = min(find(a), find(1000 + b))
+    for a in range(30):
+        for b in range(60):
+            if 100 * len(np.intersect1d(left[a], right[b])) >= 70 * len(np.union1d(left[a], right[b])):
+                assert find(a) == find(1000 + b)
+
+
+def test_mix_of_rows_without_ids(spark):
+    """1,000 rows without an id, half of them equal, come near their target."""
+    made = [(None, f"s{i % 2}", "some words here" if i % 4 < 2 else f"some words {i}") for i in range(1000)]
+    plan = mixing.mix_plan(spark.createDataFrame(made, "doc_id bigint, source string, text string").repartition(4))
+    for r in plan.groupBy("source").agg({"target": "max", "*": "count"}).collect():
+        taken = plan.where(plan.source == r["source"]).selectExpr("sum(copies * size) as x").first().x
+        assert abs(taken - r["max(target)"]) < 0.05 * r["max(target)"]
+
+
+def test_very_many_numbers_in_one_text(spark):
+    import time
+
+    text = " ".join(str(10**12 + i) for i in range(200_000)) + " " + " ".join(f"a{i}@b.example" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "my token = '0a1b2c3d4e5f60718293a4b5c6' and 0a1b2c3d4e5f60718293a4b5c6"), (3, "x " * 40 + "0a1b2c3d4e5f60718293a4b5c6"), (4, "born 2001-02-03, due 2001-02-03 or not " + "y " * 30 + "2001-02-03")], "doc_id bigint, text string")
+    at = time.time()
+    got = {r.doc_id: r for r in pii.op5(df).collect()}
+    assert time.time() - at < 60 and got[1].n_email == 20_000
+    assert got[2].spans.startswith("secret:12:38") and got[3].spans == "" and got[4].spans.startswith("birth:5:15") and got[4].n_all == 1
+
+
+def test_pipeline_stages_by_hand(spark, docs, texts):
+    """Every stage of the pipeline on its own input, rebuilt by plain Python."""
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+    import sentencepiece
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = langid.sample(rows)
+    kept = {r.doc_id: r for r in stages["language_id"](spark, rows, SF).collect()}
+    langs = langid.Model(tuple(labelled)).predict([texts[i] or "" for i in texts])[0]
+    assert set(kept) == {i for i, lang in zip(texts, langs) if lang != "und"}
+
+    docs2 = spark.createDataFrame(list(kept.values()), rows.schema)
+    cut = {r.doc_id: r for r in stages["line_dedup"](spark, docs2, SF).collect()}
+    pages, hosts = collections.Counter(), collections.Counter()
+    for r in kept.values():
+        hosts[r.source] += 1
+        pages.update((r.source, x) for x in set(r.text.split("\n")) if WORD.search(x))
+    gone = {(h, x) for (h, x), n in pages.items() if n >= 3 and n > 0.1 * hosts[h]}
+    want = {i: "\n".join(x for x in r.text.split("\n") if (r.source, x) not in gone) for i, r in kept.items()}
+    assert {i: r.text for i, r in cut.items()} == want and all(r.n_chars == len(want[i]) for i, r in cut.items())
+
+    docs3 = spark.createDataFrame(list(cut.values()), rows.schema)
+    near = {r.doc_id: r for r in stages["near_duplicates"](spark, docs3, SF).collect()}
+    top = components({i: shingles(t, 5) for i, t in want.items()}, 80)
+    assert set(near) == {i for i, t in want.items() if top[i] == i or not shingles(t, 5)}
+
+    docs4 = spark.createDataFrame(list(near.values()), rows.schema)
+    mixed = collections.Counter(r.doc_id for r in stages["source_mixing"](spark, docs4, SF).collect())
+    size = {i: len(WORD.findall(r.text)) for i, r in near.items()}
+    sources = sorted({r.source for r in near.values()}, key=lambda x: (x is None, (x or "").encode()))
+    have = {x: sum(size[i] for i, r in near.items() if r.source == x) for x in sources}
+    weight = {x: i % 3 + 1 for i, x in enumerate(sources)}
+    full: set = set()
+    while True:
+        rest, free = sum(have.values()) - sum(3 * have[x] for x in full), sum(weight[x] for x in sources if x not in full)
+        more = {x for x in sources if x not in full and 3 * have[x] * free <= weight[x] * rest}
+        if not more:
+            break
+        full |= more
+    target = {x: 3 * have[x] if x in full else weight[x] * rest / free for x in sources}
+    for i, r in near.items():
+        rate = target[r.source] / have[r.source] if have[r.source] else 0
+        u = int(hashlib.md5(f"mix:{i}:{hashlib.md5(r.text.encode()).hexdigest()}:0".encode()).hexdigest()[:15], 16) / 2**60
+        assert mixed[i] == math.floor(rate) + (u < rate - math.floor(rate)), i
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    for r in stages["sentencepiece"](spark, docs4, SF).collect():
+        assert list(r.ids) == library.encode(near[r.doc_id].text), r.doc_id
+
+
+def test_pipeline_of_nothing(spark, docs):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, "")
+        assert rows.count() == 0

@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workers import hold
+from .workers import hold, tidy
 
 #: Bounds of the labelled sample of each language: texts, characters, characters of a text.
 TEXTS, CHARS, TEXT_CHARS = 48, 24_000, 3_000
-#: Symbols of a lane: longer texts are read in lanes of this size, each from the automaton's start.
-LANE = 1024
+#: Texts are read side by side, until so few are left that each is read alone.
+ALONE = 48
+#: Steps whose symbols are laid out at once.
+STEPS = 256
 #: Symbols that weigh in the score at most.
 WEIGHED = 40
 SPACE, STRANGE = 0, 1
@@ -132,29 +134,36 @@ class Model:
         return s[keep]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text in each language."""
-        out = np.zeros((len(self.langs), len(texts)), np.int64)
+        """Phrases of each text in each language; texts are read whole."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        lanes = -(-sizes // LANE)
-        of = np.repeat(np.arange(len(texts)), lanes)
-        place = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        begin = (np.cumsum(sizes) - sizes)[of] + place * LANE
-        length = np.minimum(LANE, sizes[of] - place * LANE)
-        order = np.argsort(-length, kind="stable")
-        of, begin, length = of[order], begin[order], length[order]
+        order = np.argsort(-sizes, kind="stable")
         every = np.concatenate([*texts, np.empty(0, np.int32)])
-        state = np.repeat(self.root[:, None], len(of), axis=1)
-        ends = np.ones(state.shape, np.int32)
-        active = len(of)
-        for t in range(int(length[0]) if len(of) else 0):
-            while active and length[active - 1] <= t:
-                active -= 1
-            to = self.table[state[:, :active] + every[begin[:active] + t]]
-            ended = to >> (8 * to.itemsize - 1)
-            ends[:, :active] -= ended
-            state[:, :active] = to ^ ended
-        for i in range(len(self.langs)):
-            out[i] = np.bincount(of, ends[i], len(texts))
+        begin, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        state = np.repeat(self.root[:, None], len(order), axis=1)
+        ends = np.repeat((length > 0).astype(np.int64)[None, :], len(self.langs), axis=0)
+        together = int(length[ALONE]) if len(length) > ALONE else 0
+        active = (len(length) - np.searchsorted(length[::-1], np.arange(together), "right")).tolist()
+        for a in range(0, together, STEPS):
+            steps = np.arange(a, min(a + STEPS, together))
+            laid = np.ascontiguousarray(every[np.minimum(begin[: active[a], None] + steps, len(every) - 1)].T)
+            for t, row in zip(steps.tolist(), laid):
+                n = active[t]
+                to = self.table.take(state[:, :n] + row[:n])
+                ended = to >> (8 * to.itemsize - 1)
+                ends[:, :n] -= ended
+                state[:, :n] = to ^ ended
+        plain = memoryview(self.table)
+        for i in range(min(len(length), ALONE)):
+            left = every[begin[i] + together : begin[i] + length[i]].tolist()
+            for k in range(len(self.langs)):
+                at, n = int(state[k, i]), 0
+                for c in left:
+                    at = plain[at + c]
+                    if at < 0:
+                        at, n = ~at, n + 1
+                ends[k, i] += n
+        out = np.empty_like(ends)
+        out[:, order] = ends
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -170,7 +179,7 @@ class Model:
         return [self.langs[b] if ok else UND for b, ok in zip(best, lettered)], score.tolist()
 
 
-def _batches(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+def _batches(column: pa.Array, most: int = 1 << 22) -> Iterator[list[str]]:
     texts, size = [], 0
     for x in column:
         t = x.as_py() or ""
@@ -195,7 +204,7 @@ def identify(docs: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = hold(("langid", fixed), lambda: Model(fixed))
-        for b in batches:
+        for b in tidy(batches):
             langs, scores = [], []
             for texts in _batches(b.column("text")):
                 found = model.predict(texts)
