@@ -12,8 +12,24 @@ from pyspark.sql import functions as F
 from vigil.session import checkpointed
 
 
+#: A key of fewer rows is no hub; hubs that go to every task at most.
+HUB, HUBS = 1 << 10, 50_000
+
+
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a").agg(F.min("b").alias("m"))
+    return pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def meet(rows: DataFrame, told: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with what told (key, n, ...) says of their key; n: rows of the key, total: of all.
+
+    Hubs have so many of the rows that there are few of them; they go to every
+    task, so that the rows of one need not meet in one.
+    """
+    hub = max(HUB, 4 * total // HUBS)
+    hubs = F.broadcast(told.where(F.col("n") >= hub).drop("n"))
+    others = rows.join(hubs.select(key), key, "left_anti").join(told.where(F.col("n") < hub).drop("n"), key)
+    return rows.join(hubs, key).unionByName(others)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,15 +39,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     rows = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
     rows = checkpointed(rows)
-    before = None
+    before, n = None, rows.count()
     while True:
         # Large star: every neighbour above a node meets the least of the node and its neighbours.
         both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _least(both).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        least = _least(both).select("a", F.least("a", "m").alias("m"), "n")
+        large = meet(both, least, "a", n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         # Small star: the lower neighbours of a node, and itself, meet the least of them.
         low = _least(large)
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        small = meet(large, low, "a", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         rows = checkpointed(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         # Stars are reached when no node is both a leaf and a root, and no leaf has two roots.
         state = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
