@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workers import hold
+from .workers import hold, tidy
 
 #: Stands for a space in pieces.
 MARK = "▁"
 #: Characters of texts handled at once, and of distinct units indexed at once; a longer text or unit comes alone.
-SLICE_CHARS, INDEX_CHARS = 1 << 20, 1 << 18
+SLICE_CHARS, INDEX_CHARS = 1 << 19, 1 << 17
 _SLOTS = 1 << 20
 #: Stands for a NUL in a text; 0 parts units.
 _NUL = 0x110000
@@ -403,7 +403,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _for(shared)
-        for b in batches:
+        for b in tidy(batches):
             first = 0
             for texts in _slices(b.column("text")):
                 ids, ends = enc.encode(texts)
