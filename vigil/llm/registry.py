@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.session import table
 
-from . import fingerprints, jaccard, langid, lines, maxent, media, mixing, pieces, pii, quality
+from . import fingerprints, jaccard, langid, lines, maxent, media, mixing, pieces, pii, quality, resample, turns
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,8 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": lambda spark, sf_dir: quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op8_fingerprints": _over(fingerprints.op8),
         "op5_personal_data": _over(pii.op5),
+        "op11_conversation_repair": lambda spark, sf_dir: turns.op11(table(spark, sf_dir, "conversations")),
+        "op13_importance_resampling": lambda spark, sf_dir: resample.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.OP1_SQL, "op3_source_mixing": mixing.OP3_SQL, "op5_personal_data": pii.OP5_SQL}
+    return {"op1_line_dedup": lines.OP1_SQL, "op3_source_mixing": mixing.OP3_SQL, "op5_personal_data": pii.OP5_SQL, "op11_conversation_repair": turns.OP11_SQL, "op13_importance_resampling": resample.OP13_SQL}
