@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.session import table
 
-from . import fingerprints, jaccard, langid, lines, maxent, media, mixing, pieces, pii, quality, resample, turns
+from . import fingerprints, jaccard, langid, lines, maxent, media, mixing, pieces, pii, quality, resample, turns, urls
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": _over(fingerprints.op8),
         "op5_personal_data": _over(pii.op5),
         "op11_conversation_repair": lambda spark, sf_dir: turns.op11(table(spark, sf_dir, "conversations")),
+        "op12_url_filter": lambda spark, sf_dir: urls.op12(table(spark, sf_dir, "pages")),
         "op13_importance_resampling": lambda spark, sf_dir: resample.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     }
 
