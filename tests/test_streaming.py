@@ -3,9 +3,11 @@
 import random
 import time
 
-from vigil.operators import folds, perimeter
+from pyspark.sql import functions as F
+
+from vigil.operators import folds, ledger, perimeter
 from vigil.sources import telemetry
-from vigil.streaming import processors
+from vigil.streaming import processors, stateful
 
 S = 1_000_000
 
@@ -15,18 +17,47 @@ def drained(q):
     q.stop()
 
 
+def replayed(spark, df, tmp_path, make, name, files=3):
+    """The rows of a stream that gets df in a few files by time, each its own micro-batch."""
+    rows = sorted(df.collect(), key=lambda r: (r.ts_us, r.seq))
+    size = -(-len(rows) // files)
+    for i in range(files):
+        spark.createDataFrame(rows[i * size : (i + 1) * size], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    return spark.table(name)
+
+
 def test_perimeter_stream_equals_batch(spark, tmp_path):
-    random.seed(9)
-    rows = [(random.choice(["1.1.1.1", "2.2.2.2"]), i * S // 40, i, random.choice(["/", "/login"]), random.choice(["", "1=1"]), "POST", random.choice([200, 401]), random.choice("ab")) for i in range(150)]
-    df = spark.createDataFrame(rows, perimeter.REQUEST)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(perimeter.REQUEST).parquet(str(tmp_path / "in"))
-    q = processors.perimeter(stream).writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "ck")).start()
-    end = time.time() + 60  # a query with timeouts runs batches without data, so it never has done all
-    while time.time() < end and spark.table("decisions").count() < len(rows):
-        time.sleep(0.5)
-    q.stop()
-    assert {tuple(r) for r in spark.table("decisions").collect()} == {tuple(r) for r in perimeter.pipeline(df).collect()}
+    """On the catalog's requests: every decision, and every block's end at its own time."""
+    from vigil.plans.catalog import requests_of
+    from vigil.sources.telemetry import telemetry_of
+
+    df = requests_of(telemetry_of(spark, "/root/testdata/sf0.001")).withColumn("ts_us", (F.col("ts_us") / 50).cast("bigint")).cache()
+    last = max(r.ts_us for r in df.collect())
+    got = replayed(spark, df, tmp_path, lambda s: stateful.perimeter(s, "0 seconds"), "decisions")
+    want = {tuple(r) for r in perimeter.timeline(df, last).collect()}
+    assert {tuple(r) for r in got.collect()} == want and {"expired", "blocked"} <= {r[3] for r in want}
+    plain = {tuple(r) for r in perimeter.pipeline(df).collect()}
+    assert {r[:5] for r in plain} == {r[:5] for r in want if r[3] != "expired"}
+
+
+def test_ledger_stream_equals_batch(spark, tmp_path):
+    """Commands with clears, ends and throttles over several shards."""
+    random.seed(3)
+    rows = []
+    for i in range(300):
+        op = "clear" if i % 70 == 69 else random.choice(["block", "block", "unblock", "throttle"])
+        rows.append((None if op == "clear" else f"1.1.1.{random.randrange(12)}", (i + 1) * 5 * S, i, op, random.choice([None, "abuse"]), random.choice(["low", "high", "odd"]), random.choice([None, 0, 7, 40]), random.choice([None, 5]), random.choice([None, "rule"])))
+    rows += [("127.0.0.1", 7, 1000, "block", None, "low", 5, None, None)]
+    df = spark.createDataFrame(rows, ledger.COMMAND)
+    got = stateful.cleared(replayed(spark, df, tmp_path, lambda s: stateful.ledger(s, 4, "0 seconds"), "entries"))
+    want = {tuple(r) for r in ledger.ledger(df).collect()}
+    assert {tuple(r) for r in got.collect()} == want
+    assert {r[0] for r in want} == {"block", "extend_block", "unblock", "auto_unblock", "throttle", "clear_all"} and not any(r[1] == "127.0.0.1" for r in want)
+    assert {r.topic for r in ledger.heard(got).collect()} == {"ip:blocked", "ip:unblocked", "ip:rate_limited", "ip:cleared"}
 
 
 def test_cooldown_stream_equals_batch(spark, tmp_path):
@@ -70,18 +101,11 @@ def test_readers(spark, tmp_path):
 
 
 def test_blocks_end_without_another_request(spark, tmp_path):
-    """A blocked address that stays silent gets its auto_unblock from the sweep, and its state stays while the block holds."""
-    rows = [("9.9.9.9", 1_000_000 * i, i, "/", "1=1", "GET", 200, None) for i in range(2)]
+    """A blocked address that stays silent gets its auto_unblock when others carry time past the block's end, and is forgotten then."""
+    rows = [("9.9.9.9", S * i, i, "/", "1=1", "GET", 200, None) for i in (1, 2)] + [("1.1.1.1", 4000 * S * i, 10 + i, "/", "", "GET", 200, None) for i in range(1, 4)]
     df = spark.createDataFrame(rows, perimeter.REQUEST)
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(perimeter.REQUEST).parquet(str(tmp_path / "in"))
-    q = processors.perimeter(stream, idle_ms=500, sweep_ms=500, pace=1_000_000).writeStream.format("memory").queryName("swept").option("checkpointLocation", str(tmp_path / "ck")).start()
-    end = time.time() + 60
-    while time.time() < end and spark.table("swept").where("decision = 'expired'").count() < 1:
-        time.sleep(0.5)
-    q.stop()
-    got = sorted(spark.table("swept").collect(), key=lambda r: r.ts_us)
-    assert [r.decision for r in got] == ["allowed", "sql_injection", "expired"] and got[2].audit == "auto_unblock"
+    got = sorted((r for r in replayed(spark, df, tmp_path, lambda s: stateful.perimeter(s, "0 seconds", idle_s=100), "swept", 5).collect() if r.source_ip == "9.9.9.9"), key=lambda r: r.ts_us)
+    assert [r.decision for r in got] == ["allowed", "sql_injection", "expired"] and got[2].audit == "auto_unblock" and got[2].ts_us == 902 * S
 
 
 def test_topics_of_decisions(spark):

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from vigil.session import checkpointed
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict | None]], schema: T.StructType) -> DataFrame:
-    """A row for each step that returns one; step(state, row) -> (state, row or None)."""
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict | list[dict] | None]], schema: T.StructType) -> DataFrame:
+    """The rows that steps return; step(state, row) -> (state, a row, several or None)."""
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,8 +44,8 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
                 if key != now:
                     now, state = key, start()
                 state, made = step(state, row)
-                if made is not None:
-                    out.append({n: made[n] for n in names})
+                for m in made if isinstance(made, list) else () if made is None else (made,):
+                    out.append({n: m[n] for n in names})
             if out:
                 yield from pa.Table.from_pylist(out, schema=kind).to_batches()
 

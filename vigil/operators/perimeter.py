@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .dashboard import SCORES
@@ -190,6 +191,28 @@ def handle(a: Address, r: dict[str, Any]) -> dict[str, Any]:
     return {"source_ip": r["source_ip"], "ts_us": now, "seq": r["seq"], "decision": decision, "dropped": ",".join(dropped), "audit": ",".join(audit), "score": a.score}
 
 
+def expired(a: Address, ip: str, now: int) -> list[dict[str, Any]]:
+    """The end of a block that is over, as a decision of its own time."""
+    until, audit = a.expires, []
+    if a.is_blocked(now, audit) or not audit:
+        return []
+    return [{"source_ip": ip, "ts_us": until, "seq": None, "decision": "expired", "dropped": "", "audit": "auto_unblock", "score": a.score}]
+
+
+def timeline(requests: DataFrame, until_us: int | None = None) -> DataFrame:
+    """pipeline() with the ends of blocks as rows of their own, at their own time, as far as until_us (the last request's time if not given)."""
+    if until_us is None:
+        until_us = requests.agg(F.max("ts_us")).first()[0] or 0
+    rows = requests.select(*[f.name for f in REQUEST.fields]).withColumn("_last", F.lit(0))
+    stops = rows.select("source_ip").distinct().withColumns({"ts_us": F.lit(until_us).cast("bigint"), "_last": F.lit(1)})
+
+    def step(a: Address, r: dict) -> tuple[Address, list[dict]]:
+        ended = expired(a, r["source_ip"], r["ts_us"])
+        return a, ended if r["_last"] else [*ended, handle(a, r)]
+
+    return sorted_fold(rows.unionByName(stops, allowMissingColumns=True), ["source_ip"], ["_last", "ts_us", "seq"], Address, step, DECISION)
+
+
 def pipeline(requests: DataFrame) -> DataFrame:
     """A decision for each request, in order of time and seq within its address."""
 

@@ -1,12 +1,7 @@
-"""Structured Streaming forms of the stateful operators, and sinks.
-
-State is keyed by address and kept as one JSON text; rows of a key that come in a
-micro-batch are taken in order of time. Idle addresses leave by a timeout.
-"""
+"""Structured Streaming sources, sinks and the operators with little state; stateful.py has the perimeter and the ledger."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,50 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from vigil.operators.perimeter import DECISION, Address, dump, handle
 from vigil.sources.telemetry import EVENT
 
-#: An address without requests for so long is forgotten, if no block holds it; blocks are looked at so often.
-IDLE_MS, SWEEP_MS = 24 * 3600 * 1000, 30_000
+#: A key without rows for so long is forgotten.
+IDLE_MS = 24 * 3600 * 1000
 #: What subscribers hear of.
 TOPICS = ("telemetry", "alert", "device:status", "ip:dropped", "ip:blocked", "ip:unblocked", "ip:rate_limited", "ip:cleared", "attack_blocked", "attack_routed", "node_registered")
 
 
-def perimeter(requests: DataFrame, idle_ms: int = IDLE_MS, sweep_ms: int = SWEEP_MS, pace: int = 1000) -> DataFrame:
-    """Decisions for a stream of requests (perimeter.REQUEST).
-
-    An address that is blocked for a while is looked at every sweep_ms: once the
-    block is over, a row with decision expired and audit auto_unblock comes, with
-    the block's end as its time and no seq. Time is the requests' own, carried on
-    by the clock while none come, at `pace` microseconds a millisecond (a replay may
-    be faster). State goes after idle_ms without requests, but
-    never while a block holds.
-    """
-    names = [f.name for f in DECISION.fields]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else {"address": {}, "now": 0, "seen": 0}
-        a, clock = Address(**kept["address"]), state.getCurrentProcessingTimeMs()
-        if state.hasTimedOut:
-            now, audit = kept["now"] + (clock - kept["seen"]) * pace, []
-            until = a.expires
-            if not a.is_blocked(now, audit) and audit:
-                yield pd.DataFrame([{"source_ip": key[0], "ts_us": until, "seq": None, "decision": "expired", "dropped": "", "audit": "auto_unblock", "score": a.score}], columns=names)
-        else:
-            rows = [r for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")]
-            rows.sort(key=lambda r: (r["ts_us"], r["seq"]))
-            out = pd.DataFrame([handle(a, r) for r in rows], columns=names)
-            kept |= {"now": max(kept["now"], rows[-1]["ts_us"]), "seen": clock}
-            yield out
-        if a.expires is None and state.hasTimedOut and clock - kept["seen"] >= idle_ms:
-            state.remove()
-            return
-        state.update((json.dumps(kept | {"address": dump(a)}),))
-        state.setTimeoutDuration(sweep_ms if a.expires else max(1, idle_ms - (clock - kept["seen"])))
-
-    return requests.groupBy("source_ip").applyInPandasWithState(run, DECISION, "body string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def cooldown(rows: DataFrame, key: str, t: str, us: int, order: tuple[str, ...] = ("seq",), idle_ms: int = IDLE_MS) -> DataFrame:
     """Rows of a stream kept greedily, each at least `us` after the last kept one of its key; keys without rows for idle_ms are forgotten."""
     schema, names = rows.schema, rows.columns
