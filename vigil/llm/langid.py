@@ -24,8 +24,12 @@ TEXTS, CHARS, TEXT_CHARS = 48, 24_000, 3_000
 ALONE = 48
 #: Steps whose symbols are laid out at once.
 STEPS = 256
-#: Symbols that weigh in the score at most.
+#: Symbols that weigh in the score at most: of longer texts the score says how far apart the languages are, not how long the text is.
 WEIGHED = 40
+#: Bytes of a table of states by symbols; larger ones are packed, with equal results.
+DENSE = 1 << 26
+#: Places that a packed row is tried at together.
+TRIED = 512
 SPACE, STRANGE = 0, 1
 UND = "und"
 
@@ -100,8 +104,46 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def packed(rows: list[np.ndarray], columns: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, to) of sparse rows laid into each other: cell c of row i lies at base[i] + c, where owner is i.
+
+    Rows of many cells are placed first, each where all of its cells are free;
+    rows of as many cells go on from the last such place. Rows of one cell fill gaps.
+    """
+    sizes = np.fromiter(map(len, columns), np.int64, len(columns))
+    base, taken, at, now = np.zeros(len(rows), np.int64), np.zeros(2 * int(sizes.sum()) + 2 * width + TRIED, bool), 0, 0
+    for i in np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes > 1)].tolist():
+        c, at, now = columns[i], at if sizes[i] == now else 0, sizes[i]
+        while True:
+            if at + TRIED + width >= len(taken):
+                taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+            tried = np.flatnonzero(~taken[at : at + TRIED]) + at
+            tried = tried[~taken[tried[:, None] + (c - c.min())].any(axis=1)] - c.min()
+            if len(tried):
+                break
+            at += TRIED
+        base[i] = tried[0]
+        taken[base[i] + c] = True
+    single = np.flatnonzero(sizes == 1)
+    gaps = np.flatnonzero(~taken)[: len(single)]
+    gaps = np.append(gaps, len(taken) + np.arange(len(single) - len(gaps)))
+    base[single] = gaps - np.fromiter((columns[i][0] for i in single.tolist()), np.int64, len(single))
+    base -= min(0, int(base.min(initial=0)))
+    owner = np.full(int(base.max(initial=0)) + width + 1, -1, np.int32)
+    to = np.zeros(len(owner), np.int32)
+    cells = np.repeat(base, sizes) + np.concatenate([*columns, np.empty(0, np.int64)])
+    owner[cells] = np.repeat(np.arange(len(rows)), sizes)
+    to[cells] = np.concatenate([*rows, np.empty(0, np.int64)])
+    return base, owner, to
+
+
 class Model:
-    """One table of all automata: row of a state, column of a symbol; a negative entry ends a phrase first."""
+    """All automata in one table.
+
+    Dense: row of a state, column of a symbol; a negative entry ends a phrase first.
+    Packed, beyond DENSE bytes: a cell that another row owns ends a phrase, and the
+    next one begins where the language's root goes.
+    """
 
     def __init__(self, labelled: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in labelled]
@@ -110,21 +152,58 @@ class Model:
         self.symbol = np.where(_letters(), STRANGE, SPACE).astype(np.int32)
         self.symbol[known] = np.arange(len(known)) + 2
         self.width = len(known) + 2
-        rows, self.bits, self.root = [], [], []
-        for _, text in labelled:
-            own = self.symbols(_points(text))
-            nexts = automaton(own)
-            first = sum(map(len, rows)) * self.width
-            table = np.full((len(nexts), self.width), -1, np.int64)
-            for i, to in enumerate(nexts):
-                table[i, list(to)] = [first + s * self.width for s in to.values()]
-            fresh = np.where(table[0] >= 0, table[0], first)
-            rows.append(np.where(table >= 0, table, -1 - fresh))
-            self.root.append(first)
-            self.bits.append(np.log2(max(2, len(own))))
-        kind = np.int32 if sum(map(len, rows)) * self.width < 2**31 else np.int64
-        self.table = np.concatenate(rows).ravel().astype(kind) if rows else np.empty(0, kind)
-        self.root, self.bits = np.array(self.root, kind), np.array(self.bits)
+        own = [self.symbols(_points(text)) for _, text in labelled]
+        self.bits = np.array([np.log2(max(2, len(s))) for s in own])
+        automata = [automaton(s) for s in own]
+        firsts = np.cumsum([0, *map(len, automata)])
+        self.dense = int(firsts[-1]) * self.width * 4 <= DENSE
+        if self.dense:
+            rows = []
+            for nexts, first in zip(automata, firsts.tolist(), strict=False):
+                table = np.full((len(nexts), self.width), -1, np.int32)
+                for i, to in enumerate(nexts):
+                    table[i, list(to)] = [(first + s) * self.width for s in to.values()]
+                fresh = np.where(table[0] >= 0, table[0], first * self.width)
+                rows.append(np.where(table >= 0, table, -1 - fresh))
+            self.table = np.concatenate(rows).ravel() if rows else np.empty(0, np.int32)
+            self.root = (firsts[:-1] * self.width).astype(np.int32)
+        else:
+            every = [(first, to) for nexts, first in zip(automata, firsts.tolist(), strict=False) for to in nexts]
+            rows = [first + np.fromiter(to.values(), np.int64, len(to)) for first, to in every]
+            self.base, self.owner, self.table = packed(rows, [np.fromiter(to, np.int64, len(to)) for _, to in every], self.width)
+            self.root = firsts[:-1].astype(np.int32)
+            self.fresh = np.repeat(self.root[:, None], self.width, axis=1)
+            for k, first in enumerate(firsts[:-1].tolist()):
+                for c, s in automata[k][0].items():
+                    self.fresh[k, c] = first + s
+
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States after a symbol each, and -1 where a phrase ended before it."""
+        if self.dense:
+            to = self.table.take(state + symbols)
+            ended = to >> 31
+            return to ^ ended, ended
+        at = self.base.take(state) + symbols
+        ended = self.owner.take(at) != state
+        return np.where(ended, self.fresh[:, symbols], self.table.take(at)), -ended.astype(np.int32)
+
+    def _alone(self, at: int, lang: int, symbols: list[int]) -> int:
+        """Phrases that end within symbols."""
+        n, table = 0, memoryview(self.table)
+        if self.dense:
+            for c in symbols:
+                at = table[at + c]
+                if at < 0:
+                    at, n = ~at, n + 1
+            return n
+        base, owner, fresh = memoryview(self.base), memoryview(self.owner), memoryview(self.fresh[lang])
+        for c in symbols:
+            place = base[at] + c
+            if owner[place] == at:
+                at = table[place]
+            else:
+                at, n = fresh[c], n + 1
+        return n
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         """Letters as learned, runs of anything else as one space."""
@@ -148,20 +227,12 @@ class Model:
             laid = np.ascontiguousarray(every[np.minimum(begin[: active[a], None] + steps, len(every) - 1)].T)
             for t, row in zip(steps.tolist(), laid):
                 n = active[t]
-                to = self.table.take(state[:, :n] + row[:n])
-                ended = to >> (8 * to.itemsize - 1)
+                state[:, :n], ended = self._step(state[:, :n], row[:n])
                 ends[:, :n] -= ended
-                state[:, :n] = to ^ ended
-        plain = memoryview(self.table)
         for i in range(min(len(length), ALONE)):
             left = every[begin[i] + together : begin[i] + length[i]].tolist()
             for k in range(len(self.langs)):
-                at, n = int(state[k, i]), 0
-                for c in left:
-                    at = plain[at + c]
-                    if at < 0:
-                        at, n = ~at, n + 1
-                ends[k, i] += n
+                ends[k, i] += self._alone(int(state[k, i]), k, left)
         out = np.empty_like(ends)
         out[:, order] = ends
         return out
@@ -196,7 +267,8 @@ def identify(docs: DataFrame, labelled: list[tuple[str, str]]) -> DataFrame:
     """All rows and columns of docs plus lang_pred and score, in place of columns so named.
 
     A null text and one without a letter are `und` with score 0, as is every text
-    if nothing was learned. Equal entropies go to the first language by name. A
+    if nothing was learned. Repeated rows stay, with equal results; an empty table
+    gives no rows. Equal entropies go to the first language by name. A
     text of strange letters only scores 1 / languages. Every text is read whole.
     """
     kept = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
