@@ -130,6 +130,71 @@ def test_block_list_is_read_anew_after_a_while(spark):
     assert [marked(0), marked(4), marked(5), marked(20)] == [{"a"}, {"a"}, {"b"}, {"b"}] and len(calls) == 3
 
 
+def test_a_block_list_outlives_its_source(spark, tmp_path):
+    """The folder of the list goes: its last version holds, within the time and after it."""
+    import shutil
+
+    path = str(tmp_path / "list")
+    spark.createDataFrame([("a",), (None,)], "ip string").write.parquet(path)
+    add = processors.with_block_list(lambda: spark.read.parquet(path), 5)
+    batch = spark.createDataFrame([("a",), ("b",), (None,)], "source_ip string")
+    marked = lambda now: {r.source_ip for r in add(batch, now).where("is_blocked").collect()}
+    assert marked(0) == {"a"} and add.version() == (1, 0)
+    shutil.rmtree(path)
+    assert marked(3) == {"a"} and marked(60) == {"a"} and add.version() == (1, 0)
+    spark.createDataFrame([("b",)], "ip string").write.parquet(path)
+    assert marked(70) == {"b"} and add.version() == (2, 70)
+
+
+def test_bodies_that_do_not_parse(spark):
+    event = '{"event_id": "1", "source_ip": "a", "event_type": "x"}'
+    bodies = [(1, f"[{event}, {{}}, null, 5]"), (2, "not json"), (3, None), (4, event), (5, "[]"), (6, f"[{event}")]
+    got = [(r.batch_id, r["index"], r.ok, r.error) for r in telemetry.batch(spark.createDataFrame(bodies, "batch_id bigint, body string")).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, 0, True, None), (1, 1, False, "not an event: {}"), (1, 2, False, "not an event: null"), (1, 3, False, "not an event: 5"),
+        (2, None, False, "not json: not json"), (3, None, False, "no body"), (4, None, False, f"not a batch: {event}"), (5, None, False, "no events: []"), (6, None, False, f"not json: [{event}"),
+    ], key=str)
+
+
+def streamed(spark, parts, schema, folder, make, name, mode="append"):
+    """Rows of a query over a stream whose micro-batches are the parts."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    return spark.table(name).collect()
+
+
+def test_windows_with_late_rows(spark, tmp_path):
+    """A row behind the watermark is left out, one within it counts; sessions end by their gap."""
+    schema = "source_ip string, event_type string, t bigint"
+    parts = [[("a", "auth_failure", 10 * S), ("a", "x", 14 * S)], [("a", "x", 100 * S), ("b", "x", 101 * S)], [("a", "x", 95 * S)], [("a", "x", 11 * S), ("b", "x", 500 * S)], [("b", "x", 900 * S)]]
+    (tmp_path / "s").mkdir()
+    got = streamed(spark, parts, schema, tmp_path / "s", lambda s: processors.sessions(s, "t", "10 seconds", "20 seconds", "source_ip"), "sessions")
+    assert {(r.source_ip, r.session.start.timestamp(), r.n, r.failures) for r in got} == {("a", 10, 2, 1), ("a", 95, 2, 0), ("b", 101, 1, 0), ("b", 500, 1, 0)}
+    (tmp_path / "w").mkdir()
+    got = streamed(spark, parts, schema, tmp_path / "w", lambda s: processors.sliding(s, "t", "20 seconds", "10 seconds", "20 seconds", "source_ip"), "sliding")
+    assert {(r.source_ip, r.window.start.timestamp(), r.n) for r in got if r.source_ip == "a"} == {("a", 0, 2), ("a", 10, 2), ("a", 80, 1), ("a", 90, 2), ("a", 100, 1)}
+
+
+def test_interval_join_of_two_streams(spark, tmp_path):
+    """Requests of one stream that blocks of another cover equal the batch semi-join on a replay."""
+    from vigil.operators import joins
+
+    random.seed(6)
+    asked = [(str(i), random.choice("abc"), i * S) for i in range(1, 200)]
+    spans = [("a", 5 * S, 40 * S), ("a", 90 * S, 91 * S), ("b", 60 * S, 150 * S), ("c", 190 * S, 250 * S)]
+    r, b = spark.createDataFrame(asked, "event_id string, source_ip string, ts_us bigint"), spark.createDataFrame(spans, "ip string, start_us bigint, end_us bigint")
+    r.repartitionByRange(3, "ts_us").write.parquet(str(tmp_path / "r"))
+    b.coalesce(1).write.parquet(str(tmp_path / "b"))
+    made = processors.blocked_requests(spark.readStream.schema(r.schema).parquet(str(tmp_path / "r")), spark.readStream.schema(b.schema).parquet(str(tmp_path / "b")), 100)
+    q = made.writeStream.format("memory").queryName("covered").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    assert {tuple(x) for x in spark.table("covered").collect()} == {tuple(x) for x in joins.blocked(r, b).collect()} and spark.table("covered").count() > 20
+
+
 def test_ingest_pause_and_counts(spark, tmp_path):
     folder = tmp_path / "events"
     folder.mkdir()

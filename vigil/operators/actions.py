@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.session import checkpointed
+
 from .normalize import attacker_ip, coerced
 
 # Actions of each rule in order; anything else is told to operators only.
@@ -36,23 +38,24 @@ def actions(alerts: DataFrame) -> DataFrame:
     """(alert_id, rule_id, step, action, target, status, severity, ts_us, seq): playbook steps.
 
     A target is blocked or isolated by its first step in order of seq, alert and
-    step; later ones are skipped. Steps without an address are left out.
+    step; later ones are skipped. Steps without an address are left out. The steps
+    are cut off from the alerts, which are worked out once.
     """
     plays = alerts.sparkSession.createDataFrame([(r, i, a) for r, xs in PLAYBOOKS.items() for i, a in enumerate(xs)], "rule_id string, step int, action string")
     rows = alerts.join(F.broadcast(plays), "rule_id", "left").withColumns({"action": F.coalesce("action", F.lit("alert_only")), "step": F.coalesce("step", F.lit(0))})
     ip = F.when(F.col("rule_id").isin(*ADDRESSED), attacker_ip(F.col("source_ip"))).otherwise("unknown")
     target = F.when(F.col("action") == "alert_only", "operators").when(F.col("action") == "isolate_service", F.when(F.col("rule_id").startswith("ml_"), F.col("source")).otherwise(F.coalesce("service", "source"))).otherwise(ip)
     rows = rows.withColumn("target", target).where("target != 'unknown'")
-    once = F.col("action").isin("block_ip", "isolate_service")
-    first = _firsts(rows.where(once))
-    return first.unionByName(rows.where(~once).withColumn("status", F.lit("success"))).select("alert_id", "rule_id", "step", "action", "target", "status", "severity", "ts_us", "seq")
+    return _settled(checkpointed(rows.select("alert_id", "rule_id", "step", "action", "target", "severity", "ts_us", "seq")))
 
 
-def _firsts(rows: DataFrame) -> DataFrame:
-    """status by whether a row is its target's first: the least key a target has, found by a combining aggregate."""
-    key = F.struct("seq", "alert_id", "step")
-    least = rows.groupBy("action", "target").agg(F.min(key).alias("_first"))
-    return rows.join(least, ["action", "target"]).withColumn("status", F.when(key == F.col("_first"), "success").otherwise("skipped")).drop("_first")
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows plus status. The least step of a target comes from a combining aggregate and meets its own row alone, so a target of very many steps is no hot key."""
+    once = F.col("action").isin("block_ip", "isolate_service")
+    least = rows.where(once).groupBy("action", "target").agg(F.min(F.struct("seq", "alert_id", "step")).alias("f"))
+    firsts = least.select("action", "f.alert_id", "f.step", F.lit(True).alias("_first"))
+    status = F.when(once & F.col("_first").isNull(), "skipped").otherwise("success")
+    return rows.join(firsts, ["action", "alert_id", "step"], "left").select("alert_id", "rule_id", "step", "action", "target", status.alias("status"), "severity", "ts_us", "seq")
 
 
 def dropped(alerts: DataFrame) -> DataFrame:

@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 from vigil.functions.compat import half_up
 
-from .actions import newest
+from .actions import DROPPED, lookup, newest
 from .windows import running
 
 # What a severity adds to an address's score.
 SCORES = {"low": 10, "medium": 25, "high": 50, "critical": 100}
 
 
-def timeline(alerts: DataFrame, dropped: DataFrame, n: int = 50) -> DataFrame:
-    """The newest n of both feeds, newest first."""
-    a = alerts.select(F.concat(F.lit("alert-"), "alert_id").alias("id"), F.when(F.col("severity") == "critical", "error").otherwise("alert").alias("kind"), F.col("title").alias("message"), "source", "ts_us")
-    label = F.replace(F.col("attack_type"), F.lit("_"), F.lit(" "))
-    d = dropped.select(F.concat(F.lit("dropped-"), "alert_id").alias("id"), F.lit("network").alias("kind"), F.concat(F.lit("Blocked "), label, F.lit(" from "), F.coalesce("source_ip", F.lit("unknown IP"))).alias("message"), F.lit("Response Engine").alias("source"), "ts_us")
-    return a.unionByName(d).orderBy(F.desc("ts_us"), "id").limit(n)
+def timeline(alerts: DataFrame, n: int = 50) -> DataFrame:
+    """The newest n of both feeds, newest first: alerts, and the requests dropped for them. Each alert gives its entries in one pass."""
+    entry = lambda *c: F.struct(*[x.alias(name) for x, name in zip(c, ("id", "kind", "message", "source", "ts_us"), strict=True)])
+    a = entry(F.concat(F.lit("alert-"), "alert_id"), F.when(F.col("severity") == "critical", "error").otherwise("alert"), F.col("title"), F.col("source"), F.col("ts_us"))
+    label = F.replace(F.try_element_at(lookup(DROPPED), F.col("rule_id")), F.lit("_"), F.lit(" "))
+    said = F.concat(F.lit("Blocked "), label, F.lit(" from "), F.coalesce("source_ip", F.lit("unknown IP")))
+    d = F.when(label.isNotNull(), entry(F.concat(F.lit("dropped-"), "alert_id"), F.lit("network"), said, F.lit("Response Engine"), F.col("ts_us")))
+    return alerts.select(F.inline(F.filter(F.array(a, d), lambda x: x.isNotNull()))).orderBy(F.desc("ts_us"), "id").limit(n)
 
 
 def sector_summary(verdicts: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def first_seen(points: DataFrame) -> DataFrame:
 
 
 def requests_per_second(tel: DataFrame) -> DataFrame:
-    """requests over the seconds since the service's last sample; none for the first."""
-    w = Window.partitionBy("service").orderBy("ts_us", "seq")
-    rows = tel.where("requests is not null").withColumn("_gap", (F.col("ts_us") - F.lag("ts_us").over(w)) / 1e6)
-    return rows.where(F.col("_gap") > 0).select("event_id", "service", (F.col("requests") / F.col("_gap")).alias("rps"))
+    """requests over the seconds since the service's last sample; none for the first. Services are few, so their samples are scanned in runs."""
+    rows = running(tel.where("requests is not null").select("event_id", "service", "requests", "ts_us", "seq"), "service", ("ts_us", "seq"), _last=("max", F.col("ts_us"), False))
+    gap = (F.col("ts_us") - F.col("_last")) / 1e6
+    return rows.where(gap > 0).select("event_id", "service", (F.col("requests") / gap).alias("rps"))

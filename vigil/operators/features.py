@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from .windows import numbered
 
 #: Rows of a sequence that one task orders.
 RUN = 1 << 16
+#: Characters whose n-grams are counted together.
+SLICE = 1 << 20
 
 
 def min_max(df: DataFrame, by: str, *columns: str) -> DataFrame:
@@ -74,9 +80,55 @@ def char_ngrams(df: DataFrame, key: str, text: str, low: int = 2, high: int = 4)
     return df.select(key, F.explode(grams_of(F.col(text), low, high)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _counted(points: np.ndarray, row: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """(gram, n, docs) of texts as code points and the row of each; a gram lies within a row.
+
+    A gram's key is the rank of its head among the grams one shorter, and its last
+    point, so keys fit 64 bits at any length.
+    """
+    rank = points.astype(np.int64)
+    for n in range(2, high + 1):
+        m = len(points) - n + 1
+        if m <= 0:
+            return
+        inside = np.flatnonzero(row[:m] == row[n - 1 :])
+        key = np.full(m, -1, np.int64)
+        key[inside] = rank[inside] << 21 | points[inside + n - 1]
+        order = inside[np.argsort(key[inside], kind="stable")]
+        k, d = key[order], row[order]
+        fresh = np.append(True, k[1:] != k[:-1])[: len(k)]
+        rank = np.full(m, -1, np.int64)
+        rank[order] = np.cumsum(fresh) - 1
+        if n < low or not len(k):
+            continue
+        starts = np.flatnonzero(fresh)
+        docs = np.add.reduceat((fresh | np.append(True, d[1:] != d[:-1])).astype(np.int64), starts)
+        grams = points[order[starts][:, None] + np.arange(n)]
+        size = 1 + (grams >= 0x80).astype(np.int32) + (grams >= 0x800) + (grams >= 0x10000)
+        ends = np.append(np.int32(0), np.cumsum(size.sum(axis=1), dtype=np.int32))
+        text = grams.astype("<u4").tobytes().decode("utf-32-le").encode()
+        names = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(text))
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(np.append(starts, len(k)))), pa.array(docs)], ["gram", "n", "docs"])
+
+
 def gram_totals(df: DataFrame, text: str, low: int = 2, high: int = 4) -> DataFrame:
-    """(gram, n, docs): how often a gram occurs and in how many rows; every row counts its own grams, so one combining aggregate settles both."""
-    grams = df.select(grams_of(F.col(text), low, high).alias("grams"))
-    mark = lambda n, d: lambda g: F.struct(g.alias("gram"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    both = grams.select(F.explode(F.concat(F.transform("grams", mark(1, 0)), F.transform(F.array_distinct("grams"), mark(0, 1)))).alias("g"))
-    return both.groupBy("g.gram").agg(F.sum("g.n").alias("n"), F.sum("g.d").alias("docs"))
+    """(gram, n, docs): how often a gram of at least two characters occurs and in how many rows.
+
+    Tasks count slices of about SLICE characters by packed keys, so only a slice's
+    distinct grams become rows, and those are combined before they are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size = [], 0
+            for t in b.column(0).to_pylist():
+                held.append(np.frombuffer((t or "").encode("utf-32-le"), "<u4").astype(np.int64))
+                size += len(held[-1])
+                if size >= SLICE:
+                    yield from _counted(np.concatenate(held), np.repeat(np.arange(len(held)), [*map(len, held)]), low, high)
+                    held, size = [], 0
+            if size:
+                yield from _counted(np.concatenate(held), np.repeat(np.arange(len(held)), [*map(len, held)]), low, high)
+
+    grams = df.select(F.lower(F.col(text)).alias("text")).mapInArrow(run, "gram string, n bigint, docs bigint")
+    return grams.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

@@ -48,26 +48,22 @@ RATE_SKIPS = ("sqli_attack", "sqli_blocked", "iomt_attack", "sensor_attack", "tr
 SECTOR_NAMES = {"iomt_attack": "IoMT Device Compromise", "sensor_attack": "IoT Sensor Spoofing", "traffic_attack": "Smart City Traffic Hack"}
 
 HIT = ("event_id", "rule_id", "rule_name", "severity", "confidence", "source_ip", "service", "value", "detail", "ts_us", "seq")
-_FOUND = "struct<rule_id:string,rule_name:string,severity:string,confidence:double,value:double,detail:string>"
+_FOUND = "struct<rule_id:string,rule_name:string,severity:string,confidence:double,value:double,detail:string,service:string>"
 
 
 def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def found(rule_id, rule_name, severity, confidence, value=None, detail=None) -> Column:
-    """What a rule says of a row. detail: field names or a user, for the alert's text."""
-    named = (rule_id, "rule_id"), (rule_name, "rule_name"), (severity, "severity"), (confidence, "confidence"), (value, "value"), (detail, "detail")
+def found(rule_id, rule_name, severity, confidence, value=None, detail=None, service="") -> Column:
+    """What a rule says of a row. detail: field names or a user, for the alert's text. service: the row's own; None for what an address did."""
+    named = (rule_id, "rule_id"), (rule_name, "rule_name"), (severity, "severity"), (confidence, "confidence"), (value, "value"), (detail, "detail"), (F.col("service") if service == "" else service, "service")
     return F.struct(*[_lit(x).alias(n) for x, n in named]).cast(_FOUND)
 
 
-def hit(rows: DataFrame, rule_id, rule_name, severity, confidence, value=None, detail=None) -> DataFrame:
-    return _hits(rows.withColumn("_hit", found(rule_id, rule_name, severity, confidence, value, detail)))
-
-
 def _hits(rows: DataFrame) -> DataFrame:
     h = lambda *names: [F.col(f"_hit.{n}").alias(n) for n in names]
-    return rows.select("event_id", *h("rule_id", "rule_name", "severity", "confidence"), "source_ip", "service", *h("value", "detail"), "ts_us", "seq")
+    return rows.select("event_id", *h("rule_id", "rule_name", "severity", "confidence"), "source_ip", *h("service", "value", "detail"), "ts_us", "seq")
 
 
 def payload_of(tel: DataFrame) -> Column:
@@ -158,31 +154,84 @@ def high_network(tel: DataFrame, **limits: float) -> DataFrame:
     return _hits(tel.withColumn("_hit", network_found(**limits)).where("_hit is not null"))
 
 
+def local_found(tel: DataFrame) -> list[Column]:
+    """What the rules that look at one event alone say of it."""
+    return [sql_found(tel), cpu_found(), memory_found(), network_found()]
+
+
+def _given(every: list[Column]) -> Column:
+    return F.filter(F.array(*every), lambda x: x.isNotNull())
+
+
 def single(tel: DataFrame) -> DataFrame:
     """Hits of the rules that look at one event alone, in one pass over the events."""
-    every = F.array(sql_found(tel), cpu_found(), memory_found(), network_found())
-    return _hits(tel.withColumn("_hit", F.explode(F.filter(every, lambda x: x.isNotNull()))))
+    return _hits(tel.withColumn("_hit", F.explode(_given(local_found(tel)))))
+
+
+def counted_for_rate() -> Column:
+    return F.coalesce(~F.col("event_type").isin(*RATE_SKIPS), F.lit(False)) & truthy(F.col("source_ip")).isNotNull()
+
+
+def spike_found(n: Column, over: int) -> Column:
+    return F.when(n > over, found("rate_spike", "Abnormal Request Rate", "warning", 0.75, n, service=None))
 
 
 def rate_spike(tel: DataFrame, seconds: int = 60, over: int = 500, strict: bool = False) -> DataFrame:
     """More requests of an address than `over` in the window; strict yields nothing, as the shadowed rule does."""
-    rows = tel.where(~F.col("event_type").isin(*RATE_SKIPS) & truthy(F.col("source_ip")).isNotNull())
-    rows = trailing(rows, "source_ip", "ts_us", seconds, {"_n": lambda w: F.count(F.lit(1)).over(w)})
-    rows = rows.withColumn("service", F.lit(None).cast("string"))
-    return hit(rows.where(F.lit(not strict) & (F.col("_n") > over)), "rate_spike", "Abnormal Request Rate", "warning", 0.75, F.col("_n"))
+    rows = trailing(tel.where(counted_for_rate()), "source_ip", "ts_us", seconds, {"_n": lambda w: F.count(F.lit(1)).over(w)})
+    return _hits(rows.withColumn("_hit", spike_found(F.col("_n"), over)).where(F.lit(not strict) & F.col("_hit").isNotNull()))
 
 
-def failed_auth(tel: DataFrame) -> DataFrame:
+def login_failed() -> Column:
     """auth_failure events, and auth_attempt events whose success is given as false; a missing success counts as true."""
-    return tel.where((F.col("event_type") == "auth_failure") | ((F.col("event_type") == "auth_attempt") & ~F.coalesce("success", F.lit(True))))
+    return F.coalesce((F.col("event_type") == "auth_failure") | ((F.col("event_type") == "auth_attempt") & ~F.coalesce("success", F.lit(True))), F.lit(False))
+
+
+def failed_auth(tel: DataFrame) -> DataFrame:
+    return tel.where(login_failed())
+
+
+def brute_found(n: Column, least: int, user: Column) -> Column:
+    return F.when(n >= least, found("brute_force", "Brute Force Attack", "critical", 0.90, n, user, service=None))
+
+
+def _user(tel: DataFrame) -> Column:
+    return F.col("username") if "username" in tel.columns else F.lit(None).cast("string")
 
 
 def brute_force(tel: DataFrame, seconds: int = 300, least: int = 5) -> DataFrame:
     """Without the cooldown, see folds.cooldown."""
     rows = trailing(failed_auth(tel), "source_ip", "ts_us", seconds, {"_n": lambda w: F.count(F.lit(1)).over(w)})
-    rows = rows.withColumn("service", F.lit(None).cast("string"))
-    user = F.col("username") if "username" in tel.columns else F.lit(None)
-    return hit(rows.where(F.col("_n") >= least), "brute_force", "Brute Force Attack", "critical", 0.90, F.col("_n"), user)
+    return _hits(rows.withColumn("_hit", brute_found(F.col("_n"), least, _user(tel))).where("_hit is not null"))
+
+
+def every_hit(tel: DataFrame, rate: tuple[int, int] = (60, 500), brute: tuple[int, int] = (300, 5), modelled: bool = True) -> DataFrame:
+    """Hits of all rules, and of the model layers if `modelled`, in one scan of the events.
+
+    rate: seconds and requests, brute: seconds and failures. What one event alone
+    says is settled before rows are dealt for the windows, so that its texts and
+    metrics do not travel; windows of one width are one pass. agri_attack and
+    health_probability are taken where the rows have them, see layered_verdict().
+    """
+    local = local_found(tel)
+    if modelled:
+        given = {c for c in ("agri_attack", "health_probability") if c in tel.columns}
+        fields = request_fields(tel) | {c: F.col(c) for c in given}
+        local.append(F.get(F.transform(F.array(said(fields)), model_found), F.lit(0)))
+    narrow = tel.select(
+        "event_id", "source_ip", "ts_us", "seq", _given(local).alias("_local"),
+        counted_for_rate().alias("_counts"), login_failed().alias("_failed"), F.when(login_failed(), _user(tel)).alias("_user"),
+    )
+    number = {"_spike": "_counts", "_brute": "_failed"}
+    made = {n: (lambda c: lambda w: F.count_if(F.col(c)).over(w))(c) for n, c in number.items()}
+    for seconds in sorted({rate[0], brute[0]}):
+        narrow = trailing(narrow, "source_ip", "ts_us", seconds, {n: f for n, f in made.items() if (rate if n == "_spike" else brute)[0] == seconds}, untimed=True)
+    timed = F.col("ts_us").isNotNull()
+    dealt = [
+        F.when(timed & F.col("_counts"), spike_found(F.col("_spike"), rate[1])),
+        F.when(timed & F.col("_failed"), brute_found(F.col("_brute"), brute[1], F.col("_user"))),
+    ]
+    return _hits(narrow.withColumn("_hit", F.explode(F.concat("_local", _given(dealt)))))
 
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {"single": single, "rate_spike": rate_spike, "brute_force": brute_force}
@@ -222,23 +271,43 @@ def dashboard_hits(tel: DataFrame) -> DataFrame:
     return tel.select(F.explode(found).alias("h"), F.col("service").alias("device"), "ts_us", "seq").select("h.rule", "device", "h.severity", "ts_us", "seq")
 
 
+def request_fields(tel: DataFrame) -> dict[str, Column]:
+    own = lambda name, kind: F.col(name).cast(kind) if name in tel.columns else F.lit(None).cast(kind)
+    return {
+        "sector": F.coalesce(own("payload_domain", "string"), F.col("domain"), F.lit("general")),
+        "text": F.coalesce(truthy(F.col("query")), truthy(own("username", "string")), F.lit("")),
+        "sensor_data": F.coalesce(own("sensor_data", "array<double>"), F.array().cast("array<double>")),
+        "rate": (F.coalesce("requests", F.lit(0)) * 100).cast("double"), "syn": F.coalesce(own("syn_count", "double"), F.col("network"), F.lit(0.0)), "rst": F.lit(0.0),
+        "iat": F.lit(500.0), "number": F.coalesce("requests", F.lit(5)).cast("double"),
+    }
+
+
 def model_request(tel: DataFrame) -> DataFrame:
     """Inputs of the model layers for each event. username, payload_domain, syn_count and sensor_data are taken where the rows have them."""
-    own = lambda name, kind: F.col(name).cast(kind) if name in tel.columns else F.lit(None).cast(kind)
-    return tel.select(
-        "event_id", F.coalesce(own("payload_domain", "string"), F.col("domain"), F.lit("general")).alias("sector"), F.coalesce(truthy(F.col("query")), truthy(own("username", "string")), F.lit("")).alias("text"),
-        F.coalesce(own("sensor_data", "array<double>"), F.array().cast("array<double>")).alias("sensor_data"),
-        (F.coalesce("requests", F.lit(0)) * 100).cast("double").alias("rate"), F.coalesce(own("syn_count", "double"), F.col("network"), F.lit(0.0)).alias("syn"), F.lit(0.0).alias("rst"),
-        F.lit(500.0).alias("iat"), F.coalesce("requests", F.lit(5)).cast("double").alias("number"), "source_ip", "service", "ts_us", "seq",
-    )
+    return tel.select("event_id", *[c.alias(n) for n, c in request_fields(tel).items()], "source_ip", "service", "ts_us", "seq")
 
 
-def network_reasons() -> Column:
+def network_reasons(fields: dict[str, Column] | None = None) -> Column:
     """Reasons, in order, that a network sample is an attack."""
-    tests = ((F.col("rate") > 5000, "High traffic rate"), (F.col("syn") > 50, "High SYN count"), (F.col("rst") > 30, "High RST count"), (F.col("iat") < 200, "Suspicious packet timing"), (F.col("number") > 60, "High packet volume"))
+    x = lambda name: F.col(name) if fields is None else fields[name]
+    tests = ((x("rate") > 5000, "High traffic rate"), (x("syn") > 50, "High SYN count"), (x("rst") > 30, "High RST count"), (x("iat") < 200, "Suspicious packet timing"), (x("number") > 60, "High packet volume"))
     return F.filter(F.array(*[F.when(t, F.lit(r)) for t, r in tests]), lambda x: x.isNotNull())
 
 
+def said(fields: dict[str, Column]) -> Column:
+    """(status, threat_level, source, score) of a request: gatekeeper, then network shield, then the sector layer."""
+    say = lambda status, level, source, score=None: F.struct(F.lit(status).alias("status"), F.lit(level).alias("threat_level"), F.lit(source).cast("string").alias("source"), _lit(score).cast("double").alias("score"))
+    layers = [
+        F.when(first_part(fields["text"], GATEKEEPER_PARTS).isNotNull(), say("blocked", "critical", "Web Gatekeeper", 0.99)),
+        F.get(F.transform(F.array(F.size(network_reasons(fields))), lambda n: F.when(n > 0, say("blocked", "critical", "Network Shield", F.least(0.5 + n * 0.15, F.lit(1.0))))), F.lit(0)),
+    ]
+    if "agri_attack" in fields:
+        layers.append(F.when((fields["sector"] == "agriculture") & fields["agri_attack"], say("isolated", "medium", "Agri-Guardian")))
+    if "health_probability" in fields:
+        layers.append(F.when((fields["sector"] == "healthcare") & (fields["health_probability"] > 0.7), say("quarantined", "critical", None)))
+    return F.coalesce(*layers, say("allowed", "low", None))
+
+
 def layered_verdict(requests: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
     """Gatekeeper, then network shield, then the sector layer; the first that hits decides.
 
@@ -247,20 +316,21 @@ def layered_verdict(requests: DataFrame, predicted: DataFrame | None = None) ->
     healthcare device under quarantine, without a source. Without it, and in other
     sectors, the layer allows.
     """
-    web = F.when(first_part(F.col("text"), GATEKEEPER_PARTS).isNotNull(), F.struct(F.lit("blocked").alias("status"), F.lit("critical").alias("threat_level"), F.lit("Web Gatekeeper").alias("source"), F.lit(0.99).alias("score")))
-    n = F.size(network_reasons())
-    net = F.when(n > 0, F.struct(F.lit("blocked").alias("status"), F.lit("critical").alias("threat_level"), F.lit("Network Shield").alias("source"), F.least(0.5 + n * 0.15, F.lit(1.0)).alias("score")))
-    say = lambda status, level, source: F.struct(F.lit(status).alias("status"), F.lit(level).alias("threat_level"), F.lit(source).cast("string").alias("source"), F.lit(None).cast("double").alias("score"))
-    layers = [web, net]
+    names = ["sector", "text", "rate", "syn", "rst", "iat", "number"]
     if predicted is not None:
+        names += ["agri_attack", "health_probability"]
         requests = requests.join(predicted.select("event_id", "agri_attack", "health_probability"), "event_id", "left")
-        layers.append(F.when((F.col("sector") == "agriculture") & F.col("agri_attack"), say("isolated", "medium", "Agri-Guardian")))
-        layers.append(F.when((F.col("sector") == "healthcare") & (F.col("health_probability") > 0.7), say("quarantined", "critical", None)))
-    return requests.withColumn("v", F.coalesce(*layers, say("allowed", "low", None))).select("event_id", "sector", "v.*", "source_ip", "service", "ts_us", "seq")
+    return requests.withColumn("v", said({n: F.col(n) for n in names})).select("event_id", "sector", "v.*", "source_ip", "service", "ts_us", "seq")
+
+
+def model_found(v: Column) -> Column:
+    """What a verdict (status, threat_level, source, score) becomes among the hits of rules."""
+    bad = (v["status"] == "blocked") | v["threat_level"].isin("high", "critical")
+    rule = F.concat(F.lit("ml_"), F.replace(F.lower(F.coalesce(v["source"], F.lit("network_shield"))), F.lit(" "), F.lit("_")))
+    return F.when(bad, found(rule, F.concat(F.lit("ML: "), F.coalesce(v["source"], F.lit("AI Detection"))), v["threat_level"], F.coalesce(v["score"], F.lit(0.85))))
 
 
 def model_hits(verdicts: DataFrame) -> DataFrame:
     """Verdicts that become hits, as rule rows."""
-    bad = verdicts.where((F.col("status") == "blocked") | F.col("threat_level").isin("high", "critical"))
-    rule = F.concat(F.lit("ml_"), F.replace(F.lower(F.coalesce("source", F.lit("network_shield"))), F.lit(" "), F.lit("_")))
-    return hit(bad, rule, F.concat(F.lit("ML: "), F.coalesce("source", F.lit("AI Detection"))), F.col("threat_level"), F.coalesce("score", F.lit(0.85)))
+    v = F.struct("status", "threat_level", "source", "score")
+    return _hits(verdicts.withColumn("_hit", model_found(v)).where("_hit is not null"))

@@ -40,19 +40,20 @@ def numbered(df: DataFrame, by: str, *order: str) -> DataFrame:
     return running(df, by, order, _n=("sum", F.lit(1).cast("bigint"), False))
 
 
-def trailing(df: DataFrame, key: str, t: str, seconds: int, made: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+def trailing(df: DataFrame, key: str, t: str, seconds: int, made: dict[str, Callable[[WindowSpec], Column]], untimed: bool = False) -> DataFrame:
     """df plus columns over the rows of the same key in (t - seconds, t], t in microseconds.
 
     A key is not one task: its rows are dealt by spans of time, and rows close to
-    the end of a span are lent to the next one.
+    the end of a span are lent to the next one. Rows without a time go, or stay
+    among themselves if `untimed`.
     """
     width = seconds * 1_000_000
     span = width * WIDTHS
     own, reach = F.floor(F.col(t) / span), F.floor((F.col(t) + (width - 1)) / span)
-    lent = df.withColumn("_own", own).withColumn("_span", F.explode(F.sequence(F.col("_own"), reach)))
+    lent = df.withColumn("_own", own).withColumn("_span", (F.explode_outer if untimed else F.explode)(F.sequence(F.col("_own"), reach)))
     w = Window.partitionBy(key, "_span").orderBy(t).rangeBetween(-(width - 1), 0)
     out = lent.withColumns({n: f(w) for n, f in made.items()})
-    return out.where("_own = _span").drop("_own", "_span")
+    return out.where("_own <=> _span").drop("_own", "_span")
 
 
 def rate(n: Column, first: Column, now: Column) -> Column:

@@ -114,8 +114,7 @@ over("brute_force_cooldown")(lambda tel: folds.cooldown(rules.brute_force(tel, D
 
 def daily_hits(tel: DataFrame) -> DataFrame:
     """Hits of the rules, their windows a day long as events are sparse, and of the models."""
-    ruled = rules.run_rules(tel, rules.RULES | {"rate_spike": lambda t: rules.rate_spike(t, DAY, 8), "brute_force": lambda t: rules.brute_force(t, DAY, 5)})
-    return ruled.unionByName(rules.model_hits(verdicts(tel)))
+    return rules.every_hit(tel, (DAY, 8), (DAY, 5))
 
 
 over("all_rules")(daily_hits)
@@ -258,7 +257,7 @@ over("chart_axis")(lambda tel: dashboard.axis(normalize.chart_point(tel)))
 over("latest_point")(lambda tel: dashboard.latest(normalize.chart_point(tel)).select("device", "seq", "cpu"))
 over("distinct_devices")(lambda tel: dashboard.first_seen(normalize.chart_point(tel)))
 over("rps")(dashboard.requests_per_second)
-over("timeline_top50")(lambda tel: dashboard.timeline(daily_alerts(tel), dropped(tel)))
+over("timeline_top50")(lambda tel: dashboard.timeline(daily_alerts(tel)))
 over("sector_summary")(lambda tel: dashboard.sector_summary(verdicts(tel)))
 over("threat_rate")(lambda tel: dashboard.threat_rate(verdicts(tel)))
 over("traffic_per_slot")(lambda tel: dashboard.traffic(verdicts(tel), HOUR_US))

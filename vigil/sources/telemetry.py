@@ -60,12 +60,28 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType = EVENT) ->
 
 
 def batch(texts: DataFrame, schema: T.StructType = EVENT) -> DataFrame:
-    """Items of batches (batch_id, body: a JSON array of events): (batch_id, index, ok, error, event); an item that is no event of the schema has an error and no event."""
-    items = texts.select("batch_id", F.posexplode(F.from_json("body", "array<variant>")).alias("index", "item"))
+    """Items of batches (batch_id, body: a JSON array of events): (batch_id, index, ok, error, event).
+
+    An item that is no event of the schema has an error and no event. A body that
+    gives no items says why in one row without an index: it is null, no JSON, no
+    array, or an empty one. So no body goes without a row.
+    """
+    read = F.try_parse_json("body")
+    listed = F.try_variant_get(read, "$", "array<variant>")
+    start = F.left("body", F.lit(100))
+    why = (
+        F.when(F.col("body").isNull(), "no body")
+        .when(F.col("_read").isNull(), F.concat(F.lit("not json: "), start))
+        .when(F.col("_items").isNull(), F.concat(F.lit("not a batch: "), start))
+        .when(F.size("_items") == 0, F.concat(F.lit("no events: "), start))
+    )
+    bodies = texts.select("batch_id", "body", read.alias("_read"), listed.alias("_items"))
+    items = bodies.select("batch_id", why.alias("_why"), F.posexplode_outer("_items").alias("index", "item"))
     text = F.to_json("item")
     event = F.from_json(text, schema)
-    named = F.coalesce(event["event_type"].isNotNull() & event["source_ip"].isNotNull(), F.lit(False))
-    return items.select("batch_id", "index", named.alias("ok"), F.when(~named, F.concat(F.lit("not an event: "), F.left(text, F.lit(100)))).alias("error"), F.when(named, event).alias("event"))
+    named = F.coalesce(event["event_type"].isNotNull() & event["source_ip"].isNotNull(), F.lit(False)) & F.col("_why").isNull()
+    error = F.when(~named, F.coalesce("_why", F.concat(F.lit("not an event: "), F.coalesce(F.left(text, F.lit(100)), F.lit("null")))))
+    return items.select("batch_id", "index", named.alias("ok"), error.alias("error"), F.when(named, event).alias("event"))
 
 
 def replayed(start_us: int, steps: DataFrame) -> DataFrame:

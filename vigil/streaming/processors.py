@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vigil.session import checkpointed
 from vigil.sources.telemetry import EVENT
 
 #: A key without rows for so long is forgotten.
@@ -47,6 +49,18 @@ def tumbling(rows: DataFrame, t: str, slot: str, late: str) -> DataFrame:
     return timed.groupBy(F.window("_at", slot).alias("slot")).agg(F.count(F.lit(1)).alias("traffic"), F.count_if(F.col("event_type") == "auth_failure").alias("failures"))
 
 
+def sliding(rows: DataFrame, t: str, width: str, step: str, late: str, *by: str) -> DataFrame:
+    """(window, by, n): rows of each sliding window, closed by the watermark; rows behind it are left out."""
+    timed = rows.withColumn("_at", F.timestamp_micros(t)).withWatermark("_at", late)
+    return timed.groupBy(F.window("_at", width, step).alias("window"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sessions(rows: DataFrame, t: str, gap: str, late: str, *by: str) -> DataFrame:
+    """(session, by, n, failures): rows of a key that follow each other within `gap`, closed by the watermark."""
+    timed = rows.withColumn("_at", F.timestamp_micros(t)).withWatermark("_at", late)
+    return timed.groupBy(F.session_window("_at", gap).alias("session"), *by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "auth_failure").alias("failures"))
+
+
 def once(rows: DataFrame, t: str, late: str, key: str = "event_id") -> DataFrame:
     """Events without those whose id came before, within the watermark."""
     return rows.withColumn("_at", F.timestamp_micros(t)).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
@@ -82,24 +96,43 @@ def published(decisions: DataFrame) -> DataFrame:
 
 
 def with_block_list(read: Callable[[], DataFrame], seconds: int = 5) -> Callable[[DataFrame, float], DataFrame]:
-    """A function of a micro-batch and the time that adds is_blocked, from a block list (ip) that is read anew once it is `seconds` old and kept if it cannot be read."""
-    held: dict[str, object] = {"at": None, "list": None}
+    """A function of a micro-batch and the time that adds is_blocked, from a block list (ip) that is read anew once it is `seconds` old.
+
+    Each reading is a version of its own in the checkpoint folder, so the list
+    outlives its source: if that cannot be read, the last version holds. Before
+    the first reading nothing is blocked. add.version() tells (number, time read).
+    """
+    held: dict[str, Any] = {"at": None, "list": None, "version": 0}
 
     def add(batch: DataFrame, now_s: float) -> DataFrame:
         if held["at"] is None or now_s - held["at"] >= seconds:
             try:
-                fresh = read().select("ip").distinct()
-                fresh.limit(1).count()
-                held.update(at=now_s, list=fresh)
+                held.update(list=checkpointed(read().select("ip").where("ip is not null").distinct()), at=now_s, version=held["version"] + 1)
             except Exception:  # noqa: BLE001 - the list lives elsewhere; without it the last one holds
                 if held["list"] is None:
                     return batch.withColumn("is_blocked", F.lit(False))
         marks = held["list"].select(F.col("ip").alias("_ip"), F.lit(True).alias("_mark"))
         return batch.join(marks, F.col("source_ip") == F.col("_ip"), "left").withColumn("is_blocked", F.coalesce("_mark", F.lit(False))).drop("_ip", "_mark")
 
+    add.version = lambda: (held["version"], held["at"])  # type: ignore[attr-defined]
     return add
 
 
+def blocked_requests(requests: DataFrame, intervals: DataFrame, longest_s: int, late: str = "0 seconds") -> DataFrame:
+    """Requests (event_id, source_ip, ts_us) of a stream that a block (ip, start_us, end_us) of another stream covers.
+
+    An interval join of two streams: both have watermarks, and no block is longer
+    than longest_s, so Spark keeps a request until no block that covers it can come,
+    and a block until its last request. Blocks of an address do not overlap, so a
+    request comes once.
+    """
+    r = requests.select("event_id", "source_ip", "ts_us", F.timestamp_micros("ts_us").alias("_at")).withWatermark("_at", late)
+    b = intervals.select("ip", "start_us", "end_us", F.timestamp_micros("start_us").alias("_from")).withWatermark("_from", late)
+    near = (F.col("_from") <= F.col("_at")) & (F.col("_at") <= F.col("_from") + F.expr(f"interval {longest_s} seconds"))
+    held = (F.col("source_ip") == F.col("ip")) & near & (F.col("ts_us") >= F.col("start_us")) & (F.col("ts_us") <= F.col("end_us"))
+    return r.join(b, held).select("event_id", "source_ip", "ts_us")
+
+
 class Feed:
     """A query that can be paused and goes on where it stopped, by its checkpoint."""
 
