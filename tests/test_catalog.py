@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from vigil.plans import catalog, console, sql  # noqa: F401
+from vigil.plans import catalog, console, learning, response, sql  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
@@ -38,6 +38,30 @@ def test_every_query_without_sql_runs(spark):
         assert catalog.QUERIES[name](spark, SF).count() >= 0, name
 
 
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_events_are_scanned_once(spark):
+    """From events to hits, alerts and the timeline one scan; actions read their own steps only."""
+    from vigil.sources.telemetry import telemetry_of
+
+    tel = telemetry_of(spark, SF)
+    assert scans(catalog.daily_hits(tel)) == 1 and scans(catalog.daily_alerts(tel)) == 1 and scans(catalog.QUERIES["timeline_top50"](spark, SF)) == 1
+    assert scans(catalog.flagship(spark, SF)) == 0
+
+
+def test_one_scan_says_what_single_rules_say(spark):
+    from vigil.operators import rules
+    from vigil.sources.telemetry import telemetry_of
+
+    tel = telemetry_of(spark, SF)
+    apart = rules.run_rules(tel, rules.RULES | {"rate_spike": lambda t: rules.rate_spike(t, 86400, 4), "brute_force": lambda t: rules.brute_force(t, 3600, 2)})
+    apart = apart.unionByName(rules.model_hits(catalog.verdicts(tel)))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(rules.every_hit(tel, (86400, 4), (3600, 2))) == rows(apart)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -43,6 +43,40 @@ def sequences(df: DataFrame, by: str, order: str, value: str, length: int) -> Da
     return made.where((F.col("_run") == F.floor(n / RUN)) & (F.size("steps") == length)).select(by, order, "steps", "target")
 
 
+def vector_sequences(df: DataFrame, by: str, order: str, columns: tuple[str, ...], length: int) -> DataFrame:
+    """sequences() of vectors: steps is an array of the last `length` rows' columns, target those of the row that follows."""
+    return sequences(df.withColumn("_vector", F.array(*[F.col(c).cast("double") for c in columns])), by, order, "_vector", length)
+
+
+def time_cut(df: DataFrame, order: str, share: float = 0.8) -> int:
+    """The place in `order` up to which rows count as the past."""
+    ends = df.agg(F.min(order), F.max(order)).first()
+    return 0 if ends[0] is None else int(ends[0] + (ends[1] - ends[0]) * share)
+
+
+def ranges(df: DataFrame, *columns: str) -> list[tuple[float, float]]:
+    """The least and the largest value of each column; nothing gives 0 to 0."""
+    found = df.agg(*[f(F.col(c).cast("double")) for c in columns for f in (F.min, F.max)]).first()
+    return [(found[2 * i] or 0.0, found[2 * i + 1] or 0.0) for i in range(len(columns))]
+
+
+def scaled_vectors(steps: Column, spans: list[tuple[float, float]]) -> Column:
+    """Vectors with each place scaled by its range; a range of one value gives 0. Later values may lie outside 0 to 1."""
+    one = lambda v: F.array(*[((F.get(v, F.lit(i)) - lo) / (hi - lo)) if hi > lo else F.lit(0.0) for i, (lo, hi) in enumerate(spans)])
+    return F.transform(steps, one)
+
+
+def followed(df: DataFrame, by: str, order: str, value: Column, rows: int) -> DataFrame:
+    """(by, order, followed): whether value holds for any of the next `rows` rows of the key; null for the last ones, which have fewer.
+
+    Rows are numbered, and each lends its value to the places before it, so no key is one task.
+    """
+    placed = numbered(df.select(by, order, F.coalesce(value, F.lit(False)).alias("_v")), by, order)
+    back = F.explode(F.sequence(F.col("_n") - rows, F.col("_n") - 1))
+    lent = placed.select(F.col(by).alias("_by"), back.alias("_at"), "_v").groupBy("_by", "_at").agg(F.max("_v").alias("followed"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") == rows)
+    return placed.join(lent, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_n") == F.col("_at")), "left").select(by, order, "followed")
+
+
 def aligned(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, then columns in this order as doubles: missing and null ones are 0, others go."""
     have = set(df.columns)

@@ -10,7 +10,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import grams_of
+from .features import followed, grams_of, ranges, scaled_vectors, time_cut, vector_sequences
+
+#: What the sector models look at: metrics, and rows of a window.
+HEALTH, HEALTH_STEPS, URBAN, URBAN_STEPS = ("cpu", "memory", "network", "requests"), 20, ("network", "requests"), 10
+#: A window is followed by trouble if a login fails within so many events of its sector.
+AHEAD = 5
+
 
 def grams(df: DataFrame, text: str, low: int = 2, high: int = 4) -> DataFrame:
     return df.withColumn("grams", grams_of(F.col(text), low, high))
@@ -55,6 +61,55 @@ def network_net(train: DataFrame, inputs: list[str]) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), MultilayerPerceptronClassifier(layers=[len(inputs), 128, 64, 2], seed=42, maxIter=30)]).fit(train)
 
 
+def sensors(tel: DataFrame) -> DataFrame:
+    """Telemetry rows as (event_id, seq, temperature, humidity, water, n, p, k)."""
+    made = {"temperature": 20 + F.col("cpu") / 10, "humidity": 40 + F.col("memory") / 4, "water": F.col("network") / 10, "n": F.col("cpu") / 2, "p": F.col("memory") / 2, "k": F.col("cpu") / 3}
+    return tel.where("network is not null and cpu is not null and memory is not null").select("event_id", "seq", *[c.alias(n) for n, c in made.items()])
+
+
+def sector_windows(tel: DataFrame, sector: str, columns: tuple[str, ...], length: int, cut: int) -> DataFrame:
+    """Windows of vectors of a sector's metrics: (seq, steps, target, label, past, future), steps flat and scaled by ranges of rows up to cut.
+
+    label: whether a login of the sector fails within the next AHEAD events, which
+    is no function of the metrics. past: the window and what its label looks at lie
+    up to cut; future: the whole window lies beyond it. Windows across the cut are neither.
+    """
+    own = tel.where(F.col("domain") == sector)
+    rows = own.where(" and ".join(f"{c} is not null" for c in columns))
+    spans = ranges(rows.where(F.col("seq") <= cut), *columns)
+    trouble = followed(own, "domain", "seq", F.col("event_type") == "auth_failure", AHEAD).select(F.col("seq").alias("_seq"), F.col("followed").cast("int").alias("label"))
+    first = vector_sequences(rows.withColumn("_place", F.col("seq")), "domain", "seq", (*columns, "_place"), length)
+    head, drop_place = F.element_at(F.element_at("steps", 1), -1), lambda v: F.slice(v, 1, len(columns))
+    made = first.withColumns({"_first": head, "_after": F.element_at("target", -1), "target": drop_place(F.col("target"))})
+    steps = scaled_vectors(F.transform("steps", drop_place), spans)
+    made = made.join(trouble, F.col("seq") == F.col("_seq"), "left")
+    last_seen = F.coalesce(F.col("_after"), F.col("seq"))
+    return made.select("seq", F.flatten(steps).alias("steps"), "target", "label", (last_seen <= cut).alias("past"), (F.col("_first") > cut).alias("future"))
+
+
+def trained(tel: DataFrame, folder: str, share: float = 0.8) -> dict[str, str]:
+    """Trains the sector models on the first `share` of time, saves them in the folder and gives their paths: agri (with made attacks) and health."""
+    cut = time_cut(tel, "seq", share)
+    past = sensors(tel.where((F.col("domain") == "agriculture") & (F.col("seq") <= cut)))
+    windows = flat(sector_windows(tel, "healthcare", HEALTH, HEALTH_STEPS, cut), "steps", len(HEALTH) * HEALTH_STEPS)
+    made = {"agri": sensor_forest(with_attacks(past)), "health": sequence_classifier(windows.where("past and label is not null"), len(HEALTH) * HEALTH_STEPS)}
+    paths = {name: f"{folder}/{name}" for name in made}
+    for name, model in made.items():
+        save(model, paths[name])
+    return paths
+
+
+def predicted(tel: DataFrame, paths: dict[str, str], share: float = 0.8) -> DataFrame:
+    """(event_id, agri_attack, health_probability) of loaded models for events after the first `share` of time; the past, which they learned from, is not judged."""
+    cut = time_cut(tel, "seq", share)
+    later = sensors(tel.where((F.col("domain") == "agriculture") & (F.col("seq") > cut)))
+    agri = verdict(load(paths["agri"]), later, 0.5).select("event_id", F.col("is_attack").alias("agri_attack"), F.lit(None).cast("double").alias("health_probability"))
+    windows = flat(sector_windows(tel, "healthcare", HEALTH, HEALTH_STEPS, cut), "steps", len(HEALTH) * HEALTH_STEPS)
+    health = verdict(load(paths["health"]), windows.where("future")).select("seq", "probability_1")
+    named = tel.where("domain = 'healthcare'").select("event_id", "seq").join(health, "seq").select("event_id", F.lit(None).cast("boolean").alias("agri_attack"), F.col("probability_1").alias("health_probability"))
+    return agri.unionByName(named)
+
+
 def verdict(model: PipelineModel, rows: DataFrame, over: float = 0.7) -> DataFrame:
     """rows with probability of label 1 and whether it is above the cut."""
     return model.transform(rows).withColumn("probability_1", F.get(vector_to_array("probability"), F.lit(1))).withColumn("is_attack", F.col("probability_1") > over)

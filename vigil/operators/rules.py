@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.compat import first_match, first_part, ignore_case, truthy
 
@@ -252,6 +254,39 @@ def run_rules(tel: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]]
     return _hits(tel.limit(0).withColumn("_hit", found("", "", "", 0.0))) if out is None else out
 
 
+def guarded(tel: DataFrame, checks: dict[str, Callable[[dict], dict | None]], columns: tuple[str, ...]) -> DataFrame:
+    """Hits (HIT) of Python checks plus error: a check that fails on an event gives a row with what failed, and other events and checks go on.
+
+    For rules that no expression says. A check gets the named columns of an event as
+    a dict and returns what it found (rule_name, severity, confidence, and value and
+    detail where it has them), or None. Checks run batch by batch where the events lie.
+    """
+    reads = list(dict.fromkeys([*columns, "event_id", "source_ip", "service", "ts_us", "seq"]))
+    schema = T.StructType([*[T.StructField(c, T.DoubleType() if c in ("confidence", "value") else T.LongType() if c in ("ts_us", "seq") else T.StringType()) for c in HIT], T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                for rule, check in checks.items():
+                    base = dict.fromkeys([*HIT, "error"]) | {c: row[c] for c in ("event_id", "source_ip", "service", "ts_us", "seq")} | {"rule_id": rule}
+                    try:
+                        made = check(row)
+                        if made is None:
+                            continue
+                        made = {k: made.get(k) for k in ("rule_name", "severity", "confidence", "value", "detail")}
+                        made |= {k: None if made[k] is None else float(made[k]) for k in ("confidence", "value")}
+                        out.append(base | made)
+                    except Exception as e:  # noqa: BLE001 - whatever a check raises is its own event's error
+                        out.append(base | {"error": f"{type(e).__name__}: {e}"[:200]})
+            yield from pa.Table.from_pylist(out, schema=kind).to_batches()
+
+    return tel.select(*reads).mapInArrow(run, schema)
+
+
 def threat_class(query: Column, path: Column) -> tuple[Column, Column]:
     """(type, pattern) of a request: scripts in the query over SQL in it, then the path, whose pattern is the one told."""
     sql_q, xss_q = (F.when(truthy(query).isNotNull(), first_part(query, p)) for p in (SQL_PARTS, XSS_PARTS))

@@ -308,14 +308,6 @@ def _(tel: DataFrame) -> DataFrame:
     return models.verdict(model, rows).select("event_id", "label", col("prediction").cast("int").alias("prediction"))
 
 
-@over("agri_forest")
-def _(tel: DataFrame) -> DataFrame:
-    base = tel.where("network is not null")
-    rows = base.select((20 + col("cpu") / 10).alias("temperature"), (40 + col("memory") / 4).alias("humidity"), (col("network") / 10).alias("water"), (col("cpu") / 2).alias("n"), (col("memory") / 2).alias("p"), (col("cpu") / 3).alias("k"))
-    made = models.with_attacks(rows)
-    return models.verdict(models.sensor_forest(made), made).groupBy("label", col("prediction").cast("int").alias("prediction")).agg(F.count(lit(1)).alias("n"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits to alerts to actions: steps of each rule, severity and action."""
     return acted(telemetry_of(spark, sf_dir)).groupBy("rule_id", "severity", "action").agg(F.count(lit(1)).alias("steps"))

@@ -248,24 +248,3 @@ pair("scenario_replay", "select step, (1000000000 + o * 1000000)::bigint as ts_u
 pair("metric_walk", f"""with {TEL}, d as (select service, list(cpu order by ts_us, seq) as xs from tel where cpu is not null group by service) select service, list_reduce(xs, lambda a, x: a + (x - a) * 0.3::double, 50.0::double) as level from d""")(
     lambda tel: folds.walk(tel.where("cpu is not null").select("service", "ts_us", "seq", "cpu"), "service", "cpu", 50.0, 0.3).groupBy("service").agg(F.max_by("level", F.struct("ts_us", "seq")).alias("level"))
 )
-
-
-# Models, whose results other libraries do not give bit for bit.
-@over("sequence_classifier")
-def _(tel: DataFrame) -> DataFrame:
-    rows = features.sequences(tel.where("network is not null and domain = 'healthcare'"), "domain", "seq", "network", 20)
-    flat = models.flat(rows, "steps", 20).withColumn("label", (F.aggregate("steps", lit(0.0), lambda a, x: a + x) / 20 > 250).cast("int"))
-    model = models.sequence_classifier(flat.where("seq % 5 > 0"), 20)
-    return models.verdict(model, flat).select("seq", "label", "is_attack")
-
-
-@over("forecast")
-def _(tel: DataFrame) -> DataFrame:
-    rows = models.flat(features.sequences(tel.where("network is not null and domain = 'urban'"), "domain", "seq", "network", 10).where("target is not null"), "steps", 10)
-    return models.forecaster(rows, 10).transform(rows).select("seq", "target", "prediction")
-
-
-@over("network_net")
-def _(tel: DataFrame) -> DataFrame:
-    rows = features.aligned(tel.where("cpu is not null"), ("cpu", "memory", "network", "requests"), ("event_id",)).withColumn("label", (col("cpu") > 85).cast("int"))
-    return models.network_net(rows, ["cpu", "memory", "network", "requests"]).transform(rows).select("event_id", "label", col("prediction").cast("int").alias("prediction"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators import joins, ledger
+from vigil.operators import joins, ledger, rules
 
 from .catalog import col, lit, pick
 from .console import pair
@@ -64,3 +64,26 @@ _TOPICS = {"block": "ip:blocked", "extend_block": "ip:blocked", "unblock": "ip:u
 pair("ledger_topics", f"with recursive {COMMANDS} select {chain('action', _TOPICS, q(''))} as topic, count(*) as n from audit group by 1")(
     lambda tel: ledger.heard(ledger.ledger(ledger_commands(tel))).groupBy("topic").agg(F.count(lit(1)).alias("n"))
 )
+
+
+# Checks that fail on some events.
+def _per_request(r: dict) -> dict | None:
+    """Network bytes a request; a sample of no requests cannot be told."""
+    load = None if r["network"] is None else r["network"] / r["requests"]
+    return None if load is None or load <= 20 else {"rule_name": "Heavy Requests", "severity": "warning", "confidence": 0.5, "value": load}
+
+
+def _named_root(r: dict) -> dict | None:
+    """Logins as root; an event without a user name is not one that it knows."""
+    return {"rule_name": "Root Login", "severity": "critical", "confidence": 0.9, "detail": r["username"]} if r["username"].startswith("root") else None
+
+
+_CHECKED = "event_id, {rule} as rule_id, {name} as rule_name, {severity} as severity, {confidence}::double as confidence, source_ip, service, {value}::double as value, {detail}::varchar as detail, ts_us, seq, {error}::varchar as error"
+_HEAVY = _CHECKED.format(rule="'per_request'", name="'Heavy Requests'", severity="'warning'", confidence="0.5", value="network / requests", detail="null", error="null")
+_ROOT = _CHECKED.format(rule="'root_login'", name="'Root Login'", severity="'critical'", confidence="0.9", value="null", detail="username", error="null")
+_FAILS = [_CHECKED.format(rule=f"'{rule}'", name="null", severity="null", confidence="null", value="null", detail="null", error=f"'{error}'") for rule, error in (("per_request", "ZeroDivisionError: float division by zero"), ("root_login", "AttributeError: ''NoneType'' object has no attribute ''startswith''"))]
+pair(
+    "rule_errors",
+    f"""with {TEL} select {_HEAVY} from tel where requests > 0 and network / requests > 20 union all select {_FAILS[0]} from tel where requests = 0
+ union all select {_ROOT} from tel where starts_with(username, 'root') union all select {_FAILS[1]} from tel where username is null""",
+)(lambda tel: rules.guarded(tel, {"per_request": _per_request, "root_login": _named_root}, ("network", "requests", "username")))
