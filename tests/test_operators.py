@@ -118,9 +118,19 @@ def test_fold_equals_machine(spark):
 
 
 def test_sector_null_is_not_missing(spark):
-    from vigil.plans.catalog import QUERIES
-
-    assert {r.event_id for r in QUERIES["rule_sector"](spark, "").collect()} == {"e1", "e3", "e4", "e5"}
+    rows = [("e1", "iomt_attack", {"action": "x"}), ("e2", "iomt_attack", {"blocked_by": None}), ("e3", "sensor_attack", {"blocked_by": "ML_X"}), ("e4", "traffic_attack", {"blocked_by": "WAF"}), ("e5", "iomt_attack", {}), ("e6", "healthcare_attack", {"blocked_by": "ML_X"})]
+    got = rules.sector_attack(spark.createDataFrame(rows, "event_id string, event_type string, payload map<string,string>"))
+    assert {(r.event_id, r.rule_id) for r in got.collect()} == {("e1", "rule_iomt_attack"), ("e3", "ml_sensor_attack"), ("e4", "rule_traffic_attack"), ("e5", "rule_iomt_attack")}
+
+
+def test_routing_to_many_nodes(spark, monkeypatch):
+    """Shares of nodes give what one array a sector gives."""
+    events = tel(spark, *[{"event_id": str(i), "domain": "urban" if i % 3 else "healthcare", "query": "1=1" if i % 2 else "x"} for i in range(9)])
+    nodes = spark.createDataFrame([(f"n{i}", "urban" if i % 2 else "healthcare", "online" if i % 5 else "offline") for i in range(23)], "node_id string, sector string, status string")
+    few = {tuple(r) for r in joins.fan_out(events, nodes).collect()}
+    monkeypatch.setattr(joins, "FEW_NODES", 4)
+    assert {tuple(r) for r in joins.fan_out(events, nodes).collect()} == few and {r[2] for r in few} == {"blocked", "passed"}
+    assert {tuple(r) for r in joins.route_attacks(events, nodes).collect()} == {r[:2] for r in few}
 
 
 @pytest.mark.parametrize("digits", [0, 1, 2])

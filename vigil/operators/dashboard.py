@@ -58,11 +58,11 @@ def high_threat(actions: DataFrame, least: int = 50) -> DataFrame:
 
 
 def ip_stats(blocks: DataFrame, limits: DataFrame, audit: DataFrame, scores: DataFrame, least: int = 50) -> DataFrame:
-    """One row of counts over blocks (ip), limits (ip, throttled), audit rows and scores (ip, score): blocked, throttled, audit entries, addresses of a high score."""
-    one = lambda df, f, name: df.agg(f.alias(name))
-    parts = (one(blocks, F.count_distinct("ip"), "blocked_count"), one(limits, F.count_if("throttled"), "throttled_count"), one(audit, F.count(F.lit(1)), "audit_log_size"), one(scores, F.count_if(F.col("score") >= least), "high_threat_ips"))
-    shaped = [p.select(F.lit(p.columns[0]).alias("name"), F.col(p.columns[0]).cast("bigint").alias("n")) for p in parts]
-    return reduce(DataFrame.unionByName, shaped)
+    """(name, n, ip) over blocks (ip), limits (ip, throttled), audit rows and scores (ip, score): blocked, throttled and audit counts, and each address of a high score with it."""
+    one = lambda df, f, name: df.agg(f.alias("n")).select(F.lit(name).alias("name"), F.col("n").cast("bigint").alias("n"), F.lit(None).cast("string").alias("ip"))
+    parts = [one(blocks, F.count_distinct("ip"), "blocked_count"), one(limits, F.count_if("throttled"), "throttled_count"), one(audit, F.count(F.lit(1)), "audit_log_size")]
+    high = scores.where(F.col("score") >= least).select(F.lit("high_threat_ips").alias("name"), F.col("score").cast("bigint").alias("n"), "ip")
+    return reduce(DataFrame.unionByName, [*parts, high])
 
 
 def health_counts(**frames: DataFrame) -> DataFrame:

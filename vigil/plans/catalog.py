@@ -98,12 +98,6 @@ def _(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", kind.alias("kind"), pattern.alias("pattern")).where("kind is not null")
 
 
-def sector_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("e1", "iomt_attack", {"action": "x"}), ("e2", "iomt_attack", {"blocked_by": None}), ("e3", "sensor_attack", {"blocked_by": "ML_X"}), ("e4", "traffic_attack", {"blocked_by": "WAF"}), ("e5", "iomt_attack", {}), ("e6", "healthcare_attack", {"blocked_by": "ML_X"})]
-    return spark.createDataFrame(rows, "event_id string, event_type string, payload map<string,string>")
-
-
-over("rule_sector", sector_cases)(rules.sector_attack)
 over("rule_high_cpu")(rules.high_cpu)
 over("rule_high_memory")(rules.high_memory)
 over("rule_high_network")(rules.high_network)

@@ -93,7 +93,6 @@ pair("rate_category", f"with {TEL}, {_PATHS} select event_id, case when starts_w
 pair("auth_failure_capture", f"with {TEL}, {_PATHS} select event_id, ip from p where method = 'POST' and ({' or '.join(f'starts_with(path, {q(x)})' for x in perimeter.LOGIN_PATHS)}) and status in (401, 403)")(lambda tel: normalize.failed_logins(paths(tel), perimeter.LOGIN_PATHS).select("event_id", "ip"))
 pair("alert_severity_filter", f"with {ALERTS} select alert_id, severity from alerts where severity in ('critical', 'high')")(lambda tel: alerts.of_severity(daily_alerts(tel), "critical", "high").select("alert_id", "severity"))
 pair("device_telemetry", f"with {TEL} select event_id, cpu from tel where service = 'node-3'")(lambda tel: alerts.of_device(tel, "node-3").select("event_id", "cpu"))
-pair("action_keyword", "select label from (values ('Block address'), ('Restore service')) t(label)", lambda s, _: s.createDataFrame([("Block address", ["deny"]), ("Isolate", ["quarantine"]), ("Restore service", ["UNBLOCK", "heal"])], "label string, keywords array<string>"))(lambda rows: actions.keyword(rows, "Block").select("label"))
 pair("told_actions", f"with {ACTIONS} select alert_id, step from acted where not (status = 'skipped' and seq % 2 = 0)")(
     lambda tel: actions.told_actions(actions.actions(daily_alerts(tel)).withColumn("message", F.when(col("seq") % 2 == 0, "a Telemetry Alert").otherwise("done"))).select("alert_id", "step")
 )
@@ -183,14 +182,8 @@ SQL["block_lifecycle"] = f"""with recursive {TEL}, c as (select source_ip as ip,
  select ip, ts_us, seq, action, expires_us, blocks, severity from r where rn > 0"""
 
 # Counts.
-_COMMON = "select 'blocked_count' as name, count(distinct source_ip) as n from tel where event_type = 'auth_failure' union all select 'throttled_count', count(*) from tel where seq % 7 = 0 union all select 'audit_log_size', count(*) from tel where seq % 2 = 0"
-pair("ip_stats", f"with {TEL}, h as (select source_ip from tel group by 1 having sum(10) >= 50) {_COMMON} union all select 'high_threat_ips', count(*) from h")(
-    lambda tel: dashboard.ip_stats(tel.where("event_type = 'auth_failure'").select(col("source_ip").alias("ip")), tel.select((col("seq") % 7 == 0).alias("throttled")), tel.where("seq % 2 = 0"), tel.groupBy("source_ip").agg(F.sum(lit(10)).alias("score")))
-)
 pair("health_counts", f"with {ALERTS}, {NODES} select 'events' as name, count(*) as n from tel union all select 'alerts', count(*) from alerts union all select 'nodes', count(*) from nodes")(lambda tel: dashboard.health_counts(events=tel, alerts=daily_alerts(tel), nodes=nodes(tel)))
 pair("online_fraction", f"with {TEL}, {NODES} select count(*) filter (status = 'online') as online, count(*) as total, count(*) filter (status = 'online') || '/' || count(*) as text from nodes")(lambda tel: joins.online_fraction(nodes(tel)))
-pair("attack_fan_out", f"with {TEL}, {NODES} select t.event_id, n.node_id, 'delivered' as result, count(*) over (partition by t.event_id) as nodes from tel t join nodes n on t.domain = n.sector and n.status = 'online' where t.event_type = 'auth_failure'")(lambda tel: joins.fan_out(tel.where("event_type = 'auth_failure'"), nodes(tel)))
-
 # Commands, lists and histories.
 OPS = ["'block'", "'unblock'", "'isolate'", "'throttle'", "'block'", "'restore'", "'unthrottle'", "'isolate'", "'block'"]
 

@@ -1,15 +1,15 @@
-"""Queries of the response side: the ledger's commands, each beside its SQL."""
+"""Queries of the response side: the ledger's commands and statistics, rules over payload maps, routing and node status, each beside its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators import joins, ledger, rules
+from vigil.operators import actions, dashboard, joins, ledger, rules
 
-from .catalog import col, lit, pick
+from .catalog import NOW_US, acted, col, daily_alerts, lit, nodes, pick
 from .console import pair
-from .sql import TEL, chain, q
+from .sql import ACTIONS, ALERTS, NODES, TEL, chain, first_part, q
 
 
 def ledger_commands(tel: DataFrame) -> DataFrame:
@@ -87,3 +87,60 @@ pair(
     f"""with {TEL} select {_HEAVY} from tel where requests > 0 and network / requests > 20 union all select {_FAILS[0]} from tel where requests = 0
  union all select {_ROOT} from tel where starts_with(username, 'root') union all select {_FAILS[1]} from tel where username is null""",
 )(lambda tel: rules.guarded(tel, {"per_request": _per_request, "root_login": _named_root}, ("network", "requests", "username")))
+
+
+# Statistics of the ledger: commands of operators, and the scores of alerts.
+_SCORE = chain("severity", dashboard.SCORES, "10")
+
+
+def _stats(tel: DataFrame) -> DataFrame:
+    audit = ledger.ledger(ledger_commands(tel))
+    blocks = audit.where("action = 'block'")
+    limits = audit.where("action = 'throttle'").groupBy("ip").agg(F.lit(True).alias("throttled"))
+    add = F.coalesce(*[F.when(col("severity") == s, lit(v)) for s, v in dashboard.SCORES.items()], lit(10))
+    return dashboard.ip_stats(blocks, limits, audit, daily_alerts(tel).groupBy(col("source_ip").alias("ip")).agg(F.sum(add).alias("score")), 1000)
+
+
+pair(
+    "ip_stats",
+    f"""with recursive {COMMANDS}, {ALERTS.removeprefix(TEL + ", ")} select 'blocked_count' as name, count(distinct ip) as n, null::varchar as ip from audit where action = 'block'
+ union all select 'throttled_count', count(distinct ip), null from audit where action = 'throttle' union all select 'audit_log_size', count(*), null from audit
+ union all select 'high_threat_ips', sum({_SCORE})::bigint, source_ip from alerts group by source_ip having sum({_SCORE}) >= 1000""",
+)(_stats)
+
+
+# Sector attacks: what the events table holds, told as a payload map.
+def sector_events(tel: DataFrame) -> DataFrame:
+    kind = pick(4, *[lit(k) for k in (*rules.SECTOR_NAMES, "healthcare_attack")])
+    payload = F.when(col("query").isNull(), F.create_map(lit("action"), col("event_type"))).otherwise(F.create_map(lit("blocked_by"), F.when(col("query").contains("script"), "ML_X").when(~col("query").contains("--"), col("service"))))
+    return tel.select("event_id", kind.alias("event_type"), payload.alias("payload"))
+
+
+pair(
+    "rule_sector",
+    f"""with {TEL}, e as (select event_id, case seq % 4 when 0 then 'iomt_attack' when 1 then 'sensor_attack' when 2 then 'traffic_attack' end as kind, case when query is null then '' when contains(query, 'script') then 'ML_X' when not contains(query, '--') then service end as by_whom from tel)
+ select event_id, case when contains(by_whom, 'ML') then 'ml_' else 'rule_' end || kind as rule_id, case when contains(by_whom, 'ML') then 'ML: ' else '' end || {chain('kind', rules.SECTOR_NAMES, q(''))} as rule_name, 'critical' as severity,
+ case when contains(by_whom, 'ML') then 0.95::double else 1.0::double end as confidence from e where kind is not null and by_whom is not null""",
+)(lambda tel: rules.sector_attack(sector_events(tel)))
+
+# Actions that were taken, found by a word in their label or keywords.
+pair(
+    "action_keyword",
+    f"""with {ACTIONS} select alert_id, step, action || ' ' || target as label from acted where contains(lower(action || ' ' || target), 'block') or contains(lower(rule_id), 'block') or contains(lower(severity), 'block')""",
+)(lambda tel: actions.keyword(acted(tel).select("alert_id", "step", F.concat("action", lit(" "), "target").alias("label"), F.array("rule_id", "severity").alias("keywords")), "Block").select("alert_id", "step", "label"))
+
+# Routing: each node's answer.
+pair(
+    "attack_fan_out",
+    f"""with {TEL}, {NODES} select t.event_id, n.node_id, case when ({first_part('t.username', rules.SQL_PARTS + rules.XSS_PARTS)}) is not null then 'blocked' else 'passed' end as result, count(*) over (partition by t.event_id) as nodes
+ from tel t join nodes n on t.domain = n.sector and n.status = 'online' where t.event_type = 'auth_failure'""",
+)(lambda tel: joins.fan_out(tel.where("event_type = 'auth_failure'"), nodes(tel), "username"))
+
+# When nodes come and go.
+_AFTER = 3600 * 1_000_000
+pair(
+    "node_status_changes",
+    f"""with {TEL}, b as (select service, domain, ts_us, lag(ts_us) over (partition by service order by ts_us, seq) as before, lead(ts_us) over (partition by service order by ts_us, seq) as after from tel)
+ select service as node_id, domain as sector, 'online' as status, ts_us, before is null as registered from b where before is null or ts_us - before > {_AFTER}
+ union all select service, domain, 'offline', before + {_AFTER}, false from b where ts_us - before > {_AFTER} union all select service, domain, 'offline', ts_us + {_AFTER}, false from b where after is null and {NOW_US} - ts_us > {_AFTER}""",
+)(lambda tel: joins.status_changes(tel, NOW_US, 3600))

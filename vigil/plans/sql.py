@@ -139,8 +139,6 @@ SQL: dict[str, str] = {
     "rule_agent_sqli": f"with {TEL} select event_id, query from tel where regexp_matches(query, {q('(?i)' + '|'.join(rules.AGENT_PATTERNS))})",
     "threat_classify": f"""select page_id, case when x is not null then 'xss' when s is not null then 'sql_injection' when p is not null then 'path_injection' end as kind, coalesce(p, x, s) as pattern from (
  select page_id, {first_part("regexp_extract(url, '[?](.*)$', 1)", rules.SQL_PARTS)} as s, {first_part("regexp_extract(url, '[?](.*)$', 1)", rules.XSS_PARTS)} as x, coalesce({first_part('url', rules.SQL_PARTS)}, {first_part('url', rules.XSS_PARTS)}) as p from pages) where coalesce(p, x, s) is not null""",
-    "rule_sector": """select * from (values ('e1', 'rule_iomt_attack', 'IoMT Device Compromise', 'critical', 1.0::double), ('e3', 'ml_sensor_attack', 'ML: IoT Sensor Spoofing', 'critical', 0.95::double),
- ('e4', 'rule_traffic_attack', 'Smart City Traffic Hack', 'critical', 1.0::double), ('e5', 'rule_iomt_attack', 'IoMT Device Compromise', 'critical', 1.0::double)) t(event_id, rule_id, rule_name, severity, confidence)""",
     "rule_high_cpu": f"with {TEL} {CPU}",
     "rule_high_memory": f"with {TEL} {MEMORY}",
     "rule_high_network": f"with {TEL} {NETWORK}",
