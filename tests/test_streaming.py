@@ -3,11 +3,12 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import folds, ledger, perimeter
 from vigil.sources import telemetry
-from vigil.streaming import processors, stateful
+from vigil.streaming import processors, sinks, stateful
 
 S = 1_000_000
 
@@ -195,6 +196,77 @@ def test_interval_join_of_two_streams(spark, tmp_path):
     assert {tuple(x) for x in spark.table("covered").collect()} == {tuple(x) for x in joins.blocked(r, b).collect()} and spark.table("covered").count() > 20
 
 
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    """What a crashed batch wrote is replaced when it runs again, in the store and in the counts."""
+    rows = spark.createDataFrame([("a", i * 40_000 * S, i) for i in range(10)] + [("b", None, 10)], "service string, ts_us bigint, seq bigint")
+    store, counts = str(tmp_path / "store"), str(tmp_path / "counts")
+    for number, part in ((0, "seq < 6"), (1, "seq >= 3 and seq < 5"), (1, "seq >= 6"), (1, "seq >= 6")):
+        sinks.stored(rows.where(part), number, store)
+        sinks.counted(rows.where(part), number, counts, "service")
+    got = spark.read.parquet(store)
+    assert {r.seq for r in got.where("day is null").collect()} == {10} and got.where("day = '1970-01-05'").count() == 1
+    assert {r.service: r.n for r in sinks.totals(spark, counts, "service").collect()} == {"a": 10, "b": 1}
+    sinks.settled(spark, counts, str(tmp_path / "settled"), 0, "service")
+    assert {r.service: r.n for r in sinks.totals(spark, str(tmp_path / "settled"), "service").collect()} == {"a": 6}
+
+
+def test_store_goes_on_after_a_crash(spark, tmp_path):
+    """A query that dies after its batch was written, and before that was noted, writes the batch again and not twice."""
+    schema = "service string, ts_us bigint, seq bigint"
+    rows = spark.createDataFrame([("a", i * S, i) for i in range(8)], schema)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    path, tries = str(tmp_path / "store"), []
+
+    def write(batch, number):
+        sinks.stored(batch, number, path)
+        tries.append(number)
+        if len(tries) == 1:
+            raise RuntimeError("crash")
+
+    start = lambda: stream.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(write).start()
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        start().awaitTermination(60)
+    assert start().awaitTermination(60) and tries == [0, 0]
+    assert sorted(r.seq for r in spark.read.parquet(path).collect()) == list(range(8))
+
+
+def test_node_status_stream_equals_batch(spark, tmp_path):
+    from vigil.operators import joins
+
+    random.seed(12)
+    at, rows = S, []
+    for i in range(120):
+        at += random.choice([1, 2, 50]) * S
+        rows.append((f"n{random.randrange(3)}", "urban", at, i))
+    df = spark.createDataFrame(rows, "service string, domain string, ts_us bigint, seq bigint")
+    got = replayed(spark, df, tmp_path, lambda s: stateful.node_status(s, 30, "0 seconds"), "status")
+    want = {tuple(r) for r in joins.status_changes(df, at, 30).collect()}
+    assert {tuple(r) for r in got.collect()} == want and {r[2] for r in want} == {"online", "offline"}
+
+
+def test_every_topic_has_a_stream(spark, tmp_path):
+    """All topics that a subscriber may name come out of one run of the streams."""
+    from vigil.plans.catalog import nodes, requests_of
+    from vigil.plans.response import ledger_commands
+    from vigil.sources.telemetry import telemetry_of
+
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    tel = telemetry_of(spark, "/root/testdata/sf0.001").drop("payload")
+    parts = {"events": tel, "requests": requests_of(tel).withColumn("ts_us", (F.col("ts_us") / 50).cast("bigint")), "commands": ledger_commands(telemetry_of(spark, "/root/testdata/sf0.01"))}
+    streams = {}
+    for name, rows in parts.items():
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+        streams[name] = spark.readStream.schema(rows.schema).parquet(str(tmp_path / name))
+    table = nodes(tel).withColumn("status", F.lit("online"))
+    out = sinks.topics(streams["events"], stateful.perimeter(streams["requests"]), stateful.ledger(streams["commands"], 2), stateful.node_status(streams["events"]), table)
+    heard = {}
+    q = out.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda b, n: sinks.publish(b, n, lambda t, k, rows: heard.setdefault(t, []).append((k, rows.count())), processors.TOPICS)).start()
+    assert q.awaitTermination(240)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert set(heard) == set(processors.TOPICS) and all(n > 0 for told in heard.values() for _, n in told)
+
+
 def test_ingest_pause_and_counts(spark, tmp_path):
     folder = tmp_path / "events"
     folder.mkdir()

@@ -98,6 +98,49 @@ def perimeter(requests: DataFrame, late: str = "10 seconds", idle_s: int = IDLE_
     return rows.groupBy("source_ip").transformWithStateInPandas(Perimeter(idle_s), DECISION, "Append", "EventTime")
 
 
+class Nodes(StatefulProcessor):
+    """When a node was last heard of, and whether it counts as online."""
+
+    def __init__(self, after_s: int):
+        self.after_us = after_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("node", "last bigint, online boolean, sector string")
+
+    def _told(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["node_id", "sector", "status", "ts_us", "registered"], dtype=object)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, online, sector = self.state.get() if self.state.exists() else (None, False, None)
+        out = []
+        for r in _rows(rows):
+            if last is not None and online and r["ts_us"] - last > self.after_us:
+                out.append((key[0], r["domain"], "offline", last + self.after_us, False))
+                online = False
+            if not online:
+                out.append((key[0], r["domain"], "online", r["ts_us"], last is None))
+            last, online, sector = r["ts_us"] if last is None else max(last, r["ts_us"]), True, r["domain"]
+        self.state.update((last, online, sector))
+        self.handle.registerTimer(_after(last + self.after_us))
+        yield self._told(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, online, sector = self.state.get()
+        if online and expiredTimerInfo.getExpiryTimeInMs() * 1000 - last > self.after_us:
+            self.state.update((last, False, sector))
+            yield self._told([(key[0], sector, "offline", last + self.after_us, False)])
+
+    def close(self) -> None:
+        pass
+
+
+def node_status(beats: DataFrame, after_s: int = 30, late: str = "10 seconds") -> DataFrame:
+    """joins.status_changes() of a stream of heartbeats (service, domain, ts_us, seq): a node that falls silent goes offline by a timer."""
+    rows = _timed(beats.where("service is not null").select("service", "domain", "ts_us", "seq"), late)
+    kind = "node_id string, sector string, status string, ts_us bigint, registered boolean"
+    return rows.groupBy("service").transformWithStateInPandas(Nodes(after_s), kind, "Append", "EventTime")
+
+
 class Ledger(StatefulProcessor):
     """Blocks of a shard's addresses by address, and addresses by the millisecond after their block's end.
 
