@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vigil.functions.compat import fixed_point, half_up, ignore_case, ipv4, title_case
+from vigil.functions.compat import first_match, fixed_point, half_up, ignore_case, ipv4, title_case
 from vigil.operators import actions, alerts, dashboard, folds, joins, normalize, perimeter, rules, windows
 
 TEL = "event_id string, source_ip string, domain string, service string, event_type string, cpu double, memory double, network double, requests bigint, query string, success boolean, ts_us bigint, seq bigint"
@@ -151,6 +151,17 @@ def test_small_functions(spark):
     assert (row.ago, row.rate, row["mask"], row.label, row.left, row.badge) == ("2h ago", "1.3k/min", "***", "SQL INJECTION", -1, "agriculture")
 
 
+def test_patterns_are_tried_only_where_they_can_match(spark):
+    """Texts made of pieces of the patterns: the same first pattern with the parts that each needs and without."""
+    rng = random.Random(7)
+    bits = ["'", "--", "%27", "%23", "#", "%3D", "=", ";", "%3B", "o", "R", "%6F", "%72", "union", "UNION", "\u017felect", "SELECT", " ", "\n", "+", "exec", "xp", "sp_a", "FROM", "insert", "into", "DELETE", "drop", "DROP", "table", "update", "a", "SET", "1=1", "1", "or", "OR", "\u212aelvin", "create", "TABLE", "w", "9"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 7))) for _ in range(6000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string")
+    t = F.col("t")
+    said = df.select("t", first_match(t, rules.SQL_PATTERNS).alias("a"), first_match(t, rules.SQL_PATTERNS, rules.SQL_NEEDS).alias("b"), t.rlike(ignore_case("|".join(rules.AGENT_PATTERNS))).alias("c"), rules.agent_sql(t).alias("d")).collect()
+    assert [r for r in said if r.a != r.b or r.c != r.d] == [] and len({r.a for r in said}) > 10
+
+
 def test_threat_order(spark):
     df = spark.createDataFrame([("a=<script>1=1", "/x"), ("1=1", "/x"), ("", "/drop table"), ("1=1", "/eval("), (None, "/")], "q string, p string")
     kind, pattern = rules.threat_class(F.col("q"), F.col("p"))

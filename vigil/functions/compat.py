@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,26 @@ def ignore_case(pattern: str) -> str:
     return f"(?iudU){pattern}"
 
 
-def first_match(c: Column, patterns: tuple[str, ...]) -> Column:
-    """Index of the first pattern found, null if none is."""
-    return F.coalesce(*[F.when(c.rlike(ignore_case(p)), F.lit(i)) for i, p in enumerate(patterns)])
+def folded(c: Column) -> Column:
+    """The text in lower case, with the two signs that equal an ASCII letter in another case."""
+    return F.translate(F.lower(c), "\u017f\u212a", "sk")
+
+
+def first_match(c: Column, patterns: tuple[str, ...], needs: tuple[tuple[str, ...], ...] = ()) -> Column:
+    """Index of the first pattern found, null if none is.
+
+    needs: for each pattern, parts of which a text that it matches holds one, in any
+    case. A pattern is tried only on texts that hold one of its parts; the text is
+    folded once.
+    """
+    if not needs:
+        return F.coalesce(*[F.when(c.rlike(ignore_case(p)), F.lit(i)) for i, p in enumerate(patterns)])
+
+    def tried(low: Column) -> Column:
+        held = [reduce(Column.__or__, [low.contains(x) for x in some]) for some in needs]
+        return F.coalesce(*[F.when(h & c.rlike(ignore_case(p)), F.lit(i)) for i, (p, h) in enumerate(zip(patterns, held, strict=True))])
+
+    return F.get(F.transform(F.array(folded(c)), tried), F.lit(0))
 
 
 def first_part(c: Column, parts: tuple[str, ...]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.functions.compat import first_match, first_part, ignore_case, truthy
+from vigil.functions.compat import first_match, first_part, folded, ignore_case, truthy
 
 from .windows import trailing
 
@@ -33,6 +34,8 @@ SQL_PATTERNS = (
     r"OR\s+1=1",
     r";\s*DROP",
 )
+#: For each pattern, parts of which every text that it matches holds one.
+SQL_NEEDS = (("%27", "'", "--", "%23", "#"), ("%3d", "="), ("%27", "'"), ("%27", "'"), ("exec",), ("union",), ("select",), ("insert",), ("delete",), ("drop",), ("update",), ("--",), ("1=1",), ("=",), ("1=1",), (";",))
 AGENT_PATTERNS = (
     r"(\b(union|select|insert|update|delete|drop|alter|create|truncate)\b.*\b(from|into|table|database)\b)",
     r"(\bor\b\s+\d+\s*=\s*\d+)",
@@ -75,7 +78,7 @@ def payload_of(tel: DataFrame) -> Column:
 
 def matches(payload: Column) -> Column:
     """array<struct<field,pattern,value>>: each field of a map of texts with its first matching pattern, by field name."""
-    one = lambda e: F.struct(e["key"].alias("field"), first_match(e["value"], SQL_PATTERNS).alias("pattern"), F.left(e["value"], F.lit(100)).alias("value"))
+    one = lambda e: F.struct(e["key"].alias("field"), first_match(e["value"], SQL_PATTERNS, SQL_NEEDS).alias("pattern"), F.left(e["value"], F.lit(100)).alias("value"))
     return F.array_sort(F.filter(F.transform(F.map_entries(payload), one), lambda m: m["pattern"].isNotNull()))
 
 
@@ -295,8 +298,14 @@ def threat_class(query: Column, path: Column) -> tuple[Column, Column]:
     return kind, F.coalesce(in_path, xss_q, sql_q)
 
 
+#: Parts of which every text that an agent's pattern matches holds one.
+AGENT_NEEDS = ("union", "select", "insert", "update", "delete", "drop", "alter", "create", "truncate", "or", "--")
+
+
 def agent_sql(text: Column) -> Column:
-    return text.rlike(ignore_case("|".join(AGENT_PATTERNS)))
+    """Whether a pattern of the agents is found; texts without a part of one are not searched."""
+    held = lambda low: reduce(Column.__or__, [low.contains(x) for x in AGENT_NEEDS])
+    return F.get(F.transform(F.array(folded(text)), lambda low: held(low) & text.rlike(ignore_case("|".join(AGENT_PATTERNS)))), F.lit(0))
 
 
 def dashboard_hits(tel: DataFrame) -> DataFrame:
