@@ -196,6 +196,23 @@ def test_pieces_of_many_characters(distinct, size):
     assert ids.tolist() == lib.encode(text) and ends.tolist() == [0, len(ids)]
 
 
+def test_pieces_of_a_long_unit_without_spaces():
+    """200,000 characters without a space are cut where no piece holds two neighbours, and give the library's pieces."""
+    import time
+
+    import sentencepiece
+
+    enc, lib = pieces.Encoder(pieces.load(pieces.default_path())), sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    rng = random.Random(4)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200_000))
+    began = time.time()
+    ids, ends = enc.encode([text])
+    assert time.time() - began < 5 and ids.tolist() == lib.encode(text) and ends.tolist() == [0, len(ids)]
+    for _ in range(400):
+        text = "".join(rng.choice(["中文", "文", "字", "a", "the", " ", "  ", "é", "\U0001f600", "\n", "ing"]) for _ in range(rng.randint(0, 12)))
+        assert enc.encode([text])[0].tolist() == lib.encode(text)
+
+
 def test_pieces_round_trip(docs):
     rows = pieces.tokenize(docs.select("doc_id", "text"))
     assert rows.where("not exact").count() == 0

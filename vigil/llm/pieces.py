@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-The units of a batch's texts (a run of spaces and the word after it) are joined,
-each distinct one once, and their suffixes sorted. Every piece is searched by
+The units of a batch's texts (a run of spaces and the word after it, cut where no
+piece holds the two neighbours) are joined, each distinct one once, and their
+suffixes sorted. Every piece is searched by
 bisection in that order; its range lists all places where it occurs. These edges, sorted by where they
 end, are relaxed from left to right. BPE keeps no best score but a last piece for
 each prefix: an edge holds if BPE would leave it and the last piece before it
@@ -28,12 +29,20 @@ MARK = "▁"
 #: Characters of texts handled at once, and of distinct units indexed at once; a longer text or unit comes alone.
 SLICE_CHARS, INDEX_CHARS = 1 << 19, 1 << 17
 _SLOTS = 1 << 20
+#: Places of a table of neighbours that some piece holds; two pairs of a place count as held.
+_PAIRS = 1 << 22
 #: Stands for a NUL in a text; 0 parts units.
 _NUL = 0x110000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of two neighbours in the table of _PAIRS."""
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(42)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """pieces and scores by id; kinds: n normal, b byte, o any other."""
@@ -76,6 +85,9 @@ class Encoder:
             self.chars[row, : len(p)] = [ord(c) for c in p]
         assert not any(MARK in p.lstrip(MARK) for p in self.ids), "pieces that cross words are not supported"
         self.lines_part = not any("\n" in p for p in self.ids)
+        inside = self.chars[:, 1:] != 0
+        self.joined = np.zeros(_PAIRS, bool)
+        self.joined[_pair(self.chars[:, :-1][inside], self.chars[:, 1:][inside])] = True
         self.alphabet, place = np.unique(self.chars, return_inverse=True)
         self.chars = place.reshape(self.chars.shape)
         self.up = self.down = np.ones(1, np.uint64)
@@ -324,6 +336,9 @@ class Encoder:
         if self.lines_part:
             start[:-1] |= line
             start[1:] |= line
+        # Two neighbours that no piece holds side by side are never merged.
+        marked = np.where(space, np.uint32(ord(MARK)), points)
+        start[1:-1] |= ~self.joined[_pair(marked[:-1], marked[1:])]
         limit = np.concatenate([[0], np.cumsum(sizes)])
         start[limit] = True
         begin = np.flatnonzero(start[:-1])
