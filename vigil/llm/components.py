@@ -6,7 +6,7 @@ path. Nodes and labels stay distributed, each round is checkpointed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.session import checkpointed
@@ -32,6 +32,20 @@ def meet(rows: DataFrame, told: DataFrame, key: str, total: int) -> DataFrame:
     return rows.join(hubs, key).unionByName(others)
 
 
+def hubs(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, shares) of counts (key, n) whose rows are too many for one task; few, as meet() says, so they can go to every task."""
+    hub = max(HUB, 4 * total // HUBS)
+    return counts.where(F.col("n") >= hub).select(key, F.ceil(F.col("n") / hub).cast("bigint").alias("_shares"))
+
+
+def salted(rows: DataFrame, told: DataFrame, key: str, salt: Column, few: DataFrame) -> DataFrame:
+    """rows joined with told (one row a key). The rows of a hub (few: hubs()) are dealt to its shares by salt, and each share gets a copy of what is told."""
+    few = F.broadcast(few)
+    dealt = rows.withColumn("_salt", salt).join(few, key, "left").withColumn("_share", F.coalesce(F.pmod("_salt", "_shares"), F.lit(0).cast("bigint"))).drop("_salt", "_shares")
+    copies = told.join(few, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_shares", F.lit(1).cast("bigint")) - 1))).drop("_shares")
+    return dealt.join(copies, [key, "_share"]).drop("_share")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node with an edge to another: label is the least node it reaches.
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from vigil.session import release, written
 
+from .components import hubs, salted
 from .words import slices
 
 #: Chunk sizes in bytes: least, most; the mean beyond the least is 2 ** MASK_BITS.
@@ -100,13 +101,14 @@ class Media:
     shared folder; bodies are null at places that another pack owns, whole says
     that there are none, lends lists owned places that others borrow. places: (media_sha, place, digest, own, n) of all chunks,
     n the places that hold the digest. dictionary: what bodies are compressed with,
-    trained on a bounded sample; empty if there was too little to train on.
+    trained on a bounded sample; empty if there was too little to train on. rows: of files.
     """
 
     files: DataFrame
     packs: DataFrame
     places: DataFrame
     dictionary: bytes
+    rows: int
 
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[bytes], list[bytes]]]:
@@ -158,15 +160,16 @@ def _cut(with_bodies: bool, shared: bytes = b""):
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Media:
-    """The media of every text as UTF-8, padded; a null text is empty. Rows repeat in files as they come; equal texts are one pack."""
+    """The media of every text as UTF-8, padded; a null text is empty, null and repeated keys stay. Rows repeat in files as they come; equal texts are one pack; an empty table has no files and packs."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
+    kind, total = rows.schema["key"].dataType.simpleString(), rows.count()
     texts, out = rows.select("text"), "media_sha binary, digests array<binary>, bodies array<binary>"
     lists = texts.mapInArrow(_cut(False), out).groupBy("media_sha").agg(F.first("digests").alias("digests"))
     places = lists.select("media_sha", F.posexplode("digests").alias("place", "digest"))
     owners = places.groupBy("digest").agg(F.min(F.struct("media_sha", "place")).alias("owner"), F.count(F.lit(1)).alias("n"))
     own = F.struct("media_sha", "place") == F.col("owner")
-    marked = written(places.join(owners, "digest").select("media_sha", "place", "digest", own.alias("own"), "n"), "places")
+    met = salted(places, owners, "digest", F.xxhash64("media_sha", "place"), hubs(owners, "digest", total))
+    marked = written(met.select("media_sha", "place", "digest", own.alias("own"), "n"), "places")
     owned = marked.where("own").groupBy("media_sha").agg(F.collect_list("place").alias("owned"), F.collect_list(F.when(F.col("n") > 1, F.struct("place", "n"))).alias("lends"))
     shared = dictionary(texts)
     files = texts.mapInArrow(_cut(True, shared), out).groupBy("media_sha").agg(F.first(F.struct("digests", "bodies")).alias("p"))
@@ -174,7 +177,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Media:
     whole = F.size(F.coalesce("owned", F.array().cast("array<int>"))) == F.size("p.digests")
     packs = written(files.join(owned, "media_sha", "left").select("media_sha", F.col("p.digests").alias("digests"), held.alias("bodies"), whole.alias("whole"), F.coalesce("lends", F.array().cast("array<struct<place:int,n:bigint>>")).alias("lends")), "packs")
     release(docs.sparkSession)
-    return Media(rows.mapInArrow(_files, f"key {kind}, n_bytes bigint, media_sha binary"), packs, marked, shared)
+    return Media(rows.mapInArrow(_files, f"key {kind}, n_bytes bigint, media_sha binary"), packs, marked, shared, total)
 
 
 def store(media: Media) -> DataFrame:
@@ -227,7 +230,10 @@ def describe(media: Media) -> DataFrame:
     read = decode(media).mapInArrow(
         _read(media.dictionary), "media_sha binary, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, feature string"
     )
-    return media.files.join(read, "media_sha").select(
+    # A text that very many rows hold meets them in shares.
+    counts = media.files.groupBy("media_sha").agg(F.count(F.lit(1)).alias("n"))
+    met = salted(media.files, read, "media_sha", F.monotonically_increasing_id(), hubs(counts, "media_sha", media.rows))
+    return met.select(
         "key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha")).alias("media_sha256"), "feature"
     )
 
