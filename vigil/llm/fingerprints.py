@@ -110,7 +110,7 @@ def edited(docs: DataFrame) -> DataFrame:
     The last floor(n/3) code points are replaced by the first as many of the next
     document. Null texts are empty; a null doc_id is the lowest of all. Of rows
     that share a doc_id, the next document is the one with the least start, then
-    the least sketch. Both joins take texts dealt by doc_id, so Spark deals them once.
+    the least sketch. Both joins take texts dealt by doc_id, so Spark deals them once. An empty table gives no rows.
     """
     lowest = -(1 << 63)
     key = F.coalesce("doc_id", F.lit(lowest).cast("bigint")).alias("key")

@@ -87,7 +87,8 @@ def line_dedup(
     """All rows and columns of docs with boilerplate lines cut from the text, plus n_lines and n_dropped.
 
     A null text stays null with 0 lines; an empty text has one line. A null host
-    is a host of its own. Rows repeat as they come. If the boilerplate lines
+    is a host of its own. Rows repeat as they come; an empty table gives no rows;
+    columns of any name stay, beside n_lines and n_dropped. If the boilerplate lines
     number at most broadcast_rows, they go to every task as one list for each
     host; beyond that, lines meet them in a shuffled semi-join and come back to
     their rows by key, host and a 64-bit hash of the text, each of which may be null.

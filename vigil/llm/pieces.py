@@ -410,6 +410,7 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     ids: array<int>. exact: decoding ids gives the text again, which only a literal
     U+2581 prevents. A null text is encoded as empty, with no ids, and is exact.
+    Repeated rows stay, with equal ids; an empty table gives no rows.
     The driver reads the model; its pieces, of fixed size, go to all tasks.
     """
     names = ("ids", "n_tokens", "exact")

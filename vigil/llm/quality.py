@@ -131,7 +131,8 @@ def rate(docs: DataFrame, voters: Voters) -> DataFrame:
 
     score is the likelihood of quality, 0 to 1. A null, empty or blank text scores
     the share of label 1 in the sample, and so does every text without a sample
-    (0.5). Equal texts score alike.
+    (0.5). Equal texts score alike, repeated rows and null ids stay, and an empty table
+    gives no rows.
     """
     kept = [f for f in docs.schema.fields if f.name.lower() != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(voters)
