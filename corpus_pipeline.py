@@ -30,7 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source are cut; n_chars counts what is left. Every document stays."""
+    """Boilerplate lines of a source are cut; n_chars counts what is left. Every document stays.
+
+    Null texts stay null and null sources are one source; repeated rows are cut alike.
+    """
     cut = lines.line_dedup(_shaped(docs))
     return _shaped(cut.withColumn("n_chars", F.length("text").cast("long")))
 
@@ -41,12 +44,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Repeated rows and rows without an id each have a draw of their own; null and
+    empty texts are drawn like others; an empty table stays empty.
+    """
     return _shaped(mixing.mix(_shaped(docs)))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ids, n_tokens and exact."""
+    """Documents with ids, n_tokens and exact; a null text has no ids, equal texts have equal ones."""
     return pieces.tokenize(_shaped(docs))
 
 
