@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ def running(df: DataFrame, by: str, order: tuple[str, ...], **made: tuple[str, C
     runs = dealt.groupBy(by, "_part").agg(*[how[f](f"_{n}").alias(f"_all_{n}") for n, (f, _, _) in made.items()])
     before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = runs.select(F.col(by).alias("_by"), F.col("_part").alias("_at"), *[how[f](f"_all_{n}").over(before).alias(f"_from_{n}") for n, (f, _, _) in made.items()])
+    # Only the first key of a partition goes on from the one before it, so this is one row a partition at most.
+    carried = F.broadcast(carried.where(reduce(Column.__or__, [F.col(f"_from_{n}").isNotNull() for n in made])))
     own = Window.partitionBy(by, "_part").orderBy(*order).rowsBetween
     rows = dealt.withColumns({f"_own_{n}": how[f](f"_{n}").over(own(Window.unboundedPreceding, 0 if itself else -1)) for n, (f, _, itself) in made.items()})
     rows = rows.join(carried, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_at")), "left")
