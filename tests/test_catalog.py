@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from vigil.plans import catalog, console, learning, response, sql  # noqa: F401
+from vigil.plans import catalog, console, feeds, learning, response, sql  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")

@@ -77,9 +77,9 @@ def payload_of(tel: DataFrame) -> Column:
 
 
 def matches(payload: Column) -> Column:
-    """array<struct<field,pattern,value>>: each field of a map of texts with its first matching pattern, by field name."""
+    """array<struct<field,pattern,value>>: each field of a map of texts with its first matching pattern, in the order of the map."""
     one = lambda e: F.struct(e["key"].alias("field"), first_match(e["value"], SQL_PATTERNS, SQL_NEEDS).alias("pattern"), F.left(e["value"], F.lit(100)).alias("value"))
-    return F.array_sort(F.filter(F.transform(F.map_entries(payload), one), lambda m: m["pattern"].isNotNull()))
+    return F.filter(F.transform(F.map_entries(payload), one), lambda m: m["pattern"].isNotNull())
 
 
 def matched_fields(tel: DataFrame) -> DataFrame:

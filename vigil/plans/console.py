@@ -97,7 +97,7 @@ pair("told_actions", f"with {ACTIONS} select alert_id, step from acted where not
     lambda tel: actions.told_actions(actions.actions(daily_alerts(tel)).withColumn("message", F.when(col("seq") % 2 == 0, "a Telemetry Alert").otherwise("done"))).select("alert_id", "step")
 )
 pair("sqli_payload_map", f"""with {TEL}, f as (select event_id, 'agent' as field, case when seq % 6 = 0 then 'x; DROP table y' else 'plain' end as text from tel union all select event_id, 'note', case when seq % 4 = 0 then 'a%27 or b' end from tel union all select event_id, 'query', query from tel)
- select event_id, string_agg(field || ':' || p, ',' order by field) as found from (select *, {first_index('text', rules.SQL_PATTERNS)} as p from f) where p is not null group by event_id""")(
+ select event_id, string_agg(field || ':' || p, ',' order by list_position(['query', 'agent', 'note'], field)) as found from (select *, {first_index('text', rules.SQL_PATTERNS)} as p from f) where p is not null group by event_id""")(
     lambda tel: tel.withColumn("m", F.create_map(lit("query"), col("query"), lit("agent"), F.when(col("seq") % 6 == 0, "x; DROP table y").otherwise("plain"), lit("note"), F.when(col("seq") % 4 == 0, "a%27 or b")))
     .select("event_id", F.array_join(F.transform(rules.matches(col("m")), lambda x: F.concat_ws(":", x["field"], x["pattern"])), ",").alias("found"))
     .where("found != ''")

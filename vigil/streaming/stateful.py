@@ -21,7 +21,7 @@ from vigil.operators.perimeter import DECISION, REQUEST, Address, expired, handl
 
 #: An address without requests for so long is forgotten, unless a block holds it.
 IDLE_S = 24 * 3600
-ADDRESS = "protected boolean, expires bigint, severity string, reason string, blocks int, score bigint, limit int, throttled boolean, minute array<bigint>, ten array<bigint>, baseline double, failed array<bigint>, users array<string>, last_failed bigint, seen bigint"
+ADDRESS = "protected boolean, expires bigint, severity string, reason string, blocks int, score bigint, limit int, throttled boolean, minute array<bigint>, ten array<bigint>, baseline double, failed array<bigint>, users array<string>, last_failed bigint, seen bigint, wake bigint, due bigint"
 FIELDS = tuple(c.split()[0] for c in ADDRESS.split(", "))
 ENTRY = "expires bigint, since bigint, reason string, severity string, blocks int, limit int"
 
@@ -46,7 +46,10 @@ def _after(us: int) -> int:
 
 
 class Perimeter(StatefulProcessor):
-    """State of one address, see perimeter.Address."""
+    """State of one address, see perimeter.Address, and the times of its two timers: wake for idleness, due for a block's end.
+
+    A timer that fires too early, as requests came or the block was extended, is set anew, so an address has two at most.
+    """
 
     def __init__(self, idle_s: int):
         self.idle_us, self.names = idle_s * 1_000_000, [f.name for f in DECISION.fields]
@@ -54,37 +57,42 @@ class Perimeter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("address", ADDRESS)
 
-    def _load(self) -> tuple[Address, int]:
+    def _load(self) -> tuple[Address, dict[str, int | None]]:
         if not self.state.exists():
-            return Address(), 0
+            return Address(), {"seen": 0, "wake": None, "due": None}
         kept = dict(zip(FIELDS, self.state.get(), strict=True))
-        seen = kept.pop("seen")
-        return Address(**{k: list(v) if k in ("minute", "ten", "failed", "users") else v for k, v in kept.items()}), seen
+        times = {k: kept.pop(k) for k in ("seen", "wake", "due")}
+        return Address(**{k: list(v) if k in ("minute", "ten", "failed", "users") else v for k, v in kept.items()}), times
 
-    def _save(self, a: Address, seen: int) -> None:
-        self.state.update(tuple(seen if f == "seen" else getattr(a, f) for f in FIELDS))
+    def _save(self, a: Address, times: dict[str, int | None]) -> None:
+        """Keeps the state and sets the timers that are not set."""
+        for name, at in (("wake", _after(times["seen"] + self.idle_us)), ("due", _after(a.expires) if a.expires else None)):
+            if times[name] is None and at is not None:
+                times[name] = at
+                self.handle.registerTimer(at)
+        self.state.update(tuple(times[f] if f in times else getattr(a, f) for f in FIELDS))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        a, seen = self._load()
-        before, out = a.expires, []
+        a, times = self._load()
+        out = []
         for r in _rows(rows):
             out += expired(a, r["source_ip"], r["ts_us"])
             out.append(handle(a, r))
-            seen = max(seen, r["ts_us"])
-        self._save(a, seen)
-        if a.expires and a.expires != before:
-            self.handle.registerTimer(_after(a.expires))
-        self.handle.registerTimer(_after(seen + self.idle_us))
+            times["seen"] = max(times["seen"], r["ts_us"])
+        self._save(a, times)
         yield _frame(out, self.names)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        a, seen = self._load()
-        out = expired(a, key[0], now)
-        if a.expires is None and seen + self.idle_us < now:
+        if not self.state.exists():
+            return
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        a, times = self._load()
+        out = expired(a, key[0], at * 1000)
+        times |= {k: None for k in ("wake", "due") if times[k] is not None and times[k] <= at}
+        if a.expires is None and times["seen"] + self.idle_us < at * 1000:
             self.state.clear()
-        elif out:
-            self._save(a, seen)
+        else:
+            self._save(a, times)
         if out:
             yield _frame(out, self.names)
 
@@ -99,19 +107,25 @@ def perimeter(requests: DataFrame, late: str = "10 seconds", idle_s: int = IDLE_
 
 
 class Nodes(StatefulProcessor):
-    """When a node was last heard of, and whether it counts as online."""
+    """When a node was last heard of, whether it counts as online, and the time of its one timer."""
 
     def __init__(self, after_s: int):
         self.after_us = after_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("node", "last bigint, online boolean, sector string")
+        self.handle, self.state = handle, handle.getValueState("node", "last bigint, online boolean, sector string, wake bigint")
 
     def _told(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["node_id", "sector", "status", "ts_us", "registered"], dtype=object)
 
+    def _save(self, last: int, online: bool, sector: str | None, wake: int | None) -> None:
+        if wake is None and online:
+            wake = _after(last + self.after_us)
+            self.handle.registerTimer(wake)
+        self.state.update((last, online, sector, wake))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, online, sector = self.state.get() if self.state.exists() else (None, False, None)
+        last, online, sector, wake = self.state.get() if self.state.exists() else (None, False, None, None)
         out = []
         for r in _rows(rows):
             if last is not None and online and r["ts_us"] - last > self.after_us:
@@ -120,14 +134,14 @@ class Nodes(StatefulProcessor):
             if not online:
                 out.append((key[0], r["domain"], "online", r["ts_us"], last is None))
             last, online, sector = r["ts_us"] if last is None else max(last, r["ts_us"]), True, r["domain"]
-        self.state.update((last, online, sector))
-        self.handle.registerTimer(_after(last + self.after_us))
+        self._save(last, online, sector, wake)
         yield self._told(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, online, sector = self.state.get()
-        if online and expiredTimerInfo.getExpiryTimeInMs() * 1000 - last > self.after_us:
-            self.state.update((last, False, sector))
+        last, online, sector, _ = self.state.get()
+        gone = online and expiredTimerInfo.getExpiryTimeInMs() * 1000 - last > self.after_us
+        self._save(last, online and not gone, sector, None)
+        if gone:
             yield self._told([(key[0], sector, "offline", last + self.after_us, False)])
 
     def close(self) -> None:
