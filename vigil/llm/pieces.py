@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-The units of a batch's texts (a run of spaces and the word after it, cut where no
-piece holds the two neighbours) are joined, each distinct one once, and their
+The units of a batch's texts (a run of spaces and the word after it; long ones are
+cut where no piece holds the two neighbours) are joined, each distinct one once, and their
 suffixes sorted. Every piece is searched by
 bisection in that order; its range lists all places where it occurs. These edges, sorted by where they
 end, are relaxed from left to right. BPE keeps no best score but a last piece for
@@ -29,6 +29,8 @@ MARK = "▁"
 #: Characters of texts handled at once, and of distinct units indexed at once; a longer text or unit comes alone.
 SLICE_CHARS, INDEX_CHARS = 1 << 19, 1 << 17
 _SLOTS = 1 << 20
+#: Units of more characters are cut where they can be; it makes no difference to the pieces.
+LONG = 32
 #: Places of a table of neighbours that some piece holds; two pairs of a place count as held.
 _PAIRS = 1 << 22
 #: Stands for a NUL in a text; 0 parts units.
@@ -336,13 +338,18 @@ class Encoder:
         if self.lines_part:
             start[:-1] |= line
             start[1:] |= line
-        # Two neighbours that no piece holds side by side are never merged.
-        marked = np.where(space, np.uint32(ord(MARK)), points)
-        start[1:-1] |= ~self.joined[_pair(marked[:-1], marked[1:])]
         limit = np.concatenate([[0], np.cumsum(sizes)])
         start[limit] = True
         begin = np.flatnonzero(start[:-1])
         count = np.diff(np.append(begin, len(points)))
+        if (count > LONG).any():
+            # Two neighbours that no piece holds side by side are never merged.
+            inside = np.flatnonzero(np.repeat(count > LONG, count))
+            inside = inside[~start[inside]]
+            left, right = (np.where(space[at], np.uint32(ord(MARK)), points[at]) for at in (inside - 1, inside))
+            start[inside] = ~self.joined[_pair(left, right)]
+            begin = np.flatnonzero(start[:-1])
+            count = np.diff(np.append(begin, len(points)))
         which, first = self.distinct(points, begin, count)
         ids, many = [], []
         for part in _portions(count[first]):
