@@ -213,6 +213,30 @@ def test_ngrams_take_linear_time(spark):
     assert {r.gram: (r.n, r.docs) for r in features.gram_totals(long, "text").collect()}["abcd"] == (100_000, 1)
 
 
+@pytest.mark.parametrize("table", [1 << 22, 200, 1])
+def test_ngrams_of_few_keys_are_counted_without_a_sort(monkeypatch, table):
+    import numpy as np
+
+    from vigil.operators import features
+
+    monkeypatch.setattr(features, "TABLE", table, raising=False)
+    if table > 200:
+        monkeypatch.setattr(np, "argsort", lambda *a, **k: pytest.fail("sorted"))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab\u00e9\u6f22\U0001f600") for _ in range(n)) for n in (0, 1, 2, 3, 4, 5, 40, 40, 300)]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    got = {r["gram"]: (r["n"], r["docs"]) for b in features._counted(points, np.repeat(np.arange(len(texts)), [*map(len, texts)]), 2, 4) for r in b.to_pylist()}
+    want = {}
+    for t in texts:
+        own = [t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)]
+        for g in own:
+            n, docs = want.get(g, (0, 0))
+            want[g] = (n + 1, docs)
+        for g in set(own):
+            want[g] = (want[g][0], want[g][1] + 1)
+    assert got == want
+
+
 def test_a_rule_that_fails_leaves_the_others(spark):
     failed = {}
     rows = tel(spark, {"cpu": 90.0})
