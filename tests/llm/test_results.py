@@ -279,6 +279,32 @@ def test_maxent_keeps_word_histories_apart(spark):
     assert len(rows) == 200 and gain > 0.45, gain
 
 
+def test_maxent_shares_are_told_by_all_blocks(spark, monkeypatch):
+    """Every training token speaks for a share: tokens told in all blocks are those of all training documents."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices(["a", "b", "cd", "efg", "hi"], k=60))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(12)
+    kept, plain = [], maxent.written
+    monkeypatch.setattr(maxent, "written", lambda df, name: kept.append((name, plain(df, name))) or kept[-1][1])
+    rows = {r.doc_id: r for r in maxent.score(df, block_bytes=1_000).collect()}
+    table = dict(kept)["kept"].select("held_out", "n_tokens", "evidence", "alone").collect()
+    told = [r for r in table if r.evidence]
+    assert len(told) > 8 and sum(len(r.held_out) for r in table) == len(docs) == len(rows)
+    assert all(any(r.evidence) for r in told if not all(r.held_out))
+
+
+def test_maxent_evidence_by_ratio():
+    """Counting tokens by ratio gives the shares that the log probabilities of all tokens give."""
+    rng = np.random.default_rng(3)
+    p = rng.uniform(1e-6, 0.3, 20_000)
+    rates = [(np.where(rng.random(len(p)) < 0.4, rng.uniform(0, 1, len(p)), 0), rng.integers(0, 9, len(p))) for _ in range(2)]
+    got, q = maxent.evidence(p, rates), p
+    for found, (rate, size) in zip(got, rates):
+        want = np.stack([np.bincount(size, np.log(q + x * (rate - q)) - np.log(q), maxent.SIZES) for x in maxent.SHARES], axis=1)
+        assert np.abs(found - want).max() < 0.01 * np.abs(want).max() and (maxent._best(found) == maxent._best(want)).all()
+        q = q + maxent.SHARES[maxent._best(want)][size] * (rate - q)
+
+
 def test_words():
     odd = ["", " a  b\x0bc\n", "Ab é x", "one"]
     w = Words([t.encode() for t in odd])
