@@ -252,3 +252,31 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     assert model.stages[-1].getLayers() == [2, 128, 64, 2] if hasattr(model.stages[-1], "getLayers") else True
     models.save(model, str(tmp_path / "m"))
     assert models.load(str(tmp_path / "m")).transform(rows).count() == 40
+
+
+def test_network_passes_over_distinct_rows_and_learns_as_sparks_own(spark):
+    """Gradients are those of differences, repeated rows are one with a number, and the loss is no worse than that of Spark's learner."""
+    import numpy as np
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from vigil.operators import models
+
+    rng = np.random.default_rng(2)
+    x, label, n = rng.normal(size=(9, 2)), rng.integers(0, 2, 9), rng.integers(1, 4, 9).astype(float)
+    layers = [2, 3, 4, 2]
+    w = rng.normal(size=9 + 16 + 10)
+    got = models.network_loss(w, layers, x, label, n)
+    assert got == pytest.approx(models.network_loss(w, layers, np.repeat(x, n.astype(int), axis=0), np.repeat(label, n.astype(int)), np.ones(int(n.sum()))))
+    for i in range(len(w)):
+        e = np.eye(len(w))[i] * 1e-5
+        assert got[1 + i] == pytest.approx((models.network_loss(w + e, layers, x, label, n)[0] - models.network_loss(w - e, layers, x, label, n)[0]) / 2e-5, abs=1e-5)
+
+    rows = spark.createDataFrame([(i % 20 / 10.0, i % 7 / 7.0, int(i % 20 > 9)) for i in range(700)], "a double, b double, label int")
+    model = models.network_net(rows, ["a", "b"])
+    put = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    plain = MultilayerPerceptronClassifier(layers=[2, 128, 64, 2], seed=42, maxIter=30).fit(put)
+    cost = lambda m, df: m.transform(df).select(F.avg(-F.log(F.get(models.vector_to_array("probability"), F.col("label"))))).first()[0]
+    ours = np.array([(r.a, r.b) for r in rows.collect()]), np.array([r.label for r in rows.collect()])
+    assert cost(model, rows) == pytest.approx(models.network_loss(model.stages[-1].weights.toArray(), [2, 128, 64, 2], *ours, np.ones(700))[0] / 700)
+    assert cost(model, rows) <= cost(plain, put) + 0.02
