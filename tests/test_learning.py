@@ -56,3 +56,10 @@ def test_trained_models_raise_alerts(spark, tel, tmp_path):
     assert said.join(tel.where(F.col("seq") <= cut), "event_id", "left_semi").count() == 0
     isolated = rules.layered_verdict(rules.model_request(tel), said).where("status = 'isolated'")
     assert {r.event_id for r in isolated.collect()} == {r.event_id for r in said.where("agri_attack").collect()} - stopped
+
+
+def test_windows_are_made_once(tel, tmp_path, monkeypatch):
+    made, plain = [], models.sector_windows
+    monkeypatch.setattr(models, "sector_windows", lambda *a: made.append(a[1]) or plain(*a))
+    learning.model_alerts(tel, str(tmp_path))
+    assert made == ["healthcare"]

@@ -49,7 +49,8 @@ pair(
 def model_alerts(tel: DataFrame, folder: str | None = None) -> DataFrame:
     """Alerts of all rules and layers with the sector models trained, stored, loaded and asked: those that a trained model raised."""
     folder = folder or os.path.join(shared_dir(tel.sparkSession), f"models-{uuid.uuid4().hex}")
-    said = models.predicted(tel, models.trained(tel, folder))
+    windows = models.health_windows(tel)
+    said = models.predicted(tel, models.trained(tel, folder, windows=windows), windows=windows)
     hits = rules.every_hit(tel.join(said, "event_id", "left"), (DAY, 8), (DAY, 5))
     return alerts.alerts(hits).where("title = 'ML: AI Detection'").select("alert_id", "event_id", "rule_id", "title", "severity", "ts_us", "seq")
 
