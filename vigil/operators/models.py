@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vigil.session import written
 
 from .features import followed, grams_of, ranges, scaled_vectors, time_cut, vector_sequences
+from .forest import fitted
 
 #: What the sector models look at: metrics, and rows of a window.
 HEALTH, HEALTH_STEPS, URBAN, URBAN_STEPS = ("cpu", "memory", "network", "requests"), 20, ("network", "requests"), 10
@@ -31,8 +32,9 @@ def grams(df: DataFrame, text: str, low: int = 2, high: int = 4) -> DataFrame:
 
 def web_forest(train: DataFrame, vocabulary: int = 5_000, trees: int = 50, depth: int = 20) -> PipelineModel:
     """Weighted character n-grams and a forest, for rows (grams, label)."""
-    stages = [CountVectorizer(inputCol="grams", outputCol="tf", minDF=3, vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features", p=2.0), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42)]
-    return Pipeline(stages=stages).fit(train)
+    stages = [CountVectorizer(inputCol="grams", outputCol="tf", minDF=3, vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features", p=2.0)]
+    weighed = Pipeline(stages=stages).fit(train)
+    return PipelineModel([*weighed.stages, fitted(weighed.transform(train), trees=trees, depth=depth, seed=42)])
 
 
 def with_attacks(rows: DataFrame, seed: int = 42) -> DataFrame:
