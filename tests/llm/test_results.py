@@ -213,6 +213,34 @@ def test_pieces_of_a_long_unit_without_spaces():
         assert enc.encode([text])[0].tolist() == lib.encode(text)
 
 
+def test_pieces_of_units_read_before(texts, monkeypatch):
+    """Units of earlier texts are not indexed again; forgetting and equal hashes change no piece."""
+    import sentencepiece
+
+    lib, every = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path()), list(texts.values())
+    enc = pieces.Encoder(pieces.load(pieces.default_path()))
+    indexed, read = [], enc.read
+    monkeypatch.setattr(enc, "read", lambda points, begin, sizes: indexed.append(int(sizes.sum())) or read(points, begin, sizes))
+    enc.encode(every)
+    first = sum(indexed)
+    ids, ends = enc.encode(every[::-1])
+    assert sum(indexed) - first < first / 50
+    assert [ids[ends[i] : ends[i + 1]].tolist() for i in range(len(every))][::-1] == [lib.encode(t) for t in every]
+
+    def rough(self, points, begin, count, distinct=pieces.Encoder.distinct):
+        which, first, h = distinct(self, points, begin, count)
+        return which, first, h % np.uint64(7)
+
+    monkeypatch.setattr(pieces, "_UNITS", 200)
+    monkeypatch.setattr(pieces, "_CHARS", 1000)
+    for coarse in (False, True):
+        if coarse:
+            monkeypatch.setattr(pieces.Encoder, "distinct", rough)
+        enc = pieces.Encoder(pieces.load(pieces.default_path()))
+        for t in [*every[:40], "", "\ue000 \U0010fffd \ue000", " ", *[t[:90] for t in every[:40]], *every[:40]]:
+            assert enc.encode([t])[0].tolist() == lib.encode(t)
+
+
 def test_pieces_round_trip(docs):
     rows = pieces.tokenize(docs.select("doc_id", "text"))
     assert rows.where("not exact").count() == 0

@@ -1,7 +1,8 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
 The units of a batch's texts (a run of spaces and the word after it; long ones are
-cut where no piece holds the two neighbours) are joined, each distinct one once, and their
+cut where no piece holds the two neighbours) are looked up among those that the worker
+has read lately. The others are joined, each distinct one once, and their
 suffixes sorted. Every piece is searched by
 bisection in that order; its range lists all places where it occurs. These edges, sorted by where they
 end, are relaxed from left to right. BPE keeps no best score but a last piece for
@@ -29,6 +30,8 @@ MARK = "▁"
 #: Characters of texts handled at once, and of distinct units indexed at once; a longer text or unit comes alone.
 SLICE_CHARS, INDEX_CHARS = 1 << 19, 1 << 17
 _SLOTS = 1 << 20
+#: Units that a worker remembers, and their characters (and ids); when there are more, it begins anew.
+_UNITS, _CHARS = 1 << 19, 1 << 22
 #: Units of more characters are cut where they can be; it makes no difference to the pieces.
 LONG = 32
 #: Places of a table of neighbours that some piece holds; two pairs of a place count as held.
@@ -45,6 +48,59 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(42)).astype(np.int64)
 
 
+class Memory:
+    """Units by hash, each with its text and its ids. It may forget, but what it finds is of the same text."""
+
+    def __init__(self):
+        self.slots = np.zeros(2 * _UNITS, np.int32)
+        self.hash, self.points, self.ids = np.empty(_UNITS, np.uint64), np.empty(_CHARS, np.uint32), np.empty(_CHARS, np.int32)
+        # Of each unit where its characters and its ids begin; the next one's are where they end.
+        self.begin, self.first = np.zeros(_UNITS + 1, np.int32), np.zeros(_UNITS + 1, np.int32)
+        self.units = 0
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two slots of a hash; 0 in a slot stands for no unit, others for the one before."""
+        most, down = np.uint64(len(self.slots)), np.uint64(32)
+        return tuple((((x >> down) * most) >> down).astype(np.int64) for x in (h, h * np.uint64(0x9E3779B97F4A7C15)))
+
+    def find(self, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers of the units that begin at places of a sequence of code points, -1 of those that are not held."""
+        found = np.full(len(h), -1, np.int64)
+        for slot in self.places(h):
+            n = self.slots[slot].astype(np.int64) - 1
+            hit = (n >= 0) & (self.hash[n] == h) & (self.begin[n + 1] - self.begin[n] == sizes)
+            found[hit] = n[hit]
+        held = np.flatnonzero(found >= 0)
+        if len(held):
+            n = sizes[held]
+            other = points[_spread(begin[held], n)] != self.points[_spread(self.begin[found[held]], n)]
+            found[held[np.logical_or.reduceat(other, np.cumsum(n) - n)]] = -1
+        return found
+
+    def read(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has)."""
+        many = (self.first[units + 1] - self.first[units]).astype(np.int64)
+        return self.ids[_spread(self.first[units], many)], many
+
+    def add(self, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray, h: np.ndarray, ids: np.ndarray, many: np.ndarray) -> None:
+        size = int(sizes.sum())
+        if not len(h) or len(h) > _UNITS or max(size, len(ids)) > _CHARS:
+            return
+        if self.units + len(h) > _UNITS or self.begin[self.units] + size > _CHARS or self.first[self.units] + len(ids) > _CHARS:
+            self.slots[:], self.units = 0, 0
+        a, b = self.units, self.units + len(h)
+        self.begin[a + 1 : b + 1] = self.begin[a] + np.cumsum(sizes)
+        self.first[a + 1 : b + 1] = self.first[a] + np.cumsum(many)
+        self.points[self.begin[a] : self.begin[b]] = points[_spread(begin, sizes)]
+        self.ids[self.first[a] : self.first[b]] = ids
+        self.hash[a:b], self.units = h, b
+        own, (one, two) = np.arange(a + 1, b + 1, dtype=np.int32), self.places(h)
+        free = self.slots[one] == 0
+        self.slots[one[free]] = own[free]
+        left = self.slots[one] != own
+        self.slots[two[left]] = own[left]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """pieces and scores by id; kinds: n normal, b byte, o any other."""
@@ -91,15 +147,16 @@ class Encoder:
         self.joined = np.zeros(_PAIRS, bool)
         self.joined[_pair(self.chars[:, :-1][inside], self.chars[:, 1:][inside])] = True
         self.alphabet, place = np.unique(self.chars, return_inverse=True)
-        self.chars = place.reshape(self.chars.shape)
+        self.chars = place.reshape(self.chars.shape).astype(np.int32)
         self.up = self.down = np.ones(1, np.uint64)
         self.spines: dict[tuple[int, bool], list[tuple[str, float]] | None] = {}
         self.split: dict[str, tuple[str, str] | None] = {}
         self.slot_key, self.slot_ok = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
+        self.memory = Memory()
 
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+            size = n + (n >> 3)
             up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -216,7 +273,7 @@ class Encoder:
         alphabet = np.flatnonzero(seen)
         width = max(1, int(len(alphabet)).bit_length())
         per = 63 // width
-        local = np.zeros(_NUL + 1, np.int64)
+        local = np.zeros(_NUL + 1, np.int32)
         local[alphabet] = np.arange(len(alphabet))
         symbols = local[points]
         mine = np.where(seen[self.alphabet], local[self.alphabet], -1)
@@ -264,8 +321,7 @@ class Encoder:
         ranked = suffix[order]
         first, last = np.searchsorted(ranked, low), np.searchsorted(ranked, high)
         count = np.where(lost, 0, np.maximum(0, last - first))
-        spot = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return order[spot].astype(np.int32), np.repeat(ids.astype(np.int32), count), np.repeat(length.astype(np.int32), count)
+        return order[_spread(first, count)].astype(np.int32), np.repeat(ids.astype(np.int32), count), np.repeat(length.astype(np.int32), count)
 
     def read(self, points: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the units that begin at places of a sequence of code points, ids of each unit)."""
@@ -350,37 +406,46 @@ class Encoder:
             start[inside] = ~self.joined[_pair(left, right)]
             begin = np.flatnonzero(start[:-1])
             count = np.diff(np.append(begin, len(points)))
-        which, first = self.distinct(points, begin, count)
-        ids, many = [], []
-        for part in _portions(count[first]):
-            found, n = self.read(points, begin[first[part]], count[first[part]])
-            ids.append(found)
-            many.append(n)
-        ids, many = np.concatenate(ids), np.concatenate(many)
-        own = (np.cumsum(many) - many)[which]
-        count = many[which]
-        spot = np.repeat(own - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        which, first, h = self.distinct(points, begin, count)
+        found = self.memory.find(points, begin[first], count[first], h)
+        known, fresh = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+        new = first[fresh]
+        got = [self.memory.read(found[known])]
+        for part in _portions(count[new]):
+            got.append(self.read(points, begin[new[part]], count[new[part]]))
+        ids, many = (np.concatenate(x) for x in zip(*got))
+        old = len(got[0][0])
+        self.memory.add(points, begin[new], count[new], h[fresh], ids[old:], many[len(known) :])
+        turn = np.empty(len(first), np.int64)
+        turn[np.concatenate([known, fresh])] = np.arange(len(first))
+        which = turn[which]
+        own, count = (np.cumsum(many) - many)[which], many[which]
         done = np.concatenate([[0], np.cumsum(count)])
-        return ids[spot], done[np.searchsorted(begin, limit)]
+        return ids[_spread(own, count)], done[np.searchsorted(begin, limit)]
 
-    def distinct(self, points: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(of each unit the place of its like among the distinct ones, a unit of each distinct one). Units of one hash are compared."""
+    def distinct(self, points: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(of each unit the place of its like among the distinct ones, a unit of each distinct one, its hash). Units of one hash are compared."""
         up, down = self.powers(len(points) + 1)
         value = points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         value = (value ^ (value >> np.uint64(32))) * up[: len(points)]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
         del value
         h = (total[begin + count] - total[begin]) * down[begin] + count.astype(np.uint64)
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(h, return_index=True, return_inverse=True)
         like = np.repeat((begin[first][which] - begin).astype(np.int32), count)
         if (count[first][which] != count).any() or (points[np.arange(len(points), dtype=np.int32) + like] != points).any():
-            return np.arange(len(begin)), np.arange(len(begin))
-        return which, first
+            return np.arange(len(begin)), np.arange(len(begin)), h
+        return which, first, hashes
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.surface[i] for i in ids])[1:].decode("utf-8", "replace")
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at first and have count places each."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
     cuts = np.flatnonzero(np.diff(sorted_values)) + 1
     yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(sorted_values)])
