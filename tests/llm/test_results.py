@@ -321,6 +321,22 @@ def test_maxent_shares_are_told_by_all_blocks(spark, monkeypatch):
     assert all(any(r.evidence) for r in told if not all(r.held_out))
 
 
+def test_maxent_blocks_meet_in_shares(spark, monkeypatch):
+    """Blocks meet their counts in four shares, none of them with nearly all documents, and give the scores of one meeting."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(rng.choices(["a", "b", "cd", "efg", "hi"], k=60))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(12, "doc_id")
+    once = sorted(maxent.score(df, block_bytes=1_000).collect())
+    kept, plain = [], maxent.written
+    monkeypatch.setattr(maxent, "MET_BYTES", 1_000)
+    monkeypatch.setattr(maxent, "written", lambda df, name: kept.append((name, plain(df, name))) or kept[-1][1])
+    shares = sorted(maxent.score(df, block_bytes=1_000).collect())
+    sizes = [sum(len(r.held_out) for r in t.select("held_out").collect()) for name, t in kept if name == "kept"]
+    assert len(sizes) == 4 and sum(sizes) == len(docs) and max(sizes) < len(docs) / 2
+    assert [r[:5] for r in shares] == [r[:5] for r in once]
+    assert np.allclose([r[5:] for r in shares], [r[5:] for r in once], rtol=1e-6)
+
+
 def test_maxent_evidence_by_ratio():
     """Counting tokens by ratio gives the shares that the log probabilities of all tokens give."""
     rng = np.random.default_rng(3)
