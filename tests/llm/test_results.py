@@ -337,6 +337,16 @@ def test_maxent_blocks_meet_in_shares(spark, monkeypatch):
     assert np.allclose([r[5:] for r in shares], [r[5:] for r in once], rtol=1e-6)
 
 
+def test_maxent_sums_by_group():
+    """Small and large groups have the sums that a reduction gives, to the last bit."""
+    rng = np.random.default_rng(2)
+    for groups in (1, 40, 3_000):
+        g, rows = rng.normal(size=(2_000, 16)).astype(np.float32), np.sort((rng.random(8_000) ** 3 * groups).astype(np.int64))
+        first, order = np.flatnonzero(np.diff(rows, prepend=-1)), rng.permutation(8_000) % 2_000
+        got = maxent._grouped(g, order, first, np.diff(np.append(first, len(rows))))
+        assert np.array_equal(got, np.add.reduceat(g.take(order, 0), first, axis=0))
+
+
 def test_maxent_evidence_by_ratio():
     """Counting tokens by ratio gives the shares that the log probabilities of all tokens give."""
     rng = np.random.default_rng(3)
